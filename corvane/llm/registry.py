@@ -5,19 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.mixing import mixture
+from corvane.llm.toxicity import fit_lexicon, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target weights; a source that isn't named has weight 1.
+WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 0.5, "src3": 0.25, "src4": 3.0}
+BUDGET_SHARE = 0.5
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"), WEIGHTS, BUDGET_SHARE)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_lexicon(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {f.__name__: f for f in (op3_mixing, op6_toxicity, op9_exact_dedup)}
 
 SQL = {
+    "op3_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\s]+')), 0) AS BIGINT) AS n_tokens,
+                   md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS mix_key,
+                   CASE source WHEN 'src0' THEN 2.0::DOUBLE WHEN 'src1' THEN 1.5 WHEN 'src2' THEN 0.5 WHEN 'src3' THEN 0.25 WHEN 'src4' THEN 3.0 ELSE 1.0 END AS weight
+            FROM documents),
+        q AS (
+            SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY mix_key, doc_id NULLS FIRST, n_tokens RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / weight AS finish
+            FROM d),
+        m AS (
+            SELECT *, CAST(sum(n_tokens) OVER (ORDER BY finish, source NULLS FIRST, mix_key, doc_id NULLS FIRST, n_tokens RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS mixed_tokens
+            FROM q)
+        SELECT doc_id, source, n_tokens, finish, mixed_tokens FROM m
+        WHERE mixed_tokens <= (SELECT CAST(floor(sum(n_tokens) * 0.5) AS BIGINT) FROM d)""",
     "op9_exact_dedup": """
         SELECT doc_id,
                CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS keep_id,
