@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.jaccard_join import near_groups
 from corvane.llm.mixing import mixture
+from corvane.llm.sentencepiece_scan import encode, read_model
+from corvane.llm.suffix_dedup import repeated_passages
 from corvane.llm.toxicity import fit_lexicon, toxicity
 
 
@@ -22,18 +25,57 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"), WEIGHTS, BUDGET_SHARE)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity(docs, fit_lexicon(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), read_model())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_toxicity, op9_exact_dedup)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_suffix_array_dedup, op6_toxicity, op7_sentencepiece, op9_exact_dedup, op10_ngram_jaccard_join)}
 
 SQL = {
+    "op5_suffix_array_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        g AS (
+            SELECT doc_id, unnest(range(0, len(w) - 49)) AS pos,
+                   unnest(list_transform(range(0, len(w) - 49), lambda i: md5(array_to_string(w[i + 1:i + 50], ' ')))) AS h
+            FROM w WHERE len(w) >= 50),
+        k AS (SELECT h, min({'d': doc_id, 'p': pos}) AS lead FROM g GROUP BY h HAVING count(*) > 1),
+        r AS (SELECT DISTINCT doc_id, pos, (doc_id <> lead.d OR pos <> lead.p) AS later FROM g JOIN k USING (h)),
+        s AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS opens FROM r),
+        t AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM s)
+        SELECT doc_id, min(pos) AS start_word, max(pos) + 50 AS end_word, count(*) AS windows, CAST(sum(CASE WHEN later THEN 1 ELSE 0 END) AS BIGINT) AS removable
+        FROM t GROUP BY doc_id, span""",
+    "op10_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[^\s]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram
+            FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        p AS MATERIALIZED (
+            SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared >= 0.6 * (x.size + y.size - shared) - 1e-9),
+        e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r(doc_id, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+        c AS (SELECT doc_id, min(seen) AS group_id FROM r GROUP BY doc_id)
+        SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM c""",
     "op3_mixing": """
         WITH d AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\s]+')), 0) AS BIGINT) AS n_tokens,
