@@ -17,7 +17,6 @@ given list; a null label is ignored. Columns besides id and text play no part.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -115,18 +114,21 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.trie = lexicon, Trie(lexicon.terms)
-        pats = [f"^{re.escape(s)}" for s in lexicon.stems]
+        heads, inner, tails = set(lexicon.stems), set(), set()
         for t in lexicon.terms:
             n = edits_allowed(t) + 1
             cuts = [len(t) * k // n for k in range(n + 1)]
-            parts = [re.escape(t[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            pats += [f"^{parts[0]}"] + parts[1:-1] + ([f"{parts[-1]}$"] if n > 1 else [])
-        self.maybe = re.compile("|".join(sorted(set(pats)))).search if pats else lambda w: None
+            parts = [t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            heads.add(parts[0])
+            inner.update(parts[1:-1])
+            tails.update(parts[1:][-1:])
+        self.heads, self.inner, self.tails = tuple(heads), tuple(inner), tuple(tails)
         self.longest = max(map(len, lexicon.terms), default=0) + 2
 
     def __call__(self, word: str) -> tuple[str, int] | None:
-        if not self.maybe(word):
-            return None
+        if not (word.startswith(self.heads) or word.endswith(self.tails)):
+            if not 5 < len(word) <= self.longest or not any(x in word for x in self.inner):
+                return None
         for s in self.lexicon.stems:
             if word.startswith(s):
                 return s + "*", 0
