@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.chat_template import format_chats
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.html_extract import extract_pages
 from corvane.llm.jaccard_join import near_groups
 from corvane.llm.mixing import mixture
+from corvane.llm.nearest import neighbours
 from corvane.llm.sentencepiece_scan import encode, read_model
 from corvane.llm.suffix_dedup import repeated_passages
 from corvane.llm.toxicity import fit_lexicon, toxicity
+from corvane.llm.warc import normalised_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +25,22 @@ WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 0.5, "src3": 0.25, "src4": 3.0}
 BUDGET_SHARE = 0.5
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"), WEIGHTS, BUDGET_SHARE)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalised_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +54,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), read_model())
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -46,9 +66,37 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_suffix_array_dedup, op6_toxicity, op7_sentencepiece, op9_exact_dedup, op10_ngram_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours,
+        op2_chat_formatting,
+        op3_mixing,
+        op4_warc,
+        op5_suffix_array_dedup,
+        op6_toxicity,
+        op7_sentencepiece,
+        op8_html_extraction,
+        op9_exact_dedup,
+        op10_ngram_jaccard_join,
+    )
+}
 
 SQL = {
+    "op2_chat_formatting": """
+        WITH m AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+                   coalesce(role, 'unknown') AS role, coalesce(text, '') || '<|im_end|>' AS body
+            FROM conversations),
+        p AS (SELECT *, '<|im_start|>' || role || chr(10) AS head FROM m),
+        q AS (
+            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id ORDER BY n) - length(body) - 1 AS at FROM p)
+        SELECT conv_id, string_agg(head || body || chr(10), '' ORDER BY n) AS text, count(*) AS n_messages,
+               coalesce(string_agg(CAST(CAST(at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS spans,
+               CAST(coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS generated_chars
+        FROM q GROUP BY conv_id""",
+    "op4_warc": """
+        SELECT page_id, url, strlen(html) AS payload_bytes, md5(html) AS payload_md5 FROM pages""",
     "op5_suffix_array_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (
