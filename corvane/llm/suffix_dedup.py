@@ -177,7 +177,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, q: int = Q, text: str
         raise ValueError("q must be positive and below the least length")
     plain = docs.where(col(docs, ident).isNotNull()).select(col(docs, ident).cast("long").alias("doc_id"), col(docs, text).alias("text"))
     anchors = shared_anchors(plain, least, q)
-    bits = _bits(partitions(docs.sparkSession))
+    bits = _bits(4 * partitions(docs.sparkSession))  # a bucket's suffixes are sorted in memory
     size = anchors.agg(F.sum(F.expr("aggregate(places, 40L, (a, x) -> a + length(x) + 16)"))).first()[0] or 0
     wanted = plain.join(F.broadcast(anchors) if size <= BROADCAST_BYTES else anchors, "doc_id")
 
