@@ -1,6 +1,741 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import geo
+from corvane.functions import text as X
+from corvane.operators import active as A
+from corvane.operators import bayes as B
+from corvane.operators import contrast as C
+from corvane.operators import dependencies as D
+from corvane.operators import evaluate as E
+from corvane.operators import features as T
+from corvane.operators import match as M
+from corvane.operators import phrases as P
+from corvane.operators import select as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_RE = X.token_pattern().replace("'", "''")
+_STOP = sorted({w for words in X.STOPWORDS.values() for w in words})
+_IN = ", ".join("'" + w.replace("'", "''") + "'" for w in _STOP)
+KEYWORDS = ("the", "stupid", "que", "und", "idiot")
+ROOTS = ("idiot", "clown", "loser", "the")
+
+#: Common table expressions that the SQL below builds on, by name, with what
+#: each itself needs.
+_CTE = {
+    "tok": ((), f"SELECT doc_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS form FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_RE}', 0) AS l FROM documents)"),
+    "kept": (("tok",), f"SELECT * FROM tok WHERE lower(form) NOT IN ({_IN})"),
+    "feat": (("tok",), "SELECT doc_id, pos, form AS feature FROM tok"),
+    "lab": ((), "SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels WHERE quality IS NOT NULL"),
+    "lrow": (("feat", "lab"), "SELECT f.doc_id, f.feature, l.label FROM feat f JOIN lab l USING (doc_id)"),
+    "joint": (("lrow",), "SELECT label, feature, CAST(count(*) AS DOUBLE) AS n FROM lrow GROUP BY ALL"),
+    "ls": (("lrow",), "SELECT label, CAST(count(DISTINCT doc_id) AS DOUBLE) AS doc_count, CAST(count(*) AS DOUBLE) AS token_count FROM lrow GROUP BY label"),
+    "voc": (("joint",), "SELECT DISTINCT feature FROM joint"),
+    "pri": (("ls",), "SELECT label, (5 + doc_count) / sum(5 + doc_count) OVER () AS prior FROM ls"),
+    "bas": (("ls", "voc", "pri"), "SELECT label, ln(prior) AS log_prior, (SELECT count(*) FROM voc) + token_count AS denom FROM ls JOIN pri USING (label)"),
+    "lik": (("joint", "bas"), "SELECT label, feature, ln((1 + n) / denom) AS loglik, ln(1 / denom) AS base FROM joint JOIN bas USING (label)"),
+    "known": (("feat", "voc"), "SELECT doc_id, count(*) AS known FROM feat SEMI JOIN voc USING (feature) GROUP BY doc_id"),
+    "extra": (("feat", "lik"), "SELECT doc_id, label, sum(loglik - base) AS extra FROM feat JOIN lik USING (feature) GROUP BY ALL"),
+    "sco": (("bas", "known", "extra"), "SELECT d.doc_id, b.label, log_prior + coalesce(known, 0) * ln(1 / denom) + coalesce(extra, 0) AS score FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN bas b LEFT JOIN known k ON k.doc_id = d.doc_id LEFT JOIN extra e ON e.doc_id = d.doc_id AND e.label = b.label"),
+    "post": (("sco",), "SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS p FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sco)"),
+    "pred": (("sco",), "SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS r FROM sco) WHERE r = 1"),
+    "conf": (("pred", "lab"), "SELECT p.label AS predicted, g.label AS gold, CAST(count(x.doc_id) AS BIGINT) AS n FROM (SELECT DISTINCT label FROM lab) p CROSS JOIN (SELECT DISTINCT label FROM lab) g LEFT JOIN (SELECT q.doc_id, q.label AS a, lab.label AS b FROM pred q JOIN lab USING (doc_id)) x ON x.a = p.label AND x.b = g.label GROUP BY ALL"),
+    "ldoc": (("lrow",), "SELECT DISTINCT doc_id, feature, label FROM lrow"),
+    "evi": (("ldoc",), "SELECT p.label, f.feature, coalesce(a, 0) AS a, nf - coalesce(a, 0) AS b, nl - coalesce(a, 0) AS c, n - nl - nf + coalesce(a, 0) AS d, n, nl AS n_label FROM (SELECT feature, count(*) AS nf FROM ldoc GROUP BY feature) f CROSS JOIN (SELECT label, count(DISTINCT doc_id) AS nl, (SELECT count(DISTINCT doc_id) FROM ldoc) AS n FROM ldoc GROUP BY label) p LEFT JOIN (SELECT label, feature, count(*) AS a FROM ldoc GROUP BY ALL) j ON j.label = p.label AND j.feature = f.feature"),
+    "gain": (("evi",), "SELECT *, h(n_label / n) - CASE WHEN a + b > 0 THEN (a + b) / n * h(a / (a + b)) ELSE 0 END - CASE WHEN c + d > 0 THEN (c + d) / n * h(c / (c + d)) ELSE 0 END AS gain FROM evi"),
+    "df": (("feat",), "SELECT feature, count(DISTINCT doc_id) AS df FROM feat GROUP BY feature"),
+    "typ": (("feat",), "SELECT doc_id, feature, CASE WHEN starts_with(feature, '#') THEN 'HASH_TAG' WHEN starts_with(feature, '@') THEN 'ACCOUNT_TAG' ELSE 'WORD' END AS type FROM feat"),
+    "bg": (("typ",), "SELECT type, feature, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY type) AS BIGINT) AS total, count(*) OVER (PARTITION BY type) AS size FROM typ GROUP BY type, feature"),
+    "tg": (("typ",), "SELECT type, feature, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY type) AS BIGINT) AS total, count(*) OVER (PARTITION BY type) AS size FROM typ JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY type, feature"),
+    "rat": (("bg", "tg"), "SELECT t.type, t.feature, ln((t.n + 0.1) / (t.total + 0.1 * t.size)) AS p, ln((coalesce(b.n, 0) + 0.1) / (s.total + 0.1 * s.size)) AS q FROM tg t LEFT JOIN bg b USING (type, feature) LEFT JOIN (SELECT DISTINCT type, total, size FROM bg) s ON s.type = t.type"),
+    "clu": ((), "SELECT vec_id AS doc_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS cluster FROM (SELECT vec_id, embedding[1:8] AS v FROM embeddings)"),
+    "cj": (("typ", "clu", "bg"), "SELECT c.cluster, c.type, c.feature, c.joint, c.cluster_total, (b.n + 0.1) / (b.total + 0.1 * b.size) AS prior FROM (SELECT cluster, type, feature, count(*) AS joint, sum(count(*)) OVER (PARTITION BY cluster, type) AS cluster_total FROM typ JOIN clu USING (doc_id) GROUP BY cluster, type, feature) c JOIN bg b USING (type, feature) WHERE c.type = 'WORD'"),
+    "near": (("tok",), "SELECT doc_id, pos, form, list(form) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l, list(form) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS r FROM tok"),
+    "phr": (("tok", "btok"), "SELECT doc_id, t.pos AS start, t.pos + 3 AS \"end\", phrase FROM (SELECT doc_id, pos, form || ' ' || lead(form, 1) OVER w || ' ' || lead(form, 2) OVER w AS phrase FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) t SEMI JOIN btok USING (phrase) WHERE phrase IS NOT NULL"),
+    "btok": ((), f"SELECT DISTINCT array_to_string(l[1:3], ' ') AS phrase FROM (SELECT regexp_extract_all(lower(text), '{_RE}', 0) AS l FROM benchmark) WHERE len(l) >= 3"),
+    "edge": (("tok",), "SELECT doc_id, pos + 1 AS id, form, CASE WHEN pos = 0 THEN 0 ELSE (pos + 1) // 2 END AS head FROM tok"),
+    "geo": ((), "SELECT c_custkey AS id, CAST(c_custkey % 120 - 60 AS DOUBLE) / 1.5 AS lat, CAST(c_custkey % 340 - 170 AS DOUBLE) / 1.3 AS lon FROM customer"),
+}
+_MACRO = {"h": "CASE WHEN {p} <= 0 OR 1 - {p} <= 0 THEN 0 ELSE -({p}) * ln({p}) - (1 - ({p})) * ln(1 - ({p})) END"}
+
+
+def _entropies(body: str) -> str:
+    """h(x) written out; arguments may hold brackets."""
+    while (at := body.find(" h(")) >= 0:
+        depth, i = 0, at + 2
+        while True:
+            depth += (body[i] == "(") - (body[i] == ")")
+            i += 1
+            if not depth:
+                break
+        body = body[: at + 1] + "(" + _MACRO["h"].format(p="(" + body[at + 3 : i - 1] + ")") + ")" + body[i:]
+    return body
+
+
+def _with(names: tuple[str, ...], body: str) -> str:
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        for m in _CTE[n][0]:
+            visit(m)
+        if n not in order:
+            order.append(n)
+
+    for n in names:
+        visit(n)
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({_entropies(_CTE[n][1])})" for n in order) + " " if order else "") + body
+
+
+def query(sql: str | None = None, *uses: str, name: str | None = None):
+    """Register a query under its function's name, with its SQL over the common
+    table expressions it uses."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            SQL[key] = _with(uses, sql)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _toks(spark, d):
+    return T.tokens(_docs(spark, d))
+
+
+def _feats(spark, d):
+    return T.unigrams(_toks(spark, d))
+
+
+def _lab(spark, d):
+    return table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("string").alias("label"))
+
+
+def _model(spark, d):
+    return B.fit(_feats(spark, d), _lab(spark, d))
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+# Tokens, filters, normalisers.
+
+
+@query("SELECT * FROM tok", "tok")
+def tokens_basic(s, d):
+    return _toks(s, d)
+
+
+@query("SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id", "tok")
+def tokens_count(s, d):
+    return _docs(s, d).select("doc_id", F.size(X.tokenise(F.col("text"))).cast("long").alias("n")).where("n > 0")
+
+
+@query("""SELECT doc_id, pos, form, CAST(e - length(form) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM (
+    SELECT doc_id, pos, form, sum(length(form) + length(g)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM (
+    SELECT doc_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS form, unnest(g[1:len(l)]) AS g FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '%s', 0) AS l, string_split_regex(lower(text), '%s') AS g FROM documents)))""" % (_RE, _RE))
+def tokens_offsets(s, d):
+    return T.token_spans(_docs(s, d)).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+@query("SELECT * FROM kept", "kept")
+def filter_stopwords(s, d):
+    return _toks(s, d).where(~X.is_stopword(F.col("form"), _STOP))
+
+
+@query("SELECT * FROM tok WHERE lower(form) NOT IN ('the', 'stupid', 'que', 'und', 'idiot')", "tok")
+def filter_keywords(s, d):
+    return _toks(s, d).where(~X.is_keyword(F.col("form"), KEYWORDS))
+
+
+@query("SELECT * FROM tok WHERE NOT regexp_full_match(lower(form), 't.*e')", "tok")
+def filter_regex(s, d):
+    return _toks(s, d).where(~X.matches(F.col("form"), "t.*e"))
+
+
+_SPLIT = "SELECT {t}, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS form FROM (SELECT {t}, string_split_regex({c}, '[ \\n\\r\\t]+') AS l FROM {f})"
+
+
+def _words(df, ident, column):
+    return df.select(ident, F.posexplode(F.split(column, r"[ \n\r\t]+", -1)).alias("pos", "form"))
+
+
+@query(f"SELECT * FROM ({_SPLIT.format(t='doc_id', c='text', f='documents')}) WHERE NOT regexp_full_match(form, '[\\p{{P}}\\p{{S}}]+')")
+def filter_punct(s, d):
+    return _words(_docs(s, d), "doc_id", "text").where(~X.is_punctuation(F.col("form")))
+
+
+@query(f"SELECT page_id, pos, form FROM ({_SPLIT.format(t='page_id', c='url', f='pages')}) WHERE NOT regexp_full_match(form, '(?i:(file|ftp|https?)://[a-zA-Z0-9_~|!:;,.?=%/#@&+-]*)') AND form <> 'HTTPLINK'")
+def filter_links(s, d):
+    return _words(table(s, d, "pages"), "page_id", "url").where(~X.is_link(F.col("form")))
+
+
+@query("SELECT doc_id, pos, lower(form) AS form FROM (%s)" % _SPLIT.format(t="doc_id", c="text", f="documents"))
+def norm_lower(s, d):
+    return _words(_docs(s, d), "doc_id", "text").withColumn("form", F.lower("form"))
+
+
+@query("SELECT doc_id, pos, CASE WHEN starts_with(form, '@') AND length(form) > 1 THEN 'USERNAME' ELSE form END AS form FROM tok", "tok")
+def norm_username(s, d):
+    return T.tokens(_docs(s, d), normalise_usernames=True)
+
+
+@query(f"""SELECT page_id, unnest(range(len(l)))::INTEGER AS pos, replace(unnest(l), 'ꟿLLL', 'HTTPLINK') AS form FROM (
+    SELECT page_id, regexp_extract_all(regexp_replace(lower(url), '(file|ftp|https?)://[a-z0-9_~|!:;,.?=%/#@&+-]*', 'ꟿLLL', 'g'), '{_RE}', 0) AS l FROM pages)""")
+def norm_url(s, d):
+    return T.tokens(table(s, d, "pages"), "page_id", "url", normalise_urls=True)
+
+
+@query("SELECT doc_id, pos, CASE WHEN lower(form) IN ('i', 'me', 'myself', 'im', 'i''m') THEN 'AUTHOR' WHEN lower(form) IN ('my', 'mine') THEN 'AUTHOR''s' ELSE form END AS form FROM tok", "tok")
+def norm_by_form(s, d):
+    return _toks(s, d).withColumn("form", X.author(F.col("form"))[0])
+
+
+@query("SELECT doc_id, pos, regexp_replace(regexp_replace(form, '^[!-/:-@\\[-`{-~]+', ''), '[!-/:-@\\[-`{-~]+$', '') AS form FROM (%s)" % _SPLIT.format(t="doc_id", c="text", f="documents"))
+def norm_strip_punct(s, d):
+    return _words(_docs(s, d), "doc_id", "text").withColumn("form", X.strip_punctuation(F.col("form"), keep_twitter=False))
+
+
+@query("SELECT doc_id, pos, regexp_replace(regexp_replace(form, '!!+', '!!', 'g'), '\\?\\?+', '??', 'g') AS form FROM (%s)" % _SPLIT.format(t="doc_id", c="text", f="documents"))
+def norm_repeat_qe(s, d):
+    return _words(_docs(s, d), "doc_id", "text").withColumn("form", X.repeated_queries(F.col("form")))
+
+
+@query()
+def norm_repeat_chars(s, d):
+    return _toks(s, d).withColumn("form", X.repeated_letters(F.col("form")))
+
+
+# Features.
+
+
+@query("SELECT doc_id, pos, form AS feature FROM kept WHERE form <> ''", "kept")
+def unigrams(s, d):
+    return T.unigrams(filter_stopwords(s, d))
+
+
+def _lead_sql(n):
+    parts = " || '_' || ".join(["form", *[f"lead(form, {k}) OVER w" for k in range(1, n)]])
+    return f"SELECT * FROM (SELECT doc_id, pos, {parts} AS feature FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE feature IS NOT NULL"
+
+
+@query(_lead_sql(2), "kept")
+def bigrams(s, d):
+    return T.ngrams(filter_stopwords(s, d), 2)
+
+
+@query(_lead_sql(3), "kept")
+def trigrams(s, d):
+    return T.ngrams(filter_stopwords(s, d), 3)
+
+
+@query("""SELECT feature, n, count(*) AS tf FROM (
+    SELECT form AS feature, 1 AS n FROM tok UNION ALL
+    SELECT form || '_' || lead(form) OVER (PARTITION BY doc_id ORDER BY pos), 2 FROM tok UNION ALL
+    SELECT form || '_' || lead(form) OVER w || '_' || lead(form, 2) OVER w, 3 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    WHERE feature IS NOT NULL GROUP BY ALL""", "tok")
+def ngrams_1_3(s, d):
+    return T.ngram_range(_toks(s, d), 1, 3).groupBy("feature", "n").agg(F.count("*").alias("tf"))
+
+
+@query("""SELECT id, type, CASE type WHEN 'firstName' THEN n WHEN 'lastIsVowel' THEN 'lastIsVowel:' || CASE WHEN right(n, 1) IN ('a', 'e', 'i', 'o', 'u', 'y') THEN 'true' ELSE 'false' END
+    WHEN 'lastLetter' THEN 'lastLetter:' || right(n, 1) ELSE 'lastTwo:' || right(n, 2) END AS feature
+    FROM (SELECT c_custkey AS id, lower(regexp_extract(c_name, '^\\s*([^\\s]+)', 1)) AS n FROM customer) CROSS JOIN (SELECT unnest(['firstName', 'lastIsVowel', 'lastLetter', 'lastTwoLetters']) AS type)
+    WHERE length(n) > 1""")
+def first_name_features(s, d):
+    return T.first_name_features(table(s, d, "customer").withColumnRenamed("c_custkey", "id"), F.col("c_name"), "id")
+
+
+@query("""SELECT DISTINCT doc_id, feature FROM (SELECT doc_id, form || '_' || lead(form) OVER w AS two, form || '_' || lead(form) OVER w || '_' || lead(form, 2) OVER w AS three FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    UNPIVOT (feature FOR k IN (two, three)) WHERE feature IN ('of_the', 'the_the_and', 'it_is')""", "tok")
+def custom_ngrams(s, d):
+    return T.custom_ngrams(_toks(s, d), ["of_the", "the_the", "the_the_and", "it_is"])
+
+
+@query("SELECT DISTINCT feature FROM feat", "feat")
+def vocab(s, d):
+    return T.vocabulary(_feats(s, d))
+
+
+@query("SELECT feature, count(*) AS tf FROM feat GROUP BY feature", "feat")
+def term_freq(s, d):
+    return T.term_frequency(_feats(s, d))
+
+
+@query("SELECT * FROM df", "df")
+def doc_freq(s, d):
+    return T.document_frequency(_feats(s, d))
+
+
+@query("SELECT feature, round(df / (SELECT count(*) FROM documents), 9) AS fraction FROM df", "df")
+def occurrence_fraction(s, d):
+    return T.occurrence_fraction(_feats(s, d), _docs(s, d).agg(F.count("*").alias("n"))).withColumn("fraction", _r("fraction", 9))
+
+
+@query("SELECT feature, round(count(*) / (SELECT count(*) FROM feat), 9) AS p FROM feat GROUP BY feature", "feat")
+def word_prob(s, d):
+    return T.word_probability(_feats(s, d)).withColumn("p", _r("p", 9))
+
+
+@query("SELECT feature, df AS docs FROM df", "df")
+def inverted_index_len(s, d):
+    return T.inverted_index(_feats(s, d)).select("feature", F.size("docs").cast("long").alias("docs"))
+
+
+@query("SELECT doc_id, count(DISTINCT feature) AS n FROM feat GROUP BY doc_id", "feat")
+def feature_sets(s, d):
+    return T.feature_sets(_feats(s, d)).select("doc_id", F.size("features").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM feat WHERE feature = 'idiot')", "feat")
+def feature_contexts(s, d):
+    return T.contexts(_docs(s, d).select("doc_id", "text"), _feats(s, d), "idiot")
+
+
+@query("SELECT feature, label, round(count(*) / sum(count(*)) OVER (PARTITION BY feature), 6) AS indicativeness FROM ldoc GROUP BY feature, label", "ldoc")
+def indicativeness(s, d):
+    return T.indicativeness(_feats(s, d), _lab(s, d)).withColumn("indicativeness", _r("indicativeness"))
+
+
+# Naive Bayes and evaluation.
+
+
+@query("SELECT label, doc_count, round(prior, 9) AS prior FROM ls JOIN pri USING (label)", "ls", "pri")
+def nb_priors(s, d):
+    return B.priors(_model(s, d)).select("label", "doc_count", _r("prior", 9).alias("prior"))
+
+
+@query("SELECT * FROM joint", "joint")
+def nb_joint(s, d):
+    return _model(s, d).joint.select("label", "feature", "n")
+
+
+@query("SELECT label, feature, round(loglik, 6) AS loglik FROM lik", "lik")
+def nb_loglik(s, d):
+    return B.loglik(_model(s, d)).select("label", "feature", _r("loglik").alias("loglik"))
+
+
+@query("SELECT doc_id, label, round(score, 6) AS score FROM sco", "sco")
+def nb_scores(s, d):
+    return B.scores(_model(s, d), _feats(s, d), _docs(s, d)).withColumn("score", _r("score"))
+
+
+@query("SELECT doc_id, label, round(p, 6) AS p FROM post", "post")
+def nb_posterior(s, d):
+    return B.posterior(B.scores(_model(s, d), _feats(s, d), _docs(s, d))).withColumn("p", _r("p"))
+
+
+@query("SELECT * FROM pred", "pred")
+def nb_predict_quality(s, d):
+    return B.best(B.scores(_model(s, d), _feats(s, d), _docs(s, d)))
+
+
+def _lang(s, d):
+    return _docs(s, d).where("lang is not null").select("doc_id", F.col("lang").alias("label"))
+
+
+_LANG = {"lab": ((), "SELECT doc_id, lang AS label FROM documents WHERE lang IS NOT NULL")}
+
+
+def _with_lang(body, *uses):
+    old = _CTE["lab"]
+    _CTE["lab"] = _LANG["lab"]
+    try:
+        return _with(uses, body)
+    finally:
+        _CTE["lab"] = old
+
+
+@query(name="nb_predict_lang")
+def nb_predict_lang(s, d):
+    feats = _feats(s, d)
+    return B.best(B.scores(B.fit(feats, _lang(s, d)), feats, _docs(s, d)))
+
+
+SQL["nb_predict_lang"] = _with_lang("SELECT * FROM pred", "pred")
+
+
+@query("""SELECT label, feature, round(ln((1 + alpha + n) / (v + 50 * (label = '1')::INT + token_count)), 6) AS loglik FROM (
+    SELECT coalesce(j.label, '1') AS label, coalesce(j.feature, 'zzalpha') AS feature, coalesce(n, 0) AS n, CASE WHEN a.f IS NULL THEN 0 ELSE 50 END AS alpha
+    FROM joint j FULL JOIN (SELECT 'zzalpha' AS f) a ON a.f = j.feature AND j.label = '1'), (SELECT count(DISTINCT feature) + 1 AS v FROM joint), ls WHERE ls.label = coalesce(NULL, label)""".replace("WHERE ls.label = coalesce(NULL, label)", "").replace(", ls ", " ").rstrip() + " JOIN ls USING (label)", "joint", "ls")
+def nb_alpha(s, d):
+    a = s.createDataFrame([("1", "zzalpha", 50.0)], "label string, feature string, alpha double")
+    return B.loglik(B.fit(_feats(s, d), _lab(s, d), alphas=a)).select("label", "feature", _r("loglik").alias("loglik"))
+
+
+@query("SELECT label, round(m * (5 + doc_count) / sum(m * (5 + doc_count)) OVER (), 9) AS prior FROM (SELECT *, CASE label WHEN '0' THEN 3 ELSE 1 END AS m FROM ls)", "ls")
+def nb_multiplier(s, d):
+    m = s.createDataFrame([("0", 3.0)], "label string, multiplier double")
+    return B.priors(B.fit(_feats(s, d), _lab(s, d), multipliers=m)).select("label", _r("prior", 9).alias("prior"))
+
+
+@query("SELECT label, feature, round(ln((1 + n) / ((SELECT count(*) FROM k) + token_count)), 6) AS loglik FROM joint SEMI JOIN k USING (feature) JOIN ls USING (label)".replace("SELECT label", "SELECT * FROM (WITH k AS (SELECT feature FROM joint GROUP BY feature HAVING sum(n) >= 5) SELECT label", 1) + ")", "joint", "ls")
+def nb_trim(s, d):
+    return B.loglik(B.trim(_model(s, d), 5)).select("label", "feature", _r("loglik").alias("loglik"))
+
+
+@query("""SELECT a.label AS label_a, b.label AS label_b, round(sum(exp(a.l) * (a.l - b.l) / ln(2)), 6) AS kld FROM full_ a JOIN full_ b USING (feature) GROUP BY ALL""".replace("SELECT a.label", "SELECT * FROM (WITH full_ AS (SELECT bas.label, voc.feature, coalesce(loglik, ln(1 / denom)) AS l FROM voc CROSS JOIN bas LEFT JOIN lik ON lik.feature = voc.feature AND lik.label = bas.label) SELECT a.label", 1) + ")", "voc", "bas", "lik")
+def nb_kld(s, d):
+    return B.kld(_model(s, d)).withColumn("kld", _r("kld"))
+
+
+@query("SELECT feature, CAST(sum(n) AS DOUBLE) AS count FROM joint GROUP BY feature", "joint")
+def nb_feature_count(s, d):
+    return B.feature_count(_model(s, d))
+
+
+_OVR = """SELECT * FROM (WITH t AS (SELECT DISTINCT label AS target FROM lab),
+    r AS MATERIALIZED (SELECT doc_id, feature, target, CASE WHEN label = target THEN target ELSE 'OTHER' END AS side FROM lrow CROSS JOIN t),
+    j AS (SELECT target, side, feature, count(*) AS n FROM r GROUP BY ALL),
+    b AS (SELECT target, side, ln((5 + docs) / sum(5 + docs) OVER (PARTITION BY target)) AS log_prior, (SELECT count(DISTINCT feature) FROM lrow) + total AS denom
+          FROM (SELECT target, side, count(DISTINCT doc_id) AS docs, count(*) AS total FROM r GROUP BY ALL)),
+    e AS (SELECT doc_id, target, side, sum(ln(1 + n)) AS extra FROM feat JOIN j USING (feature) GROUP BY ALL),
+    k AS (SELECT doc_id, count(*) AS known FROM feat SEMI JOIN j USING (feature) GROUP BY doc_id),
+    o AS (SELECT k.doc_id, b.target, b.side AS label, log_prior - known * ln(denom) + coalesce(extra, 0) AS score FROM k CROSS JOIN b LEFT JOIN e ON e.doc_id = k.doc_id AND e.target = b.target AND e.side = b.side)
+    {})"""
+
+
+@query(name="ovr_scores")
+def ovr_scores(s, d):
+    return B.one_vs_rest(_feats(s, d), _lang(s, d)).withColumn("score", _r("score"))
+
+
+@query(name="ovr_predict")
+def ovr_predict(s, d):
+    return B.best(B.ovr_probabilities(B.one_vs_rest(_feats(s, d), _lang(s, d))), "p")
+
+
+SQL["ovr_scores"] = _with_lang(_OVR.format("SELECT doc_id, target, label, round(score, 6) AS score FROM o"), "feat", "lrow", "lab")
+SQL["ovr_predict"] = _with_lang(_OVR.format("SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 6) DESC, label) AS r FROM (SELECT *, exp(score - max(score) OVER w) / sum(exp(score - m)) OVER w AS p FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, target) AS m FROM o) WINDOW w AS (PARTITION BY doc_id, target)) WHERE label = target) WHERE r = 1"), "feat", "lrow", "lab")
+
+
+def _matrix(s, d):
+    lab = _lab(s, d)
+    return E.confusion(nb_predict_quality(s, d), lab, lab.select("label").distinct())
+
+
+@query("SELECT * FROM conf", "conf")
+def eval_confusion(s, d):
+    return _matrix(s, d)
+
+
+@query("""SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (
+    SELECT label, CASE WHEN sum(n) FILTER (WHERE predicted = label) = 0 THEN 1 ELSE sum(n) FILTER (WHERE predicted = label AND gold = label) / sum(n) FILTER (WHERE predicted = label) END AS p,
+    CASE WHEN sum(n) FILTER (WHERE gold = label) = 0 THEN 1 ELSE sum(n) FILTER (WHERE predicted = label AND gold = label) / sum(n) FILTER (WHERE gold = label) END AS r
+    FROM conf CROSS JOIN (SELECT DISTINCT label FROM lab) GROUP BY label)""", "conf", "lab")
+def eval_prf(s, d):
+    return E.per_label(_matrix(s, d)).select("label", *[_r(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("SELECT round(sum(n) FILTER (WHERE predicted = gold) / sum(n), 6) AS accuracy FROM conf", "conf")
+def eval_accuracy(s, d):
+    return E.accuracy(_matrix(s, d)).withColumn("accuracy", _r("accuracy"))
+
+
+# Feature selection.
+
+
+def _evi(s, d):
+    return S.evidence(_feats(s, d), _lab(s, d))
+
+
+@query("SELECT * FROM evi", "evi")
+def evidence_abcd(s, d):
+    return _evi(s, d)
+
+
+def _wfo_sql(lam, limit=1000):
+    inside = "((a + 1) / (n_label + 1))"
+    odds = f"greatest(0, ln({inside} / ((b + 1) / (n - n_label + 1))))"
+    score = inside if lam == 1 else f"pow({inside}, {lam}) * pow({odds}, {1 - lam})"
+    return f"SELECT feature, round(max({score}), 6) AS score FROM evi WHERE a + b >= 3 GROUP BY feature ORDER BY score DESC, feature LIMIT {limit}"
+
+
+@query(_wfo_sql(0.5), "evi")
+def select_wllr(s, d):
+    return S.top(_evi(s, d), S.wfo(0.5), 1000)
+
+
+@query(_wfo_sql(0), "evi")
+def select_wfo_mi(s, d):
+    return S.top(_evi(s, d), S.wfo(0), 1000)
+
+
+@query(_wfo_sql(1), "evi")
+def select_wfo_df(s, d):
+    return S.top(_evi(s, d), S.wfo(1), 1000)
+
+
+@query("SELECT feature, round(max(greatest(0, ln(((a + 1) / (k + a + b)) / ((n_label + 1) / (n + k))))), 6) AS score FROM evi, (SELECT count(DISTINCT label) AS k FROM evi) WHERE a + b >= 3 GROUP BY feature ORDER BY score DESC, feature LIMIT 1000", "evi")
+def select_mi(s, d):
+    e = _evi(s, d).crossJoin(F.broadcast(_lab(s, d).agg(F.countDistinct("label").alias("k"))))
+    return S.top(e, S.mutual_information(F.col("k")), 1000)
+
+
+@query("SELECT feature, count(*) AS tf FROM feat GROUP BY feature HAVING count(*) >= 3 AND count(*) < 50", "feat")
+def select_tf_range(s, d):
+    return S.frequency_range(_feats(s, d), 3, 50)
+
+
+@query(f"SELECT doc_id, pos, feature FROM feat SEMI JOIN ({_wfo_sql(0.5)}) USING (feature)", "feat", "evi")
+def select_apply(s, d):
+    return S.apply(_feats(s, d), S.top(_evi(s, d), S.wfo(0.5), 1000)).select("doc_id", "pos", "feature")
+
+
+# Active learning.
+
+
+@query("SELECT feature, df, label FROM (SELECT * FROM df ORDER BY df DESC, feature LIMIT 50) CROSS JOIN (SELECT DISTINCT label FROM lab)", "df", "lab")
+def common_features(s, d):
+    return A.common_features(T.document_frequency(_feats(s, d)), _lab(s, d), 50)
+
+
+@query("SELECT doc_id, round(sum(CASE WHEN p > 1e-7 THEN -p * ln(p) ELSE 0 END), 6) AS entropy FROM post GROUP BY doc_id", "post")
+def query_instances_entropy(s, d):
+    return A.uncertain(B.posterior(B.scores(_model(s, d), _feats(s, d), _docs(s, d))))
+
+
+@query("SELECT label, feature, round(gain, 6) AS gain FROM gain", "gain")
+def info_gain(s, d):
+    return _evi(s, d).select("label", "feature", _r(A.information_gain()).alias("gain"))
+
+
+@query("""SELECT g.label, g.feature, g.gain, g.rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gain DESC, feature) AS rank FROM (SELECT label, feature, round(gain, 6) AS gain FROM gain)) g
+    JOIN (SELECT *, max(share) OVER (PARTITION BY feature) AS most FROM (SELECT label, feature, sum(p) / sum(sum(p)) OVER (PARTITION BY label) AS share FROM feat JOIN post USING (doc_id) GROUP BY label, feature)) c USING (label, feature)
+    WHERE g.rank <= 100 AND share > 0.75 * most""", "gain", "feat", "post")
+def query_features(s, d):
+    feats = _feats(s, d)
+    soft = B.posterior(B.scores(_model(s, d), feats, _docs(s, d)))
+    return A.query_features(info_gain(s, d), A.correlation(feats, soft), 100).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT feature, round(greatest(0.01, least(50, df / (SELECT count(*) FROM documents) * ((50 - 0.01) / 0.1) + 0.01)), 6) AS alpha FROM df", "df")
+def alpha_values(s, d):
+    f = T.occurrence_fraction(_feats(s, d), _docs(s, d).agg(F.count("*").alias("n")))
+    return f.select("feature", _r(A.alpha(F.col("fraction"))).alias("alpha"))
+
+
+# Background, clusters.
+
+
+@query("SELECT * FROM bg", "bg")
+def typed_counts(s, d):
+    return C.typed_counts(_feats(s, d))
+
+
+def _target(s, d):
+    return C.typed_counts(_feats(s, d).join(table(s, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi"))
+
+
+@query("SELECT type, feature, round(p - q, 6) AS score FROM rat", "rat")
+def pmi_target_background(s, d):
+    return C.ratio(_target(s, d), C.typed_counts(_feats(s, d))).withColumn("score", _r("score"))
+
+
+@query("SELECT type, feature, round(0.3 * p + 0.7 * (p - q), 6) AS score FROM rat", "rat")
+def weighted_pmi(s, d):
+    return C.ratio(_target(s, d), C.typed_counts(_feats(s, d)), 0.3).withColumn("score", _r("score"))
+
+
+@query("SELECT type, feature, n, CAST(sum(n) OVER (PARTITION BY type) AS BIGINT) AS total, count(*) OVER (PARTITION BY type) AS size FROM bg WHERE n >= 5", "bg")
+def background_pruned(s, d):
+    return C.pruned(C.typed_counts(_feats(s, d)), 5)
+
+
+def _vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.slice("embedding", 1, 8).alias("vector"))
+
+
+def _cluster_counts(s, d):
+    feats = _feats(s, d)
+    return C.cluster_counts(feats, C.members(_vectors(s, d)), feats)
+
+
+@query("SELECT * FROM (SELECT cluster, feature, round(ln(joint / cluster_total) - ln(prior), 6) AS pmi, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(ln(joint / cluster_total) - ln(prior), 6) DESC, feature) AS INTEGER) AS rank FROM cj) WHERE rank <= 20", "cj")
+def cluster_top_features(s, d):
+    return C.top_features(_cluster_counts(s, d), 20)
+
+
+@query("SELECT * FROM (SELECT cluster, feature, joint, CAST(row_number() OVER (PARTITION BY cluster ORDER BY joint DESC, feature) AS INTEGER) AS rank FROM cj) WHERE rank <= 20", "cj")
+def cluster_frequent(s, d):
+    return C.frequent_features(_cluster_counts(s, d), 20)
+
+
+@query("SELECT doc_id, cluster FROM clu", "clu")
+def cluster_membership(s, d):
+    return C.members(_vectors(s, d)).select("doc_id", "cluster")
+
+
+@query("SELECT vec_id AS doc_id, CAST(c AS INTEGER) AS cluster FROM (SELECT vec_id, unnest(range(8)) AS c, unnest(embedding[1:8]) AS x FROM embeddings) WHERE x >= 0.125::DOUBLE")
+def cluster_uniform(s, d):
+    return C.members(_vectors(s, d), how="uniform").select("doc_id", "cluster")
+
+
+@query("SELECT * FROM (SELECT doc_id, cluster, share, CAST(row_number() OVER (PARTITION BY cluster ORDER BY share DESC, doc_id) AS INTEGER) AS rank FROM (SELECT vec_id AS doc_id, unnest(range(8))::INTEGER AS cluster, round(unnest(embedding[1:8])::DOUBLE, 6) AS share FROM embeddings)) WHERE rank <= 10")
+def top_documents(s, d):
+    return C.top_documents(_vectors(s, d), 10)
+
+
+# Semi-supervised training.
+
+
+def _pool(s, d):
+    return _docs(s, d).join(_lab(s, d), "doc_id", "left_anti")
+
+
+_EM = """SELECT * FROM (WITH soft AS (SELECT doc_id, label, 0.1 * p AS w FROM post ANTI JOIN lab USING (doc_id)),
+    ej AS (SELECT label, feature, sum(w) AS n FROM feat JOIN soft USING (doc_id) GROUP BY ALL),
+    ep AS (SELECT label, sum(w) AS d, sum(w * size) AS t FROM soft JOIN (SELECT doc_id, count(*) AS size FROM feat GROUP BY doc_id) USING (doc_id) GROUP BY label) {})"""
+
+
+@query(_EM.format("SELECT label, feature, round(n, 6) AS n FROM ej"), "post", "lab", "feat")
+def em_estep_counts(s, d):
+    pool = _pool(s, d)
+    return B.em_counts(_model(s, d), T.unigrams(T.tokens(pool)), pool)[0].withColumn("n", _r("n"))
+
+
+@query(_EM.format(""", j2 AS MATERIALIZED (SELECT label, feature, sum(n) AS n FROM (SELECT * FROM joint UNION ALL SELECT * FROM ej) GROUP BY ALL),
+    l2 AS (SELECT label, doc_count + coalesce(d, 0) AS dc, token_count + coalesce(t, 0) AS tc FROM ls LEFT JOIN ep USING (label)),
+    b2 AS (SELECT label, ln((5 + dc) / sum(5 + dc) OVER ()) AS lp, (SELECT count(DISTINCT feature) FROM j2) + tc AS denom FROM l2),
+    x2 AS (SELECT doc_id, label, sum(ln(1 + n)) AS x FROM feat JOIN j2 USING (feature) GROUP BY ALL),
+    k2 AS (SELECT doc_id, count(*) AS k FROM feat SEMI JOIN j2 USING (feature) GROUP BY doc_id),
+    s2 AS (SELECT doc_id, label, lp - coalesce(k, 0) * ln(denom) + coalesce(x, 0) AS score FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN b2 LEFT JOIN k2 USING (doc_id) LEFT JOIN x2 USING (doc_id, label))
+    SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS r FROM s2) WHERE r = 1"""), "post", "lab", "feat", "joint", "ls")
+def em_predict(s, d):
+    pool, feats = _pool(s, d), _feats(s, d)
+    m = B.train_bootstrap_em(feats, _lab(s, d), T.unigrams(T.tokens(pool)), pool)
+    return B.best(B.scores(m, feats, _docs(s, d)))
+
+
+@query("""SELECT s.doc_id, label, round(score + coalesce(lp, 0) - coalesce(known, 0) * coalesce(sl, 0), 6) AS score FROM sco s
+    LEFT JOIN (SELECT doc_id, sum(coalesce(lp, 0)) AS lp, count(*) AS known FROM feat SEMI JOIN voc USING (feature) LEFT JOIN (
+        SELECT feature, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM feat ANTI JOIN lab USING (doc_id) GROUP BY feature) USING (feature) GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT label, sum(exp(score)) AS sl FROM sco ANTI JOIN lab USING (doc_id) GROUP BY label) USING (label)""", "sco", "feat", "voc", "lab")
+def sfe_scores(s, d):
+    pool, feats = _pool(s, d), _feats(s, d)
+    return B.sfe(_model(s, d), T.unigrams(T.tokens(pool)), pool, feats, _docs(s, d)).withColumn("score", _r("score"))
+
+
+@query()
+def fm_probs(s, d):
+    return B.feature_marginals(_feats(s, d), _lab(s, d), T.unigrams(T.tokens(_pool(s, d))), "1")
+
+
+# Phrases and matches.
+
+
+_ROOTED = """SELECT root, r, f, ngram, count(*) AS n FROM (
+    SELECT form AS root, a.r::INTEGER AS r, b.f::INTEGER AS f, array_to_string(list_concat(list_concat(l[len(l) - a.r + 1:len(l)], [form]), rr[1:b.f]), ' ') AS ngram
+    FROM (SELECT form, coalesce(l, []) AS l, coalesce(r, []) AS rr FROM near WHERE form IN ('idiot', 'clown', 'loser', 'the')), unnest(range(len(l) + 1)) AS a(r), unnest(range(CASE WHEN a.r = 0 THEN len(rr) ELSE least(len(rr), 5 - a.r) END + 1)) AS b(f)) GROUP BY ALL"""
+
+
+@query(_ROOTED, "near")
+def rooted_counts(s, d):
+    return P.rooted_counts(_toks(s, d), list(ROOTS))
+
+
+@query()
+def rooted_prune(s, d):
+    return P.pruned(rooted_counts(s, d))
+
+
+@query()
+def rooted_topk(s, d):
+    return P.top_rooted(P.pruned(rooted_counts(s, d)), 10, 2, X.STOPWORDS["en"])
+
+
+def _phrases(s, d):
+    words = X.tokenise(F.col("text"))
+    return table(s, d, "benchmark").where(F.size(words) >= 3).select(F.array_join(F.slice(words, 1, 3), " ").alias("phrase")).distinct()
+
+
+@query('SELECT doc_id, start, "end", phrase FROM phr', "phr")
+def phrase_match(s, d):
+    return M.phrase_matches(_toks(s, d), _phrases(s, d))
+
+
+@query()
+def overlap_removal(s, d):
+    return M.without_overlaps(phrase_match(s, d))
+
+
+@query("""SELECT doc_id, min(pos) AS pos, string_agg(form, '_' ORDER BY pos) AS feature FROM (
+    SELECT *, sum(CASE WHEN m = pm AND pos = pp + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+    SELECT *, lag(m) OVER w AS pm, lag(pos) OVER w AS pp FROM (
+    SELECT tok.doc_id, tok.pos, any_value(form) AS form, max(m) AS m FROM tok JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", phrase) - 1 AS m FROM phr) p ON p.doc_id = tok.doc_id AND tok.pos >= p.start AND tok.pos < p."end" GROUP BY tok.doc_id, tok.pos) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)))
+    GROUP BY doc_id, run""", "tok", "phr")
+def phrase_features(s, d):
+    toks = _toks(s, d)
+    return M.phrase_features(M.annotate(toks, M.phrase_matches(toks, _phrases(s, d))))
+
+
+# Dependencies over a made-up tree: token i hangs on token i // 2.
+
+
+def _edges(s, d):
+    i = F.col("pos") + 1
+    return _toks(s, d).select("doc_id", i.alias("id"), "form", F.lit(None).cast("string").alias("pos"), F.when(F.col("pos") == 0, 0).otherwise(F.floor(i / 2)).cast("int").alias("head"), F.lit(None).cast("string").alias("deprel"))
+
+
+@query("SELECT c.doc_id, CASE WHEN c.id < h.id THEN lower(c.form) || '-' || lower(h.form) ELSE lower(h.form) || '-' || lower(c.form) END AS feature FROM edge c JOIN edge h ON h.doc_id = c.doc_id AND h.id = c.head", "edge")
+def dep_bigrams(s, d):
+    return D.bigrams(_edges(s, d))
+
+
+@query("SELECT c.doc_id, lower(g.form) || '-' || lower(h.form) || '-' || lower(c.form) AS feature FROM edge c JOIN edge h ON h.doc_id = c.doc_id AND h.id = c.head JOIN edge g ON g.doc_id = c.doc_id AND g.id = h.head", "edge")
+def dep_trigrams(s, d):
+    return D.trigrams(_edges(s, d))
+
+
+@query("SELECT doc_id, id, CAST((SELECT 0) + coalesce(n, 0) AS BIGINT) AS out_degree FROM edge LEFT JOIN (SELECT doc_id, head AS id, count(*) AS n FROM edge GROUP BY ALL) USING (doc_id, id)", "edge")
+def dep_out_degree(s, d):
+    return D.out_degree(_edges(s, d))
+
+
+# Geography: coordinates made from customer keys.
+
+
+def _points(s, d):
+    k = F.col("c_custkey")
+    return table(s, d, "customer").select(k.alias("id"), ((k % 120 - 60).cast("double") / 1.5).alias("lat"), ((k % 340 - 170).cast("double") / 1.3).alias("lon"))
+
+
+_HAV = "2 * 6372.8 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + pow(sin(radians({f} - {e}) / 2), 2) * cos(radians({a})) * cos(radians({b}))))"
+
+
+@query(f"SELECT id, round({_HAV.format(a='51.5', b='lat', e='-0.1', f='lon')}, 6) AS km FROM geo", "geo")
+def haversine(s, d):
+    return _points(s, d).select("id", _r(geo.haversine_km(F.lit(51.5), F.lit(-0.1), F.col("lat"), F.col("lon"))).alias("km"))
+
+
+@query(f"""SELECT id, round(la, 6) AS lat, round(lo, 6) AS lon, round(1000 * greatest({_HAV.format(a='la', b='n', e='lo', f='e')}, {_HAV.format(a='la', b='s', e='lo', f='w')}), 3) AS radius FROM (
+    SELECT id // 5 AS id, avg(lat) AS la, avg(lon) AS lo, max(lat) AS n, max(lon) AS e, min(lat) AS s, min(lon) AS w FROM geo GROUP BY ALL)""", "geo")
+def way_radius(s, d):
+    nodes = _points(s, d)
+    ways = nodes.groupBy(F.floor(F.col("id") / 5).alias("way")).agg(F.collect_list("id").alias("nodes")).withColumnRenamed("way", "id")
+    return geo.way_radius(ways, nodes).select("id", _r("lat").alias("lat"), _r("lon").alias("lon"), _r("radius", 3).alias("radius"))
+
+
+@query("SELECT id FROM geo WHERE abs(lat - 20) <= degrees(2000000 / 6378137.0) AND abs(lon - 10) <= degrees(2000000 / (6378137.0 * cos(radians(20))))", "geo")
+def bbox_filter(s, d):
+    b = geo.box(F.lit(20.0), F.lit(10.0), 2_000_000.0)
+    return _points(s, d).where(F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"])).select("id")
