@@ -90,9 +90,9 @@ SQL = {
             FROM conversations),
         p AS (SELECT *, '<|im_start|>' || role || chr(10) AS head FROM m),
         q AS (
-            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id ORDER BY n) - length(body) - 1 AS at FROM p)
+            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id ORDER BY n) - length(body) - 1 AS begins FROM p)
         SELECT conv_id, string_agg(head || body || chr(10), '' ORDER BY n) AS text, count(*) AS n_messages,
-               coalesce(string_agg(CAST(CAST(at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS spans,
+               coalesce(string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS spans,
                CAST(coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS generated_chars
         FROM q GROUP BY conv_id""",
     "op4_warc": """

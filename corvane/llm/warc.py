@@ -181,7 +181,7 @@ def write_monolithic(pages: DataFrame, folder: str, ident: str = "page_id", url:
             for row in zip(*(column(batch, c).to_pylist() for c in ("i", "u", "t")), strict=True):
                 if out is None:
                     where.create_dir(path, recursive=True)
-                    out = where.open_output_stream(name)
+                    out = where.open_output_stream(name, compression=None)  # already gzip
                 out.write(pack.compress(page_record(*row)))
         if out is not None:
             out.write(pack.flush())
