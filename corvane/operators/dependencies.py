@@ -39,9 +39,9 @@ def bigrams(edges: DataFrame, lower_case: bool = True, ident: str = "doc_id") ->
 
 def trigrams(edges: DataFrame, lower_case: bool = True, ident: str = "doc_id") -> DataFrame:
     """A token, its head and that one's head, in the order of their ids."""
-    c, h, g = (_side(edges, p, ident) for p in "chg")
-    two = c.join(h, (c[ident] == h[ident]) & (F.col("c_head") == F.col("h_id"))).drop(h[ident])
-    three = two.join(g, (two[ident] == g[ident]) & (F.col("h_head") == F.col("g_id"))).drop(g[ident])
+    c, h, g = _side(edges, "c", ident), *(_side(edges, p, ident).withColumnRenamed(ident, f"{p}_doc") for p in "hg")
+    two = c.join(h, (F.col(ident) == F.col("h_doc")) & (F.col("c_head") == F.col("h_id")))
+    three = two.join(g, (F.col(ident) == F.col("g_doc")) & (F.col("h_head") == F.col("g_id")))
     form = F.lower if lower_case else (lambda x: x)
     parts = F.sort_array(F.array(*[F.struct(F.col(f"{p}_id").alias("id"), form(F.col(f"{p}_form")).alias("form")) for p in "chg"]))
     return three.select(ident, F.array_join(F.transform(parts, lambda x: x["form"]), "-").alias("feature"))

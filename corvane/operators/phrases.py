@@ -41,9 +41,9 @@ def pruned(counts: DataFrame, least: int = 4, leaf: float = 0.2, levels: tuple[i
     siblings' total passes the levels."""
     t = with_parents(counts)
     same = Window.partitionBy("root", "parent", F.when(F.col("forward"), F.col("r")).otherwise(F.col("r") - 1), F.when(F.col("forward"), F.col("f") - 1).otherwise(F.col("f")), "forward")
-    parent = t.select("root", F.col("r").alias("pr"), F.col("f").alias("pf"), F.col("ngram").alias("parent"), F.col("n").alias("pn"))
-    on = [t["root"] == parent["root"], t["parent"] == parent["parent"], F.when(t["forward"], t["r"]).otherwise(t["r"] - 1) == parent["pr"], F.when(t["forward"], t["f"] - 1).otherwise(t["f"]) == parent["pf"]]
-    joined = t.join(parent, on, "left").select(t["root"], t["r"], t["f"], t["ngram"], t["n"], t["parent"], t["forward"], "pn")
+    up_r, up_f = F.when(F.col("forward"), F.col("r")).otherwise(F.col("r") - 1), F.when(F.col("forward"), F.col("f") - 1).otherwise(F.col("f"))
+    above = counts.select(F.col("root").alias("p_root"), F.col("r").alias("p_r"), F.col("f").alias("p_f"), F.col("ngram").alias("p_ngram"), F.col("n").alias("pn"))
+    joined = t.join(above, (F.col("root") == F.col("p_root")) & (F.col("parent") == F.col("p_ngram")) & (up_r == F.col("p_r")) & (up_f == F.col("p_f")), "left").select("root", "r", "f", "ngram", "n", "parent", "forward", "pn")
     tot, choices = F.sum("n").over(same), F.count("*").over(same)
     share = F.col("n") / F.col("pn")
     bound = F.when(F.col("tot") < levels[0], 1.0).when(F.col("tot") < levels[1], 0.75).when(F.col("tot") < levels[2], 0.5).otherwise(F.greatest(1.0 / F.col("choices"), F.lit(leaf)))
@@ -107,6 +107,6 @@ def top_rooted(counts: DataFrame, k: int = 10, least: int = 1, stopwords: list[s
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         root = pdf["root"].iloc[0]
         got = rank_rooted(list(zip(pdf["r"], pdf["f"], pdf["ngram"], pdf["n"], strict=True)), root, k, least, stops)
-        return pd.DataFrame({"root": root, "rank": range(1, len(got) + 1), "ngram": got})
+        return pd.DataFrame({"root": pd.Series([root] * len(got), dtype=object), "rank": pd.Series(range(1, len(got) + 1), dtype="int64"), "ngram": pd.Series(got, dtype=object)})
 
     return counts.groupBy("root").applyInPandas(rank, "root string, rank long, ngram string")

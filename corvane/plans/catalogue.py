@@ -374,9 +374,8 @@ def nb_predict_lang(s, d):
 SQL["nb_predict_lang"] = _with_lang("SELECT * FROM pred", "pred")
 
 
-@query("""SELECT label, feature, round(ln((1 + alpha + n) / (v + 50 * (label = '1')::INT + token_count)), 6) AS loglik FROM (
-    SELECT coalesce(j.label, '1') AS label, coalesce(j.feature, 'zzalpha') AS feature, coalesce(n, 0) AS n, CASE WHEN a.f IS NULL THEN 0 ELSE 50 END AS alpha
-    FROM joint j FULL JOIN (SELECT 'zzalpha' AS f) a ON a.f = j.feature AND j.label = '1'), (SELECT count(DISTINCT feature) + 1 AS v FROM joint), ls WHERE ls.label = coalesce(NULL, label)""".replace("WHERE ls.label = coalesce(NULL, label)", "").replace(", ls ", " ").rstrip() + " JOIN ls USING (label)", "joint", "ls")
+@query("""SELECT label, feature, round(ln((1 + alpha + n) / ((SELECT count(*) + 1 FROM voc) + CASE label WHEN '1' THEN 50 ELSE 0 END + token_count)), 6) AS loglik
+    FROM (SELECT label, feature, n, 0 AS alpha FROM joint UNION ALL SELECT '1', 'zzalpha', 0, 50) JOIN ls USING (label)""", "joint", "ls", "voc")
 def nb_alpha(s, d):
     a = s.createDataFrame([("1", "zzalpha", 50.0)], "label string, feature string, alpha double")
     return B.loglik(B.fit(_feats(s, d), _lab(s, d), alphas=a)).select("label", "feature", _r("loglik").alias("loglik"))
