@@ -6,6 +6,7 @@ for all documents of a slice at once, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MULT = U(0x9E3779B97F4A7C15)
 _LONG = 1 << 12
+_RUN = 1 << 19
 _POWERS = np.cumprod(np.concatenate([[U(1)], np.full(_LONG - 1, _MULT | U(1), U)]))
 
 
@@ -29,6 +31,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Give freed memory back, where the C library can: workers live on after
+    a task, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of documents [a, b) of about ``most`` bytes; a longer document is alone."""
     offs = offsets(texts)
@@ -67,9 +79,22 @@ def words(texts: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes, worked out in runs of about a
+    megabyte, so that memory doesn't follow the length of the text."""
     if not len(first):
         return np.zeros(0, U)
+    out = np.empty(len(first), U)
+    ends = np.cumsum(last - first)
+    a = 0
+    while a < len(first):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + _RUN, side="right")))
+        out[a:b] = _run_hashes(data, first[a:b], last[a:b])
+        a = b
+    return out
+
+
+def _run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     size = last - first
     at = np.arange(int(size.sum()), dtype=np.int64)
     inner = at - np.repeat(np.cumsum(size) - size, size)

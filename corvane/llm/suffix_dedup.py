@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._common import BROADCAST_BYTES, col, cut, partitions
-from corvane.llm._vector import column, ngrams, pack, unpack, word_hashes, words
+from corvane.llm._vector import column, ngrams, pack, trim, unpack, word_hashes, words
 from corvane.llm.jaccard_join import GRAM_BITS, _batches, _bits
 
 LEAST = 50
@@ -148,6 +148,7 @@ def shared_anchors(docs: DataFrame, least: int, q: int) -> DataFrame:
                     some, per = np.unique(d[s], return_counts=True)
                     rows.append((k, own[some].astype("<i8").tobytes(), per.astype("<u4").tobytes(), pack(g[s], width), p[s].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "docs", "counts", "grams", "places"])
+        trim()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         per = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
@@ -177,7 +178,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, q: int = Q, text: str
         raise ValueError("q must be positive and below the least length")
     plain = docs.where(col(docs, ident).isNotNull()).select(col(docs, ident).cast("long").alias("doc_id"), col(docs, text).alias("text"))
     anchors = shared_anchors(plain, least, q)
-    bits = _bits(4 * partitions(docs.sparkSession))  # a bucket's suffixes are sorted in memory
+    bits = _bits(16 * partitions(docs.sparkSession))  # a bucket's suffixes are sorted in memory
     size = anchors.agg(F.sum(F.expr("aggregate(places, 40L, (a, x) -> a + length(x) + 16)"))).first()[0] or 0
     wanted = plain.join(F.broadcast(anchors) if size <= BROADCAST_BYTES else anchors, "doc_id")
 
@@ -210,6 +211,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, q: int = Q, text: str
                     at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(lo[s], length)
                     rows.append((k, own[doc[lo[s]]].astype("<i8").tobytes(), (lo[s] - begins[doc[lo[s]]]).astype("<u4").tobytes(), length.astype("<u4").tobytes(), short[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "docs", "places", "lengths", "words"])
+        trim()
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["docs"]])
@@ -220,6 +222,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, q: int = Q, text: str
         inner = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
         bucket = refine(text, row, least, q)
         at = np.flatnonzero(bucket)
+        trim()
         return runs(*repeated_windows(ids[row[at]], place[row[at]] + inner[at], bucket[at]))
 
     found = wanted.mapInArrow(contexts, "bucket int, docs binary, places binary, lengths binary, words binary").groupBy("bucket").applyInPandas(sort, "doc_id long, first long, end long, removable long").distinct()
