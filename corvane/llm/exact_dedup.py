@@ -196,12 +196,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", capa
 def drop_exact_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", capacity: int = CAPACITY, index_dir: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without later copies of a text."""
     folder = index_dir or f"{shared_dir(docs.sparkSession)}/exact-{uuid.uuid4().hex}"
-    routed, key = _routed(docs, text, ident)
-    width = len(docs.columns)
+    width, names = len(docs.columns), [c.lower() for c in docs.columns]
+    plain = docs.toDF(*[f"c{i}" for i in range(width)])  # any names go through
+    own_text, own_ident = f"c{names.index(text.lower())}", f"c{names.index(ident.lower())}"
+    routed, key = _routed(plain, own_text, own_ident)
 
     def run(batches):
-        for batch, _, _, copy in _owned(batches, text, ident, key, folder, capacity):
+        for batch, _, _, copy in _owned(batches, own_text, own_ident, key, folder, capacity):
             kept = batch.filter(pa.array(copy == 0))
             yield pa.RecordBatch.from_arrays(kept.columns[:width], schema=pa.schema(list(kept.schema)[:width]))
 
-    return routed.mapInArrow(run, docs.schema)
+    return routed.mapInArrow(run, plain.schema).toDF(*docs.columns)
