@@ -108,31 +108,49 @@ class Lexicon:
         return Matcher(self)
 
 
+def _letters(word: str) -> int:
+    out = 0
+    for ch in word:
+        out |= 1 << (ord(ch) & 63)
+    return out
+
+
 class Matcher:
-    """word -> (term, edits) or None, through a cheap necessary condition first:
-    a term cut in one part more than its edits leaves a part of it as it is."""
+    """word -> (term, edits) or None, through cheap necessary conditions first:
+    a term cut in one part more than its edits leaves a part of it as it is, an
+    edit changes the length by one and the set of letters by two at most."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.trie = lexicon, Trie(lexicon.terms)
-        heads, inner, tails = set(lexicon.stems), set(), set()
+        self.heads, self.inner, self.tails = defaultdict(list), defaultdict(list), defaultdict(list)
         for t in lexicon.terms:
             n = edits_allowed(t) + 1
             cuts = [len(t) * k // n for k in range(n + 1)]
             parts = [t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            heads.add(parts[0])
-            inner.update(parts[1:-1])
-            tails.update(parts[1:][-1:])
-        self.heads, self.inner, self.tails = tuple(heads), tuple(inner), tuple(tails)
-        self.longest = max(map(len, lexicon.terms), default=0) + 2
+            entry = len(t), n - 1, _letters(t)
+            self.heads[parts[0]].append(entry)
+            for x in parts[1:-1]:
+                self.inner[x].append(entry)
+            for x in parts[1:][-1:]:
+                self.tails[x].append(entry)
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.stems, self.longest = tuple(lexicon.stems), max(map(len, lexicon.terms), default=0) + 2
+        self.least = min((n - e for v in self.inner.values() for n, e, _ in v), default=99)
+
+    def _possible(self, word: str) -> bool:
+        found = [x for k in self.head_sizes if (x := self.heads.get(word[:k]))]
+        found += [x for k in self.tail_sizes if (x := self.tails.get(word[-k:]))]
+        if len(word) >= self.least:
+            found += [x for part, x in self.inner.items() if part in word]
+        if not found:
+            return False
+        size, own = len(word), _letters(word)
+        return any(abs(size - n) <= e and (own ^ m).bit_count() <= 2 * e for x in found for n, e, m in x)
 
     def __call__(self, word: str) -> tuple[str, int] | None:
-        if not (word.startswith(self.heads) or word.endswith(self.tails)):
-            if not 5 < len(word) <= self.longest or not any(x in word for x in self.inner):
-                return None
-        for s in self.lexicon.stems:
-            if word.startswith(s):
-                return s + "*", 0
-        if len(word) > self.longest:
+        if self.stems and word.startswith(self.stems):
+            return next(s for s in self.stems if word.startswith(s)) + "*", 0
+        if not 0 < len(word) <= self.longest or not self._possible(word):
             return None
         hit = intersect(word, self.trie)
         return hit if hit and (not hit[1] or word not in self.lexicon.clean) else None
