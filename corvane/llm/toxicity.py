@@ -6,7 +6,8 @@ are found without listing them. Every hit is weighed by its context window:
 inside quotation marks or next to a verb of reporting it counts less, next to
 a second-person pronoun more. A document is toxic from ``THRESHOLD`` on.
 
-The lexicon is a given list plus terms and stems learned from at most
+The lexicon is a given list, whose terms weigh 1, plus words and stems with
+fitted weights, which add up over distinct words, learned from at most
 ``MAX_LABELLED`` labelled documents (the least hashes of their ids; this bound
 is the fit's only limit). Scanning covers every word of every document.
 
@@ -17,8 +18,9 @@ given list; a null label is ignored. Columns besides id and text play no part.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ MAX_LABELLED = 10_000
 THRESHOLD = 1.0
 FUZZY, QUOTED, REPORTED, ADDRESSED = 0.4, 0.25, 0.5, 1.5
 WINDOW = 8
+#: Learned weights: folds that calibrate them, and standard errors by which a ratio is lowered.
+FOLDS, Z = 5, 1.64
 _QUOTES = "\"“”„«»‹›"
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~" + _QUOTES + "‘’…–—¿¡"
 _REPORT = frozenset("said says say wrote writes called calls quoted quote quotes word words term slur insult tweeted claimed sagte schrieb nannte wort dit écrit mot appelé dijo escribió palabra llamó".split())
@@ -103,6 +107,7 @@ class Lexicon:
     terms: tuple[str, ...] = TERMS
     stems: tuple[str, ...] = ()
     clean: frozenset = field(default_factory=frozenset)  # near misses that are ordinary words
+    weights: dict[str, float] = field(default_factory=dict)  # of learned words and stems ("stem*"); others weigh 1
 
     def matcher(self) -> Matcher:
         return Matcher(self)
@@ -134,7 +139,8 @@ class Matcher:
             for x in parts[1:][-1:]:
                 self.tails[x].append(entry)
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
-        self.stems, self.longest = tuple(lexicon.stems), max(map(len, lexicon.terms), default=0) + 2
+        self.stems, self.longest = frozenset(lexicon.stems), max(map(len, lexicon.terms), default=0) + 2
+        self.stem_sizes = sorted({len(x) for x in self.stems})
         self.least = min((n - e for v in self.inner.values() for n, e, _ in v), default=99)
 
     def _possible(self, word: str) -> bool:
@@ -147,13 +153,21 @@ class Matcher:
         size, own = len(word), _letters(word)
         return any(abs(size - n) <= e and (own ^ m).bit_count() <= 2 * e for x in found for n, e, m in x)
 
+    def weight(self, hit: tuple[str, int]) -> float:
+        term, edits = hit
+        return self.lexicon.weights.get(term, 1.0) * (FUZZY if edits else 1.0)
+
+    def learned(self, hit: tuple[str, int]) -> bool:
+        return hit[0] in self.lexicon.weights
+
     def __call__(self, word: str) -> tuple[str, int] | None:
-        if self.stems and word.startswith(self.stems):
-            return next(s for s in self.stems if word.startswith(s)) + "*", 0
-        if not 0 < len(word) <= self.longest or not self._possible(word):
-            return None
-        hit = intersect(word, self.trie)
-        return hit if hit and (not hit[1] or word not in self.lexicon.clean) else None
+        """The weightiest of its stems and the nearest term."""
+        found = [(s + "*", 0) for n in self.stem_sizes if (s := word[:n]) in self.stems]
+        if 0 < len(word) <= self.longest and self._possible(word):
+            hit = intersect(word, self.trie)
+            if hit and (not hit[1] or word not in self.lexicon.clean):
+                found.append(hit)
+        return max(found, key=self.weight, default=None)
 
 
 def _near_copies(texts: list[str]) -> list[int]:
@@ -187,35 +201,96 @@ def _near_copies(texts: list[str]) -> list[int]:
     return [root(i) for i in range(len(texts))]
 
 
+def _units(word: str) -> tuple[str, ...]:
+    """What evidence may be counted of: the word and its stems."""
+    return (word, *(word[:n] + "*" for n in range(4, min(8, len(word)) + 1)))
+
+
+def _weights(bad: np.ndarray, clean: np.ndarray, n_bad: int, n_clean: int, groups: np.ndarray, least: int) -> np.ndarray:
+    """Lower bound of each unit's log likelihood ratio, 0 where it tells little."""
+    ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((clean + 0.5) / (n_clean + 1)) - Z * np.sqrt(1 / (bad + 0.5) + 1 / (clean + 0.5))
+    return np.where((groups >= least) & (ratio > np.log(3)), ratio, 0.0)
+
+
+def _bar(evidence: np.ndarray, toxic: np.ndarray) -> float:
+    """The sum of evidence that errs least between toxic and clean texts."""
+    value = np.unique(np.append(evidence, 0.0))
+    if len(value) < 2:
+        return math.inf
+    at = (value[1:] + value[:-1]) / 2
+    missed = np.searchsorted(np.sort(evidence[toxic]), at)
+    wrong = (~toxic).sum() - np.searchsorted(np.sort(evidence[~toxic]), at)
+    errors = missed + wrong
+    return float(at[np.flatnonzero(errors == errors.min())[-1]])
+
+
 def learn(texts: list[str], toxic: list[int], terms: tuple[str, ...] = TERMS, least: int = 6) -> Lexicon:
-    """Words and stems that at least ``least`` groups of toxic texts hold and
-    (nearly) no clean text; a stem needs eight different words under it."""
+    """Words and stems that at least ``least`` groups of toxic texts hold (a stem
+    with eight different words under it), each with its log likelihood ratio as
+    weight. Distinct words of a text add up. The sum that counts as 1 is where
+    texts scored by the weights of the other ``FOLDS`` - 1 folds are told apart
+    best; copies count as one text and stay in one fold."""
     group = _near_copies(texts)
-    clean, clean_stems, n_clean = Counter(), Counter(), 0
-    bad, under = defaultdict(set), defaultdict(set)
+    seen: set[tuple[int, int]] = set()
+    kinds, labels, folds = [], [], []
+    usual: set[str] = set()  # near misses among them aren't misspellings
     for text, t, g in zip(texts, toxic, group, strict=True):
-        kinds = {x for w in set(text.lower().split()) if (x := w.strip(_EDGE)) and x.isalpha()}
+        words_ = {x for w in set(text.lower().split()) if (x := w.strip(_EDGE)) and x.isalpha()}
+        if not t:
+            usual |= words_
+        if (g, t) not in seen:
+            seen.add((g, t))
+            kinds.append(words_)
+            labels.append(t)
+            folds.append(int(mix(np.array([g], np.uint64))[0]) % FOLDS)
+    given, held, under = set(terms), Counter(), defaultdict(set)
+    for words_, t in zip(kinds, labels, strict=True):
         if t:
-            for w in kinds:
-                bad[w].add(g)
-                for n in range(4, min(8, len(w))):
-                    under[w[:n]].add(w)
-        else:
-            n_clean += 1
-            clean.update(kinds)
-            clean_stems.update({w[:n] for w in kinds for n in range(4, min(8, len(w)))})
-    noise = 0.0005 * n_clean
-    new = {w for w, g in bad.items() if len(w) > 3 and len(g) >= least and clean[w] <= min(noise, 0.02 * len(g))}
-    stems: list[str] = []
-    for s, kinds in sorted(under.items(), key=lambda x: (len(x[0]), x[0])):
-        if len(kinds) >= 8 and clean_stems[s] <= noise and not s.startswith(tuple(stems)):
-            witness = set().union(*(bad[w] for w in kinds))
-            if len(witness) >= least and clean_stems[s] <= 0.02 * len(witness):
-                stems.append(s)
-    new = {w for w in new if not w.startswith(tuple(stems))} if stems else new
-    lexicon = Lexicon(tuple(sorted(new | set(terms))), tuple(stems))
+            units = defaultdict(set)
+            for w in words_:
+                if len(w) > 3 and w not in given:
+                    for u in _units(w):
+                        units[u].add(w)
+            held.update(units.keys())
+            for u, x in units.items():
+                if u[-1] == "*" and len(under[u]) < 8:
+                    under[u] |= x
+    names = sorted(u for u, n in held.items() if n >= least and (u[-1] != "*" or len(under[u]) >= 8))
+    number = {u: i for i, u in enumerate(names)}
+    label, fold, size = np.array(labels, bool), np.array(folds, np.int64), len(names)
+    known: dict[str, list[int]] = {}
+    count, groups = np.zeros((2, FOLDS, size)), np.zeros((FOLDS, size))
+    found: list[list[list[int]]] = []
+    for words_, t, f in zip(kinds, labels, folds, strict=True):
+        own = []
+        for w in words_:
+            if (x := known.get(w)) is None:
+                x = known[w] = [number[u] for u in _units(w) if u in number] if len(w) > 3 and w not in given else []
+            if x:
+                own.append(x)
+        found.append(own)
+        if own:
+            each = np.concatenate(own).astype(np.int64)
+            np.add.at(count[int(t), f], each, 1)
+            if t:
+                groups[f][np.unique(each)] += 1
+
+    def fitted(use: np.ndarray) -> np.ndarray:
+        inside = use[fold] if len(fold) else np.zeros(0, bool)
+        return _weights(count[1, use].sum(axis=0), count[0, use].sum(axis=0), int((inside & label).sum()), int((inside & ~label).sum()), groups[use].sum(axis=0), least)
+
+    weight = fitted(np.ones(FOLDS, bool))
+    evidence = np.zeros(len(kinds))
+    for f in range(FOLDS):
+        others = fitted(np.arange(FOLDS) != f).tolist()
+        for i in np.flatnonzero(fold == f):
+            evidence[i] = sum(max(others[u] for u in x) for x in found[i])
+    bar = _bar(evidence, label)
+    weights = {names[i]: round(min(1.0, float(weight[i]) / bar), 6) for i in np.flatnonzero(weight)} if bar < math.inf else {}
+    new = {u for u in weights if u[-1] != "*"}
+    lexicon = Lexicon(tuple(sorted(new | given)), tuple(sorted(u[:-1] for u in weights if u[-1] == "*")), weights=weights)
     match = lexicon.matcher()
-    return Lexicon(lexicon.terms, lexicon.stems, frozenset(w for w in clean if (m := match(w)) and m[1]))
+    return replace(lexicon, clean=frozenset(w for w in usual if (m := match(w)) and m[1]))
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS) -> Lexicon:
@@ -226,20 +301,21 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     return learn([t for t, _ in order], [int(x > 0) for _, x in order], terms)
 
 
-def weigh(tokens: list[str], at: int, edits: int) -> tuple[float, bool]:
-    """A hit's score from the words around it, and whether it is quoted."""
+def weigh(tokens: list[str], at: int, weight: float, learned: bool) -> tuple[float, bool]:
+    """A hit's score from the words around it, and whether it is quoted. Address
+    doesn't raise learned evidence, whose weights are fitted without it."""
     left, right = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW]
     me = tokens[at]
     opens = any(c in _QUOTES for c in me[:1]) or sum(c in _QUOTES for w in left for c in w) % 2 == 1
     closes = any(c in _QUOTES for c in me[1:]) or any(c in _QUOTES for w in right for c in w)
     quoted = opens and closes
     around = {w.lower().strip(_EDGE) for w in left + right}
-    score = FUZZY if edits else 1.0
+    score = weight
     if quoted:
         score *= QUOTED
     if around & _REPORT and (quoted or not around & _YOU):
         score *= REPORTED
-    if not quoted and around & _YOU:
+    if not quoted and not learned and around & _YOU:
         score *= ADDRESSED
     return score, quoted
 
@@ -250,7 +326,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", ident: str =
     def run(batches):
         match = lexicon.matcher()
         seen: set[int] = set()
-        hits: dict[int, tuple[str, int]] = {}
+        hits: dict[int, tuple[str, int, float, bool]] = {}  # word, edits, weight, learned
         for batch in batches:
             texts, ids = strings(batch, text), column(batch, ident).cast(pa.int64())
             n, fuzzy, quoted, score = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, np.float64))
@@ -263,20 +339,25 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", ident: str =
                 for x, i in zip(h[lead].tolist(), lead.tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
-                        if m := match(raw[first[i] : last[i]].decode(errors="replace").lower().strip(_EDGE)):
-                            hits[x] = m
+                        word = raw[first[i] : last[i]].decode(errors="replace").lower().strip(_EDGE)
+                        if m := match(word):
+                            hits[x] = word, m[1], match.weight(m), match.learned(m)
                 if hits:
                     found = np.flatnonzero(np.isin(h, np.fromiter(hits, np.uint64, len(hits))))
                     for d in np.unique(doc[found]):
                         begin, end = np.searchsorted(doc, [d, d + 1])
-                        own = found[(found >= begin) & (found < end)]
+                        own = found[np.searchsorted(found, begin) : np.searchsorted(found, end)]
+                        evidence: dict[str, float] = {}  # learned words count once each
                         for i in own:
                             lo, hi = max(begin, i - WINDOW), min(end, i + WINDOW + 1)
                             tokens = [raw[first[k] : last[k]].decode(errors="replace") for k in range(lo, hi)]
-                            s, q = weigh(tokens, int(i - lo), hits[int(h[i])][1])
+                            word, edits, weight, learned = hits[int(h[i])]
+                            s, q = weigh(tokens, int(i - lo), weight, learned)
                             n[a + d] += 1
-                            fuzzy[a + d] += hits[int(h[i])][1] > 0
+                            fuzzy[a + d] += edits > 0
                             quoted[a + d] += q
+                            if learned:
+                                s, evidence[word] = max(0.0, s - evidence.get(word, 0.0)), max(s, evidence.get(word, 0.0))
                             score[a + d] += s
                 if len(seen) > 1_000_000:
                     seen = set(hits)

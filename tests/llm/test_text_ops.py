@@ -16,7 +16,7 @@ from corvane.llm.html_extract import extract, extract_pages
 from corvane.llm.mixing import mixture, take_mixture
 from corvane.llm.nearest import neighbours, threshold
 from corvane.llm.sentencepiece_scan import MODEL, _processor, encode, read_model, scan_encode
-from corvane.llm.toxicity import LevenshteinAutomaton, Lexicon, drop_toxic, fit_lexicon, toxicity
+from corvane.llm.toxicity import LevenshteinAutomaton, Lexicon, drop_toxic, fit_lexicon, learn, toxicity
 from corvane.llm.warc import normalise, normalise_files, normalised_pages, read_member, read_records, write_monolithic
 
 # Mixing
@@ -137,6 +137,31 @@ def test_lexicon_is_learned_and_held_out(spark):
     assert set(none.terms) == set(Lexicon().terms) and toxicity(docs.limit(0), none).collect() == []
 
 
+def test_weak_evidence_adds_up():
+    rng = random.Random(13)
+
+    def doc(n):  # words in ever other forms under two stems; clean texts have one now and then
+        forms = {rng.choice(["grumb", "snarl"]) + "".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)}
+        return " ".join(["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(40)] + sorted(forms))
+
+    toxic = [int(i % 8 == 0) for i in range(1600)]
+    texts = [doc(rng.randrange(3, 7)) if t else doc(int(rng.random() < 0.2)) for t in toxic]
+    lexicon = learn(texts[:800], toxic[:800])
+    assert lexicon.weights and max(lexicon.weights.values()) < 1
+    match = lexicon.matcher()
+    caught = [sum(match.weight(m) for w in set(x.split()) if (m := match(w))) >= 1 for x in texts[800:]]
+    recall = sum(c for c, t in zip(caught, toxic[800:], strict=True) if t) / 100
+    assert recall >= 0.95 and sum(c for c, t in zip(caught, toxic[800:], strict=True) if not t) <= 7
+
+
+def test_learned_words_count_once(spark):
+    lexicon = Lexicon(("grumble", "idiot"), ("snar",), weights={"grumble": 0.5, "snar*": 0.4})
+    texts = ["grumble, you Grumble grumble", "you grumble snarl snare", "snarl Snarl. idiot idiot", "grumble snarl"]
+    got = {r.doc_id: r for r in toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()}
+    assert [got[i].score for i in range(4)] == [0.5, 1.3, 2.4, 0.9] and [got[i].hits for i in range(4)] == [3, 3, 4, 2]
+    assert [got[i].is_toxic for i in range(4)] == [False, True, True, False]
+
+
 # SentencePiece
 
 
