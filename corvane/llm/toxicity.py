@@ -34,16 +34,30 @@ from corvane.llm._vector import column, mix, ngrams, slices, strings, word_hashe
 TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "worthless", "trash", "clown", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "retard", "vermin", "subhuman")
 MAX_LABELLED = 10_000
 THRESHOLD = 1.0
-FUZZY, QUOTED, REPORTED, ADDRESSED = 0.4, 0.25, 0.5, 1.5
+QUOTED, REPORTED, ADDRESSED = 0.25, 0.5, 1.5
+#: For misspellings of learned evidence: its forms are many, and their ordinary neighbours too.
+FUZZY = 0.4
 WINDOW = 8
 #: Learned weights: folds that calibrate them, and standard errors by which a ratio is lowered.
 FOLDS, Z = 5, 1.64
+#: Words within the allowance of a given term that aren't misspellings of it.
+ORDINARY = (
+    "closer lower loses lose losen losem looser leser löser laser loner lover poser doser oser louer loger loper moser crash brash thrash rash crown blown flown lown scam slum swum scrum scud scut sum idiom "
+    "moon morn boron mormon morton myron moroni moran moros mouron maron apathetic empathetic bathetic athletic mirthless wordless toothless mouthless worthies worthiest "
+    "discussing disputing disrupting distrusting disguising degusting digesting disusing regard petard retarde bustard dastard termin vermis verdin"
+).split()
 _QUOTES = "\"“”„«»‹›"
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~" + _QUOTES + "‘’…–—¿¡"
 _REPORT = frozenset("said says say wrote writes called calls quoted quote quotes word words term slur insult tweeted claimed sagte schrieb nannte wort dit écrit mot appelé dijo escribió palabra llamó".split())
 _YOU = frozenset("you your you're u ur du dich dein ihr tu toi te vous vos usted tú ti".split())
 
 
+def misspelt(term: str, edits: int) -> float:
+    """What a misspelling counts of its term: the part of it that is left. At
+    the edits allowed that is 3/4 at least, so one that is addressed is enough."""
+    return 1 - edits / len(term) if edits else 1.0
+
+
 def edits_allowed(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
@@ -155,10 +169,12 @@ class Matcher:
 
     def weight(self, hit: tuple[str, int]) -> float:
         term, edits = hit
-        return self.lexicon.weights.get(term, 1.0) * (FUZZY if edits else 1.0)
+        own = self.lexicon.weights.get(term, 1.0)
+        return own * (misspelt(term, edits) if own >= 1 or not edits else FUZZY)
 
     def learned(self, hit: tuple[str, int]) -> bool:
-        return hit[0] in self.lexicon.weights
+        """Whether it is evidence that weighs less than a given term."""
+        return self.lexicon.weights.get(hit[0], 1.0) < 1
 
     def __call__(self, word: str) -> tuple[str, int] | None:
         """The weightiest of its stems and the nearest term."""
@@ -233,7 +249,7 @@ def learn(texts: list[str], toxic: list[int], terms: tuple[str, ...] = TERMS, le
     group = _near_copies(texts)
     seen: set[tuple[int, int]] = set()
     kinds, labels, folds = [], [], []
-    usual: set[str] = set()  # near misses among them aren't misspellings
+    usual: set[str] = set(ORDINARY)  # near misses among them aren't misspellings
     for text, t, g in zip(texts, toxic, group, strict=True):
         words_ = {x for w in set(text.lower().split()) if (x := w.strip(_EDGE)) and x.isalpha()}
         if not t:

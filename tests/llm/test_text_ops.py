@@ -137,6 +137,14 @@ def test_lexicon_is_learned_and_held_out(spark):
     assert set(none.terms) == set(Lexicon().terms) and toxicity(docs.limit(0), none).collect() == []
 
 
+def test_misspelling_reaches_threshold(spark):
+    yes = ["you are an idiott", "you idiots", "vous moronn", "your pathetik", "you wortless", "an idiott and a moronn", "two clowns, a mor0n"]
+    no = ["an idiott", "clowns", 'you "idiott"', 'she said the word "idiott" twice', "you take a closer look, it's lower", "you discussing a crown with regard to it", "athletic as you are", "your clean word", "moronn"]
+    docs = spark.createDataFrame(list(enumerate(yes + no)), "doc_id long, text string")
+    got = {r.doc_id: r.is_toxic for r in toxicity(docs, learn([""], [0])).collect()}
+    assert [got[i] for i in range(len(yes))] == [True] * len(yes) and [got[len(yes) + i] for i in range(len(no))] == [False] * len(no)
+
+
 def test_weak_evidence_adds_up():
     rng = random.Random(13)
 
