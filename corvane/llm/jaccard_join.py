@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,23 +164,29 @@ def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
     return cut(active), hot
 
 
-def ordered_sets(docs: DataFrame, n: int, hot: DataFrame) -> DataFrame:
-    """doc_id, size and n-grams (6 bytes each) in the common order: hash order,
-    after it the frequent ones from rare to frequent."""
+def _often(hot: DataFrame) -> Broadcast:
+    """The frequent n-grams, sorted, and how many documents have each."""
     top = hot.orderBy(F.desc("docs"), "gram").limit(ORDERED).toArrow()  # 16 MB at most, by ORDERED
     name = np.asarray(top["gram"], np.int64).astype(np.uint64)
     by = np.argsort(name)
-    shared = docs.sparkSession.sparkContext.broadcast((name[by], np.asarray(top["docs"], np.int64)[by]))
+    return hot.sparkSession.sparkContext.broadcast((name[by], np.asarray(top["docs"], np.int64)[by]))
+
+
+def _ranks(g: np.ndarray, names: np.ndarray, often: np.ndarray) -> np.ndarray:
+    if not len(names):
+        return np.zeros(len(g), np.int64)
+    at = np.minimum(np.searchsorted(names, g), len(names) - 1)
+    return np.where(names[at] == g, often[at], 0)
+
+
+def ordered_sets(docs: DataFrame, n: int, shared: Broadcast) -> DataFrame:
+    """doc_id, size and n-grams (6 bytes each) in the common order: hash order,
+    after it the frequent ones from rare to frequent."""
 
     def run(batches):
-        names, often = shared.value
         for _, batch, texts, a, b in _batches(batches):
             d, g = text_sets(texts, n, a, b)
-            rank = np.zeros(len(g), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, g), len(names) - 1)
-                rank = np.where(names[at] == g, often[at], 0)
-            order = np.lexsort((g, rank, d))
+            order = np.lexsort((g, _ranks(g, *shared.value), d))
             g, size = g[order], np.bincount(d, minlength=b - a)
             ends = np.cumsum(size)
             ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)[a:b]
@@ -190,17 +196,15 @@ def ordered_sets(docs: DataFrame, n: int, hot: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, size int, grams binary")
 
 
-def _merged(sets: DataFrame) -> DataFrame:
-    """One row an id: rows that share one are united."""
+def _merged(sets: DataFrame, shared: Broadcast) -> DataFrame:
+    """One row an id: rows that share one are united, in the common order again."""
     many = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if many.isEmpty():
         return sets
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[int, None] = {}
-        for x in pdf["grams"]:
-            seen |= dict.fromkeys(unpack(x, 6).tolist())
-        g = np.fromiter(seen, np.uint64, len(seen))
+        g = np.unique(np.concatenate([unpack(x, 6) for x in pdf["grams"]]))
+        g = g[np.lexsort((g, _ranks(g, *shared.value)))]
         return pd.DataFrame({"doc_id": pdf["doc_id"][:1], "size": [len(g)], "grams": [pack(g, 6)]})
 
     return by_ids(sets, many, "left_anti").unionByName(by_ids(sets, many, "left_semi").groupBy("doc_id").applyInPandas(unite, "doc_id long, size int, grams binary"))
@@ -353,7 +357,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, text:
     near copy, directly or through others."""
     low = _lower(docs, text, ident)
     active, hot = witnesses(low, n, threshold)
-    sets = cut(_merged(ordered_sets(by_ids(low, active, "left_semi"), n, hot)))
+    shared = _often(hot)
+    sets = cut(_merged(ordered_sets(by_ids(low, active, "left_semi"), n, shared), shared))
     regions = candidates(sets, threshold)
     regions = cut(regions.union(regions.select("pivot", F.col("pivot"))).distinct())
 

@@ -128,6 +128,17 @@ def test_near_hot_group_and_region():
     assert [root(mine, i) for i in range(210)] == [root(parent, i) for i in range(210)]
 
 
+def test_near_id_of_frequent_and_rare_rows(spark):
+    rng = random.Random(14)
+    common = " ".join(words(rng, 300, 10**9))
+    rows = [(100 + i, common + " " + " ".join(words(rng, 700, 10**9))) for i in range(40)]
+    for i in range(4):
+        rare = " ".join(words(rng, 300, 10**9))
+        rows += [(2 * i, x) for x in ((common, rare) if i % 2 else (rare, common))] + [(2 * i + 1, common + " " + rare)]
+    got = {tuple(r) for r in near_groups(spark.createDataFrame(rows, KIND).coalesce(1)).collect()}
+    assert got == {(i, i - i % 2, 2) for i in range(8)} == brute_groups(rows, 0.6)
+
+
 def test_near_drop(spark):
     text = " ".join(f"w{i}" for i in range(30))
     kind = "text string, doc_id long, pivot int, Grams string"
