@@ -47,6 +47,7 @@ PASS = 0.97
 LEVELS = 2
 SHARD = 4096
 BLOCK = 64
+PAIRS = 1 << 16
 NONE = -(1 << 63)
 
 
@@ -142,14 +143,23 @@ def _verify(q, hits, queries, norms, own, shard, best, found, k) -> None:
         square = np.full(hits.shape, np.inf)
         square[r, c] = norms[q[r]] + shard.norms[c] - 2.0 * np.einsum("ij,ij->i", queries[q[r]], shard.vectors[c])
     square[own[q][:, None] == shard.ids[None, :]] = np.inf
-    top = min(k + 8, square.shape[1])
-    at = np.argpartition(square, top - 1, axis=1)[:, :top] if top < square.shape[1] else np.broadcast_to(np.arange(square.shape[1]), square.shape)
-    value, ids = np.take_along_axis(square, at, 1), shard.ids[at]
-    live = np.isfinite(value)
-    exact = np.full(value.shape, np.inf)
-    r, c = np.nonzero(live)
-    exact[r, c] = ((queries[q[r]].astype(np.float64) - shard.vectors[at[r, c]].astype(np.float64)) ** 2).sum(axis=1)
-    value, ids = np.concatenate([best[q], exact], axis=1), np.concatenate([found[q], np.where(live, ids, NONE)], axis=1)
+    # A float32 product of this length errs by so much at most; whatever may be among the k by that, ties included, is measured exactly.
+    slack = 4 * (queries.shape[1] + 4) * np.finfo(np.float32).eps * (np.sqrt(norms[q] * shard.norms.max(initial=0.0)) + 1e-30)
+    limit = best[q, k - 1] + slack
+    if k < square.shape[1]:
+        limit = np.minimum(limit, np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * slack)
+    r, c = np.nonzero(np.isfinite(square) & (square <= limit[:, None]))
+    near = np.empty(len(r))
+    for a in range(0, len(r), PAIRS):
+        i, j = r[a : a + PAIRS], c[a : a + PAIRS]
+        near[a : a + PAIRS] = ((queries[q[i]].astype(np.float64) - shard.vectors[j].astype(np.float64)) ** 2).sum(axis=1)
+    order = np.lexsort((shard.ids[c], near, r))
+    r, c, near = r[order], c[order], near[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    first = place < k
+    exact, ids = np.full((len(q), k), np.inf), np.full((len(q), k), NONE, np.int64)
+    exact[r[first], place[first]], ids[r[first], place[first]] = near[first], shard.ids[c[first]]
+    value, ids = np.concatenate([best[q], exact], axis=1), np.concatenate([found[q], ids], axis=1)
     # A vector seen at a smaller radius comes again: keep it once.
     order = np.lexsort((value, ids), axis=1)
     ids, value = np.take_along_axis(ids, order, 1), np.take_along_axis(value, order, 1)

@@ -289,6 +289,23 @@ def test_recall_against_brute_force(spark):
     assert 0 < threshold(64) < 64
 
 
+def test_neighbour_ties_go_to_lesser_ids(spark):
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((900, 16)).astype(np.float32) + 50
+    x[:400] = x[0]  # and a group in a ring around another vector
+    x[400] = 0
+    x[401:700] = np.eye(16, dtype=np.float32)[rng.integers(0, 16, 299)] * 3
+    ids = rng.permutation(900)
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in neighbours(df, k=10, shard=1000).collect():
+        got[r.query_id][r.rank] = r.neighbour_id
+    for place in [*range(401), *range(401, 410)]:
+        d = ((x.astype(float) - x[place].astype(float)) ** 2).sum(1)
+        d[place] = np.inf
+        assert [got[int(ids[place])][k] for k in range(1, 11)] == ids[np.lexsort((ids, d))[:10]].tolist()
+
+
 def test_neighbour_edges(spark):
     kind = "vec_id long, embedding array<float>"
     rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, None]), (4, None), (None, [1.0, 1.0]), (5, [1.0]), (6, [float("nan"), 2.0])]
