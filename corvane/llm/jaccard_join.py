@@ -117,7 +117,7 @@ def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
             d, g = d[order], g[order]
             for k in range(1 << bits):
                 if (lo := cuts[k]) < (hi := cuts[k + 1]):
-                    rows.append((k, piece, np.bincount(d[lo:hi], minlength=b - a).astype("<u2").tobytes(), pack(g[lo:hi], width)))
+                    rows.append((k, piece, np.bincount(d[lo:hi], minlength=b - a).astype("<u4").tobytes(), pack(g[lo:hi], width)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "piece", "counts", "grams"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,10 +134,10 @@ def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
         shared[order] = np.repeat(size > 1, size)
         out, at = [], 0
         for piece, counts, own in zip(pdf["piece"], pdf["counts"], grams, strict=True):
-            per = np.frombuffer(counts, "<u2").astype(np.int64)
+            per = np.frombuffer(counts, "<u4").astype(np.int64)
             sums = np.bincount(np.repeat(np.arange(len(per)), per), weights=shared[at : at + len(own)], minlength=len(per))
             at += len(own)
-            out.append((piece, 1, sums.astype("<u2").tobytes(), b""))
+            out.append((piece, 1, sums.astype("<u4").tobytes(), b""))
         hot = size > HOT
         low = np.uint64((1 << (GRAM_BITS - bits)) - 1)
         full = (s[begin[hot]] & low) | (np.uint64(bucket) << np.uint64(GRAM_BITS - bits))
@@ -149,7 +149,7 @@ def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
         ids, size = np.frombuffer(head["x"], "<i8"), np.frombuffer(head["y"], "<u4")
         have = np.zeros(len(ids), np.int64)
         for x in pdf.loc[pdf["kind"] == 1, "x"]:
-            have += np.frombuffer(x, "<u2")
+            have += np.frombuffer(x, "<u4")
         return pd.DataFrame({"doc_id": ids[(size > 0) & (have >= np.ceil(threshold * size - 1e-9))]})
 
     counted = cut(docs.mapInArrow(spread, _PACKED).groupBy("bucket").applyInPandas(count, "piece long, kind int, x binary, y binary"))

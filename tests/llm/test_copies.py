@@ -139,6 +139,12 @@ def test_near_id_of_frequent_and_rare_rows(spark):
     assert got == {(i, i - i % 2, 2) for i in range(8)} == brute_groups(rows, 0.6)
 
 
+def test_near_giant_texts(spark):
+    text = " ".join(map(str, range(1_200_000)))  # over 65,535 n-grams in each of 16 buckets
+    got = near_groups(spark.createDataFrame([(1, text), (2, text + " end"), (3, "a b c d")], KIND)).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 2), (2, 1, 2)}
+
+
 def test_near_drop(spark):
     text = " ".join(f"w{i}" for i in range(30))
     kind = "text string, doc_id long, pivot int, Grams string"
