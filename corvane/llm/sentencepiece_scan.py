@@ -12,11 +12,13 @@ document over ``GIANT`` characters is cut into chunks at any character:
 
 1. each chunk yields a transfer matrix: the best score from each state at its
    left edge (letters of it already used by a piece that began before) to each
-   state at its right edge;
-2. the matrices of a document are combined by the associative max-plus product
-   to the scores of the states at each chunk's left edge;
-3. each chunk is backtraced by itself from these, for every right state that
-   can be reached; a fold over the documents' chunks picks the paths that meet.
+   state at its right edge; 64 chunks are worked out at a time;
+2. runs of chunks that lie in one task are multiplied there, the products of a
+   document's runs then meet, 128 numbers each beside the ends. The max-plus
+   product is associative, so both scans go up and down a tree of products;
+3. each chunk is backtraced by itself from the scores of the states at its left
+   edge, for every right state that can be reached; a fold over the document's
+   chunks picks the paths that meet.
 
 Ties go to the longer last piece, as in the library, so both ways agree.
 
@@ -31,6 +33,7 @@ import math
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,14 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import col
-from corvane.llm._vector import column, strings
+from corvane.llm._common import BROADCAST_BYTES, col, cut, partitions
+from corvane.llm._vector import column, strings, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 50_000
-CHUNK = 4096
+CHUNK = 2048
 NORMAL, UNKNOWN, BYTE, UNIGRAM = 1, 2, 6, 1
 GRID = 16
+#: Chunks of a document that go to one task together, where they make a run.
+RUN = 64
+_CHUNKS = "doc_id long, key long, times long, k int, size int, piece string"
 NEVER = -1e18
 
 
@@ -159,8 +165,8 @@ def arcs(v: Vocabulary, text: np.ndarray, starts: int) -> tuple[np.ndarray, np.n
     length l + 1 at each of the first ``starts`` places, [l, place, row]."""
     rows, width = text.shape
     letters = text.astype(np.uint64) + np.uint64(1)
-    score = np.full((v.longest, starts, rows), NEVER)
-    ids = np.full((v.longest, starts, rows), -1, np.int64)
+    score = np.full((v.longest, starts, rows), NEVER, np.float32)
+    ids = np.full((v.longest, starts, rows), -1, np.int32)
     h = np.zeros((rows, starts), np.uint64)
     real = np.ones((rows, starts), bool)
     for size in range(1, v.longest + 1):
@@ -175,48 +181,68 @@ def arcs(v: Vocabulary, text: np.ndarray, starts: int) -> tuple[np.ndarray, np.n
             r, c, at = r[ok], c[ok], at[ok]
             score[size - 1, c, r], ids[size - 1, c, r] = value[at], number[at]
         if size == 1:
-            r, c = np.nonzero(real & (score[0].T <= NEVER))
+            r, c = np.nonzero(real & (ids[0].T < 0))
             score[0, c, r], ids[0, c, r] = v.unknown, -2
     return score, ids
 
 
-def forward(score: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward(score: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Best score at each place [place, row, state] from the scores ``begin``
-    [state at the left edge, row, column], and the piece length that led there."""
+    [state at the left edge, row, column]."""
     longest, starts, rows = score.shape
-    cols = begin.shape[2]
-    best = np.full((starts + longest, rows, cols), NEVER)
+    best = np.full((starts + longest, rows, begin.shape[2]), NEVER)
     best[:longest] = begin
-    back = np.zeros((starts + longest, rows, cols), np.int8)
+    lengths = np.arange(longest)
+    for i in range(1, starts + longest):
+        lo, hi = max(0, i - longest), min(i, starts)
+        if lo < hi:
+            way = best[lo:hi] + score[i - 1 - lo - lengths[: hi - lo], lo + lengths[: hi - lo]][:, :, None]
+            np.maximum(best[i], way.max(axis=0), out=best[i])
+    return best
+
+
+def forward_back(score: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From one score a state, ``begin`` [state, row]: best score and the length
+    of the last piece at each place [place, row]; 0 where the path begins."""
+    longest, starts, rows = score.shape
+    best = np.full((starts + longest, rows), NEVER)
+    best[:longest] = begin
+    back = np.zeros((starts + longest, rows), np.int8)
+    lengths, own = np.arange(longest), np.arange(rows)
     for i in range(1, starts + longest):
         lo, hi = max(0, i - longest), min(i, starts)
         if lo >= hi:
             continue
-        j = np.arange(lo, hi)  # earliest start first: it wins ties
-        way = best[lo:hi] + score[i - j - 1, j][:, :, None]
-        k = way.argmax(axis=0)
-        top = np.take_along_axis(way, k[None], 0)[0]
+        way = best[lo:hi] + score[i - 1 - lo - lengths[: hi - lo], lo + lengths[: hi - lo]]
+        k = way.argmax(axis=0)  # earliest start first: it wins ties
+        top = way[k, own]
         better = top > best[i]
         best[i] = np.where(better, top, best[i])
         back[i] = np.where(better, i - lo - k, 0)
     return best, back
 
 
-def transfer(v: Vocabulary, texts: list[str], sizes: list[int]) -> list[np.ndarray]:
+def _together(sizes: list[int], most: int = 64):
+    """Numbers of chunks of one size, some at a time."""
+    by: dict[int, list[int]] = {}
+    for k, s in enumerate(sizes):
+        by.setdefault(s, []).append(k)
+    for width, at in sorted(by.items()):
+        for a in range(0, len(at), most):
+            yield width, at[a : a + most]
+
+
+def transfer(v: Vocabulary, texts: list[str], sizes: list[int]) -> np.ndarray:
     """Each chunk's matrix [left state, right state]. A chunk's text goes on
     ``longest`` - 1 letters past its ``size`` where the document does."""
-    m, out = v.longest, [None] * len(texts)
-    for width in sorted(set(sizes)):
-        at = [k for k, s in enumerate(sizes) if s == width]
-        for a in range(0, len(at), 64):
-            some = at[a : a + 64]
-            score, _ = arcs(v, _points([texts[k] for k in some], width + m), width)
-            begin = np.full((m, len(some), m), NEVER)
-            for s in range(m):
-                begin[s, :, s] = 0.0
-            best, _ = forward(score, begin)
-            for i, k in enumerate(some):
-                out[k] = best[width : width + m, i, :].T.copy()
+    m = v.longest
+    out = np.empty((len(texts), m, m))
+    for width, some in _together(sizes):
+        score, _ = arcs(v, _points([texts[k] for k in some], width + m), width)
+        begin = np.full((m, len(some), m), NEVER)
+        for s in range(m):
+            begin[s, :, s] = 0.0
+        out[some] = forward(score, begin)[width : width + m].transpose(1, 2, 0)
     return out
 
 
@@ -230,61 +256,95 @@ def _points(texts: list[str], width: int) -> np.ndarray:
 
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The associative product: (a b)[i, j] = max over k of a[i, k] + b[k, j]."""
-    return np.maximum((a[..., :, :, None] + b[..., None, :, :]).max(axis=-2), NEVER)
-
-
-def entering(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores of the states at each chunk's left edge: an exclusive scan."""
-    m = len(matrices[0])
-    now = np.full((1, m), NEVER)
-    now[0, 0] = 0.0
-    out = []
-    for t in matrices:
-        out.append(now[0])
-        now = maxplus(now, t)
+    out = np.empty(a.shape)
+    for i in range(0, len(out), 256):
+        out[i : i + 256] = (a[i : i + 256, :, :, None] + b[i : i + 256, None, :, :]).max(axis=-2)
+    return np.maximum(out, NEVER)
+
+
+def tree(matrices: np.ndarray) -> list[np.ndarray]:
+    """Products of neighbours, level by level, up to that of all."""
+    levels = [matrices]
+    while (n := len(levels[-1])) > 1:
+        t = levels[-1]
+        up = maxplus(t[0 : n - 1 : 2], t[1:n:2])
+        levels.append(np.concatenate([up, t[n - 1 :]]) if n % 2 else up)
+    return levels
+
+
+def entering(matrices: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+    """Scores of the states at each chunk's left edge: an exclusive scan, down
+    the tree of products from the scores at the first edge."""
+    m = matrices.shape[-1]
+    if begin is None:
+        begin = np.full(m, NEVER)
+        begin[0] = 0.0
+    now = begin[None, :]
+    for t in reversed(tree(matrices)[:-1]):
+        down = np.empty((len(t), m))
+        down[0::2] = now
+        left = len(t) // 2
+        down[1::2] = np.maximum((now[:left, :, None] + t[0 : 2 * left : 2]).max(axis=1), NEVER)
+        now = down
+    return now
+
+
+Trace = tuple[list[int], list[int], list[list[int]]]
+
+
+def backtrace(v: Vocabulary, texts: list[str], sizes: list[int], enter: np.ndarray) -> list[Trace]:
+    """For each chunk and right state: the left state its path begins from (-1
+    if it can't be reached), how many ids it shares with the first such path,
+    and the other ids; in the order of states."""
+    out: list[Trace] = [([], [], [])] * len(texts)
+    for width, some in _together(sizes):
+        points = _points([texts[k] for k in some], width + v.longest)
+        score, ids = arcs(v, points, width)
+        # A left state is reached by a piece of the chunk before, so its score stands.
+        best, back = forward_back(score, np.where(enter[some] > NEVER / 2, enter[some], NEVER).T)
+        for row, k in enumerate(some):
+            out[k] = _trace(v, points[row], width, ids[:, :, row], (best[width:, row] > NEVER / 2).tolist(), back[:, row].tolist())
     return out
 
 
-def backtrace(v: Vocabulary, text: str, size: int, enter: np.ndarray) -> tuple[list[int], list[int], list[list[int]]]:
-    """For each right state: the left state its path begins from (-1 if it
-    can't be reached), how many ids it shares with the first such path, and
-    the other ids; in the order of states."""
-    m = v.longest
-    points = _points([text], size + m)
-    score, ids = arcs(v, points, size)
-    # A left state is reached by a piece of the chunk before, so its score stands.
-    best, back = forward(score, np.where(enter > NEVER / 2, enter, NEVER)[:, None, None])
-    left, shared, tails, base = [], [], [], None
-    for o in range(m):
+def _trace(v: Vocabulary, points: np.ndarray, size: int, ids: np.ndarray, reached: list[bool], back: list[int]) -> Trace:
+    left, shared, tails = [], [], []
+    knots: dict[int, int] = {}  # places of the first path: ids before each
+    first = -1
+    for o in range(v.longest):
         i = size + o
-        if best[i, 0, 0] <= NEVER / 2:
+        if not reached[o]:
             left.append(-1), shared.append(0), tails.append([])
             continue
-        path = []
-        while back[i, 0, 0]:
-            n = int(back[i, 0, 0])
-            path.append((i - n, n))
+        at = []
+        while i not in knots and (n := back[i]):
             i -= n
-        path.reverse()
-        left.append(i)
-        k = 0
-        if base is None:
-            base = path
+            at.append((i, n))
+        at.reverse()
+        flat, count = _ids(v, points, ids, at)
+        if first < 0:  # paths that meet it go on as it does
+            first, done = i, 0
+            knots[i] = 0
+            for (j, n), c in zip(at, count, strict=True):
+                done += c
+                knots[j + n] = done
+            left.append(i), shared.append(0), tails.append(flat)
         else:
-            while k < min(len(base), len(path)) and base[k] == path[k]:
-                k += 1
-        flat: list[int] = []
-        for j, n in path[k:]:
-            x = int(ids[n - 1, j, 0])
-            flat += [x] if x >= 0 else [int(v.byte_ids[c]) for c in chr(int(points[0, j])).encode("utf-8", "surrogatepass")]
-        shared.append(sum(_width(v, ids, points, p) for p in base[:k]))
-        tails.append(flat)
+            met = i in knots
+            left.append(first if met else i), shared.append(knots[i] if met else 0), tails.append(flat)
     return left, shared, tails
 
 
-def _width(v, ids, points, step) -> int:
-    j, n = step
-    return 1 if ids[n - 1, j, 0] >= 0 else len(chr(int(points[0, j])).encode("utf-8", "surrogatepass"))
+def _ids(v: Vocabulary, points: np.ndarray, ids: np.ndarray, at: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The ids of a path's pieces, and how many each has."""
+    if not at:
+        return [], []
+    j, n = np.array(at).T
+    x = ids[n - 1, j].tolist()
+    if min(x) >= 0:
+        return x, [1] * len(x)
+    parts = [[y] if y >= 0 else [int(v.byte_ids[c]) for c in chr(int(points[i])).encode("utf-8", "surrogatepass")] for y, (i, _) in zip(x, at, strict=True)]
+    return [y for p in parts for y in p], [len(p) for p in parts]
 
 
 def assemble(chunks: list[tuple[list[int], list[int], list[list[int]]]]) -> list[int]:
@@ -292,9 +352,11 @@ def assemble(chunks: list[tuple[list[int], list[int], list[list[int]]]]) -> list
     state, parts = 0, []
     for left, shared, tails in reversed(chunks):
         first = next(k for k, x in enumerate(left) if x >= 0)
-        parts.append(tails[first][: shared[state]] + tails[state] if state != first else tails[first])
+        parts.append(tails[state])
+        if state != first:
+            parts.append(tails[first][: shared[state]])
         state = left[state]
-    return [x for p in reversed(parts) for x in p]
+    return np.concatenate([np.asarray(p, np.int64) for p in reversed(parts)]).tolist() if parts else []
 
 
 def escaped(text: str) -> str:
@@ -313,11 +375,11 @@ def scan_encode(model: bytes, text: str, chunk: int = CHUNK) -> list[int]:
     v, text = vocabulary(model), escaped(text)
     if not text:
         return []
-    chunks = cut_text(text, v.longest, chunk)
-    vectors = entering(transfer(v, [t for t, _ in chunks], [s for _, s in chunks]))
-    return assemble([backtrace(v, t, s, e) for (t, s), e in zip(chunks, vectors, strict=True)])
+    texts, sizes = zip(*cut_text(text, v.longest, chunk), strict=True)
+    return assemble(backtrace(v, texts, sizes, entering(transfer(v, texts, sizes))))
 
 
+@lru_cache(maxsize=1)
 def _processor(model: bytes):
     import sentencepiece
 
@@ -326,7 +388,7 @@ def _processor(model: bytes):
 
 def _result(ident: str, ids: pa.Array, encoded: list[list[int]], same: list[bool]) -> pa.RecordBatch:
     size = np.fromiter(map(len, encoded), np.int32, len(encoded))
-    flat = np.fromiter((x for e in encoded for x in e), np.int32, int(size.sum()))
+    flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(size.sum()))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size.astype(np.int64)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
@@ -350,6 +412,7 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK
                 encoded = sp.encode(some, num_threads=1)
                 same = [d == (t.replace("▁", " ") if "▁" in t else t) for d, t in zip(sp.decode(encoded, num_threads=1), some, strict=True)]
                 yield _result("doc_id", ids.slice(a, 256), encoded, same)
+        trim()
 
     long = F.coalesce(F.length("text"), F.lit(0)) > giant
     ordinary = rows.where(~long).mapInArrow(plain, kind)
@@ -362,38 +425,65 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK
                 parts = cut_text(escaped(t), longest, chunk)
                 yield pa.record_batch({"doc_id": pa.array([d] * len(parts), pa.int64()), "key": pa.array([k] * len(parts), pa.int64()), "times": pa.array([n] * len(parts), pa.int64()), "k": pa.array(range(len(parts)), pa.int32()), "size": pa.array([s for _, s in parts], pa.int32()), "piece": pa.array([p for p, _ in parts], pa.string())})
 
-    cutted = huge.mapInArrow(pieces, "doc_id long, key long, times long, k int, size int, piece string").repartition("doc_id", "key", "k")
+    tasks = partitions(docs.sparkSession)
+    cutted = huge.mapInArrow(pieces, _CHUNKS)
+    cutted = cutted.repartition(tasks, "doc_id", "key", F.floor(F.col("k") / RUN)).sortWithinPartitions("doc_id", "key", "k")
 
     def matrices(batches):
         v = vocabulary(model)
         for batch in batches:
             t = transfer(v, column(batch, "piece").to_pylist(), column(batch, "size").to_pylist())
-            yield pa.record_batch({"doc_id": column(batch, "doc_id"), "key": column(batch, "key"), "k": column(batch, "k"), "matrix": pa.array([x.astype("<f8").tobytes() for x in t], pa.binary())})
+            own = [column(batch, c).to_pylist() for c in ("doc_id", "key", "k")]
+            begins = [i for i, x in enumerate(zip(*own, strict=True)) if not i or x != (own[0][i - 1], own[1][i - 1], own[2][i - 1] + 1)]
+            run, product = np.zeros(len(t), np.int32), [None] * len(t)
+            for a, b in zip(begins, [*begins[1:], len(t)], strict=True):
+                run[a:b] = own[2][a]
+                product[a] = tree(t[a:b])[-1][0].astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run), pa.array([x.astype("<f8").tobytes() for x in t], pa.binary()), pa.array(product, pa.binary())], [*batch.schema.names, "run", "matrix", "product"])
+        trim()
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        m = math.isqrt(len(pdf["matrix"].iloc[0]) // 8)
-        vectors = entering([np.frombuffer(x, "<f8").reshape(m, m) for x in pdf["matrix"]])
-        return pd.DataFrame({"d": pdf["doc_id"].astype("Int64"), "h": pdf["key"], "c": pdf["k"], "enter": [x.astype("<f8").tobytes() for x in vectors]})
+        pdf = pdf.sort_values("r")
+        m = math.isqrt(len(pdf["product"].iloc[0]) // 8)
+        vectors = entering(np.frombuffer(b"".join(pdf["product"]), "<f8").reshape(-1, m, m))
+        return pd.DataFrame({"d": pdf["d"].astype("Int64"), "h": pdf["h"], "r": pdf["r"], "enter": [x.astype("<f8").tobytes() for x in vectors]})
 
     def paths(batches):
         v = vocabulary(model)
+        m, last, after = v.longest, None, None
         for batch in batches:
-            got = [backtrace(v, t, s, np.frombuffer(e, "<f8")) for t, s, e in zip(*(column(batch, c).to_pylist() for c in ("piece", "size", "enter")), strict=True)]
-            own = {c: column(batch, c) for c in ("doc_id", "key", "times", "k")}
-            yield pa.record_batch(own | {"left": pa.array([x[0] for x in got], pa.list_(pa.int32())), "shared": pa.array([x[1] for x in got], pa.list_(pa.int32())), "tails": pa.array([x[2] for x in got], pa.list_(pa.list_(pa.int32())))})
+            if not batch.num_rows:
+                continue
+            t = np.frombuffer(b"".join(column(batch, "matrix").to_pylist()), "<f8").reshape(-1, m, m)
+            first = np.frombuffer(b"".join(column(batch, "enter").to_pylist()), "<f8").reshape(-1, m)
+            own = list(zip(*(column(batch, c).to_pylist() for c in ("doc_id", "key", "run")), strict=True))
+            begins, enter = [i for i in range(len(own)) if not i or own[i] != own[i - 1]], np.empty((len(own), m))
+            for a, b in zip(begins, [*begins[1:], len(own)], strict=True):
+                # The run may have begun in the batch before.
+                enter[a:b] = entering(t[a:b], after if own[a] == last else first[a])
+                last, after = own[a], np.maximum((enter[b - 1][:, None] + t[b - 1]).max(axis=0), NEVER)
+            got = backtrace(v, column(batch, "piece").to_pylist(), column(batch, "size").to_pylist(), enter)
+            same = {c: column(batch, c) for c in ("doc_id", "key", "times", "k")}
+            yield pa.record_batch(same | {"left": pa.array([x[0] for x in got], pa.list_(pa.int32())), "shared": pa.array([x[1] for x in got], pa.list_(pa.int32())), "tails": pa.array([x[2] for x in got], pa.list_(pa.list_(pa.int32())))})
+        trim()
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         sp = _processor(model)
         pdf = pdf.sort_values("k")
-        ids = assemble([(list(a), list(b), [list(t) for t in c]) for a, b, c in zip(pdf["left"], pdf["shared"], pdf["tails"], strict=True)])
-        ids = [int(x) for x in ids]
+        ids = assemble(list(zip(pdf["left"], pdf["shared"], pdf["tails"], strict=True)))
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")[:1], "key": pdf["key"][:1], "times": pdf["times"][:1], "n_tokens": [len(ids)], "ids": [ids], "hash": [sp.decode(ids)]})
 
-    vectors = cutted.mapInArrow(matrices, "doc_id long, key long, k int, matrix binary").groupBy("doc_id", "key").applyInPandas(combine, "d long, h long, c int, enter binary")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h")) & (F.col("k") == F.col("c"))
-    traced = cutted.join(vectors, same).select("doc_id", "key", "times", "k", "size", "piece", "enter").mapInArrow(paths, "doc_id long, key long, times long, k int, left array<int>, shared array<int>, tails array<array<int>>")
-    joined = traced.groupBy("doc_id", "key").applyInPandas(join, "doc_id long, key long, times long, n_tokens long, ids array<int>, hash string")
+    # Both branches below read the matrices; a run stays within a batch of its task.
+    tabled = cut(cutted.mapInArrow(matrices, f"{_CHUNKS}, run int, matrix binary, product binary"))
+    products = tabled.where("product is not null")
+    enters = products.select(F.col("doc_id").alias("d"), F.col("key").alias("h"), F.col("run").alias("r"), "product").groupBy("d", "h").applyInPandas(combine, "d long, h long, r int, enter binary")
+    small = products.count() * 8 * (vocabulary(model).longest + 3) <= BROADCAST_BYTES
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h")) & (F.col("run") == F.col("r"))
+    entered = tabled.join(F.broadcast(enters) if small else enters, same).select("doc_id", "key", "times", "k", "size", "piece", "run", "matrix", "enter")
+    if not small:
+        entered = entered.sortWithinPartitions("doc_id", "key", "k")
+    traced = entered.mapInArrow(paths, "doc_id long, key long, times long, k int, left array<int>, shared array<int>, tails array<array<int>>")
+    joined = traced.repartition(tasks, "doc_id", "key").groupBy("doc_id", "key").applyInPandas(join, "doc_id long, key long, times long, n_tokens long, ids array<int>, hash string")
     # The key is the hash of the text, so decoding is checked without the text.
     plainly = huge.select(F.col("doc_id").alias("d"), F.col("key").alias("h"), F.xxhash64(F.translate("text", "▁", " ")).alias("of_text"))
     done = joined.join(plainly, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h")))

@@ -15,7 +15,7 @@ from corvane.llm.chat_template import format_chats
 from corvane.llm.html_extract import extract, extract_pages
 from corvane.llm.mixing import mixture, take_mixture
 from corvane.llm.nearest import neighbours, threshold
-from corvane.llm.sentencepiece_scan import MODEL, _processor, encode, read_model, scan_encode
+from corvane.llm.sentencepiece_scan import MODEL, _processor, encode, entering, maxplus, read_model, scan_encode, tree
 from corvane.llm.toxicity import LevenshteinAutomaton, Lexicon, drop_toxic, fit_lexicon, learn, toxicity
 from corvane.llm.warc import normalise, normalise_files, normalised_pages, read_member, read_records, write_monolithic
 
@@ -201,6 +201,29 @@ def test_encode_round_trips(spark, model):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), model).collect() == []
 
 
+def test_scan_is_associative(model):
+    rng = np.random.default_rng(16)
+    t = np.where(rng.random((37, 5, 5)) < 0.3, -1e18, rng.integers(-90, 0, (37, 5, 5)).astype(float))
+    now = np.array([0.0, *[-1e18] * 4])
+    want = []
+    for x in t:
+        want.append(now)
+        now = np.maximum((now[:, None] + x).max(axis=0), -1e18)
+    assert np.array_equal(entering(t), want) and np.array_equal(entering(t[11:], want[11]), want[11:])
+    assert np.array_equal(tree(t)[-1][0], maxplus(tree(t[:20])[-1], tree(t[20:])[-1])[0])
+
+
+def test_runs_that_begin_in_the_batch_before(spark, model):
+    rng, sp = random.Random(17), _processor(model)
+    rows = [(i % 3, " ".join(rng.choice(["sat", "mattress", "Straße", "x9", "漢字", "the"]) for _ in range(2000 + i))) for i in range(4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = encode(spark.createDataFrame(rows, "doc_id long, text string"), model, giant=500, chunk=128).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == sorted((i, sp.encode(t)) for i, t in rows)
+
+
 # HTML
 
 PROSE = "This is the text that we want to keep because it has many of the words that are in any text and it goes on for a while. " * 3
