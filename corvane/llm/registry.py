@@ -141,6 +141,6 @@ SQL = {
     "op9_exact_dedup": """
         SELECT doc_id,
                CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS keep_id,
-               CASE WHEN text IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) - 1 END AS copy_no
+               CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS copies
         FROM documents""",
 }

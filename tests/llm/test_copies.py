@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm.components import _sized, _stars, components
-from corvane.llm.exact_dedup import ExtendibleIndex, drop_exact_copies, exact_dedup, read_index
+from corvane.llm.exact_dedup import ExtendibleIndex, classes, drop_exact_copies, exact_dedup, index_keys, read_index
 from corvane.llm.jaccard_join import drop_near_copies, near_groups, region_edges
 from corvane.llm.suffix_dedup import repeated_passages
 
@@ -34,10 +35,40 @@ def corpus(seed):
     return rows
 
 
-def test_exact_against_brute_force(spark):
-    rows = [(1, "a"), (2, "b"), (3, "a"), (0, "a"), (5, None), (6, None), (7, ""), (8, ""), (None, "b"), (3, "a"), (9, "long " * 200_000), (4, "long " * 200_000)]
-    got = {(r.doc_id, r.keep_id, r.copy_no) for r in exact_dedup(spark.createDataFrame(rows, KIND)).collect()}
-    assert got == {(0, 0, 0), (1, 0, 1), (3, 0, 2), (3, 0, 3), (2, 2, 0), (None, 2, 1), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 7, 1), (4, 4, 0), (9, 4, 1)}
+def brute_classes(rows):
+    def kept(t):
+        return min((i for i, x in rows if x == t and i is not None), default=None)
+
+    return sorted(((i, i if t is None else kept(t), 1 if t is None else sum(x == t for _, x in rows)) for i, t in rows), key=str)
+
+
+ROWS = [(1, "a"), (2, "b"), (3, "a"), (0, "a"), (5, None), (6, None), (7, ""), (8, ""), (None, "b"), (3, "a"), (9, "long " * 200_000), (4, "long " * 200_000), (None, "c"), (None, "c"), (None, None)]
+
+
+@pytest.mark.parametrize("bits", [64, 1])
+def test_exact_against_brute_force(spark, bits):
+    df = spark.createDataFrame(ROWS + [(100 + i, f"t{i % 40}") for i in range(90)], KIND)
+    key = None if bits == 64 else F.xxhash64("text").bitwiseAND(F.lit(1))  # nearly all texts share a key
+    got = sorted(map(tuple, exact_dedup(df, key=key, capacity=4).collect()), key=str)
+    assert got == brute_classes([tuple(r) for r in df.collect()])
+
+
+def test_exact_hot_text_in_many_tasks(spark):
+    df = spark.range(0, 3000, 1, 12).selectExpr("2999 - id as doc_id", "case when id % 3 = 0 then 'hot' else concat('t', id % 1000) end as text", "1 as key")
+    got = exact_dedup(df).collect()
+    assert sorted(map(tuple, got), key=str) == brute_classes([(r.doc_id, r.text) for r in df.collect()])
+    left = drop_exact_copies(df).collect()
+    assert len(left) == len({r.text for r in df.collect()}) and {r.doc_id for r in left} == {r.keep_id for r in got}
+
+
+def test_owners_ask_the_index(spark, tmp_path):
+    rows = spark.createDataFrame([(f"t{i % 7}", i) for i in range(30)], "text string, id long").select(F.xxhash64("text").alias("key"), "text", "id")
+    repeated = index_keys(rows, f"file://{tmp_path}/i", 2)
+    assert classes(rows, repeated, f"file://{tmp_path}/i").count() == 7
+    for f in (tmp_path / "i").glob("owner-*"):
+        f.unlink()
+    with pytest.raises(Exception, match="lacks a key"):
+        classes(rows, repeated, f"file://{tmp_path}/i").collect()
 
 
 def test_exact_drop_keeps_columns(spark):
@@ -53,20 +84,23 @@ def test_exact_drop_keeps_columns(spark):
 def test_extendible_index(capacity):
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
-    keys[100:140] = keys[0]  # a chain longer than a bucket
+    keys[100:140] = keys[0]
     index = ExtendibleIndex(capacity)
     for a in range(0, 500, 77):
-        index.insert(keys[a : a + 77], np.arange(a, min(500, a + 77)))
+        index.add(keys[a : a + 77], np.full(len(keys[a : a + 77]), 2))
     index = ExtendibleIndex.of(index.table())
-    for k in keys:
-        assert index.chain(int(k)).tolist() == np.flatnonzero(keys == k).tolist()
+    at = index.find(keys)
+    assert max(map(len, index.keys)) <= max(2, capacity) and len(np.unique(at)) == 460 and (index.find(keys + np.uint64(1)) < 0).all()
+    for k, e in zip(keys.tolist(), at.tolist(), strict=True):
+        bucket, place = e >> 32, e & 0xFFFFFFFF
+        assert index.keys[bucket][place] == k and index.counts[bucket][place] == 2 * (keys == k).sum()
 
 
-def test_index_file_answers(spark, tmp_path):
+def test_index_file_counts(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i % 40}") for i in range(90)], KIND)
     exact_dedup(df, index_dir=f"file://{tmp_path}/i", capacity=2).collect()
-    found = [x for o in range(1 << 10) if (i := read_index(f"file://{tmp_path}/i", o)) for ids in i.ids for x in ids.tolist()]
-    assert sorted(found) == list(range(40))
+    found = [n for f in (tmp_path / "i").glob("owner-*") for n in np.concatenate(read_index(f"file://{tmp_path}/i", int(f.name[6:14])).counts).tolist()]
+    assert sorted(found) == [2] * 30 + [3] * 10
 
 
 def grams(text, n=3):
