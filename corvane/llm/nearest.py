@@ -10,17 +10,19 @@ for; the k-th neighbour in the query's own shard bounds the radius. The threshol
 with probability ``PASS``, whatever the data are, so recall doesn't rest on
 the data; they only decide how many others are verified in vain.
 
-Shards are stretches of the array sorted along the first line, of a fixed
-number of vectors, in the shared folder. A task has the queries of one shard
-and reads the others one by one. One is left out if, by the ranges of its
-projections, none of its vectors can lie in enough windows. Random directions
-in 64 dimensions are all about equally far from each other; there few shards
-are left out, and work grows with the square of the table, as the README says.
+Every vector is indexed; the queries are those whose id is divisible by
+``every``. Shards are stretches of the array sorted along the first line, of a
+fixed number of vectors, in the shared folder with their sorted arrays. A task
+has the queries of some shards and reads the others one by one. One is left out
+if, by the ranges of its projections, none of its vectors can lie in enough
+windows. Random directions in 64 dimensions are all about equally far from each
+other; there few shards are left out, and work grows as queries times vectors,
+as the README says.
 
 Defined results: distances are Euclidean; a vector isn't its own neighbour,
 but rows with an equal vector are at distance 0; ties go to the lesser id; a
-null id or vector, or one of another length than most, is left out (a null or
-NaN inside counts as 0); fewer than k others give as many as there are; rows
+null id or vector, or one of another length than most, is left out (a null, NaN
+or infinity inside counts as 0); fewer than k others give as many as there are; rows
 that share an id are one vector, the least in order of its numbers; an empty
 table gives an empty result.
 """
@@ -34,11 +36,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm._common import col, cut, shared_dir
+from corvane.llm._vector import column
 
 M = 64
 WIDTH = 1.2
@@ -47,6 +51,8 @@ PASS = 0.97
 LEVELS = 2
 SHARD = 4096
 BLOCK = 64
+#: The queries are the rows whose id this divides; a task has those of so many shards.
+EVERY, HOMES = 20, 4
 PAIRS = 1 << 16
 NONE = -(1 << 63)
 
@@ -70,15 +76,26 @@ def threshold(m: int, width: float = WIDTH, chance: float = PASS) -> int:
 class Shard:
     """Vectors with their projections, and for each line the sorted array."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray, order: np.ndarray | None = None):
+        self.ids, self.vectors, n = ids, vectors, len(ids)
         self.norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
-        self.projected = vectors @ axes
-        self.order = np.argsort(self.projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.projected, self.order, 0)
-        n = len(ids)
-        self.rank = np.empty(axes.shape[::-1][:1] + (n,), np.int16 if n < 32_000 else np.int32)
-        np.put_along_axis(self.rank, self.order.T, np.arange(n, dtype=self.rank.dtype)[None, :], 1)
+        projected = np.ascontiguousarray((vectors @ axes).T)
+        kind = np.int16 if n < 32_000 else np.int32
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(kind) if order is None else order
+        self.sorted = np.take_along_axis(projected, self.order.astype(np.int64), 1)
+        self.rank = np.empty(projected.shape, kind)
+        np.put_along_axis(self.rank, self.order.astype(np.int64), np.arange(n, dtype=kind)[None, :], 1)
+
+    def pack(self) -> bytes:
+        raw = io.BytesIO()
+        np.savez(raw, ids=self.ids, vectors=self.vectors, order=self.order)
+        return raw.getvalue()
+
+    @classmethod
+    def read(cls, where: fs.FileSystem, name: str, axes: np.ndarray) -> Shard:
+        with where.open_input_file(name) as f:
+            got = np.load(io.BytesIO(f.read()))
+        return cls(got["ids"], got["vectors"], axes, got["order"])
 
     def counts(self, queries: np.ndarray, half: np.ndarray) -> np.ndarray:
         """Windows shared by each query (its projections) and each vector."""
@@ -87,12 +104,12 @@ class Shard:
         lo = np.empty(queries.shape, np.int64)
         hi = np.empty(queries.shape, np.int64)
         for j in range(m):
-            lo[:, j] = np.searchsorted(self.sorted[:, j], queries[:, j] - half, "left")
-            hi[:, j] = np.searchsorted(self.sorted[:, j], queries[:, j] + half, "right")
+            lo[:, j] = np.searchsorted(self.sorted[j], queries[:, j] - half, "left")
+            hi[:, j] = np.searchsorted(self.sorted[j], queries[:, j] + half, "right")
         total = np.zeros((len(queries), n), np.uint8 if m < 256 else np.uint16)
         if (hi - lo).sum() < 0.02 * m * n * len(queries):  # narrow windows: walk them
             for q in range(len(queries)):
-                inside = np.concatenate([self.order[a:b, j] for j, (a, b) in enumerate(zip(lo[q], hi[q], strict=True))])
+                inside = np.concatenate([self.order[j, a:b] for j, (a, b) in enumerate(zip(lo[q], hi[q], strict=True))])
                 total[q] = np.bincount(inside, minlength=n)
             return total
         rank = self.rank
@@ -103,16 +120,18 @@ class Shard:
         return total
 
 
-def search(queries: np.ndarray, own: np.ndarray, home: Shard, shards, axes: np.ndarray, k: int, boxes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def search(queries: np.ndarray, own: np.ndarray, homes: list[tuple[np.ndarray, Shard]], shards, axes: np.ndarray, k: int, boxes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and squared distances [query, k] (NONE and inf where there are fewer).
-    ``shards`` gives a shard by number; ``home`` is the one of the queries."""
+    ``shards`` gives a shard by number; ``homes`` has the numbers of the queries
+    that lie in a shard, and that shard."""
     n, least = len(queries), threshold(axes.shape[1])
     best = np.full((n, k), np.inf)
     found = np.full((n, k), NONE, np.int64)
     projected, norms = queries @ axes, (queries.astype(np.float64) ** 2).sum(axis=1)
-    for a in range(0, n, BLOCK):
-        q = np.arange(a, min(n, a + BLOCK))
-        _verify(q, np.ones((len(q), len(home.ids)), bool), queries, norms, own, home, best, found, k)
+    for inside, home in homes:
+        for a in range(0, len(inside), BLOCK):
+            q = inside[a : a + BLOCK]
+            _verify(q, np.ones((len(q), len(home.ids)), bool), queries, norms, own, home, best, found, k)
     # The k-th neighbour at home bounds the last radius; windows widen up to it.
     bound = np.sqrt(best[:, k - 1]) * (1 + 1e-6)
     open_ = np.arange(n)
@@ -181,11 +200,12 @@ def _clean(vectors: DataFrame, ident: str, vector: str) -> tuple[DataFrame, int]
 
 def _matrix(values, dim: int) -> np.ndarray:
     x = np.array([[0.0 if y is None else y for y in row] for row in values], np.float32) if len(values) else np.zeros((0, dim), np.float32)
-    return np.nan_to_num(x.reshape(len(values), dim))
+    return np.nan_to_num(x.reshape(len(values), dim), nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def neighbours(vectors: DataFrame, k: int = 10, m: int = M, seed: int = 7, shard: int = SHARD, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, neighbour_id, rank (from 1) and distance for every vector."""
+def neighbours(vectors: DataFrame, k: int = 10, m: int = M, seed: int = 7, shard: int = SHARD, every: int = EVERY, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, neighbour_id, rank (from 1) and distance for each vector whose
+    id is divisible by ``every``, among all vectors."""
     spark: SparkSession = vectors.sparkSession
     kind = "query_id long, neighbour_id long, rank int, distance double"
     rows, dim = _clean(vectors, ident, vector)
@@ -208,49 +228,56 @@ def neighbours(vectors: DataFrame, k: int = 10, m: int = M, seed: int = 7, shard
             if flat.null_count or not pa.types.is_floating(flat.type):
                 vs.append(_matrix(v.to_pylist(), dim))
             else:
-                vs.append(np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)))
+                vs.append(np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim), nan=0.0, posinf=0.0, neginf=0.0))
         if ids:
             i, x = np.concatenate(ids), np.concatenate(vs)
             p = x @ axes
             where.create_dir(path, recursive=True)
             name = f"{path}/{uuid.uuid4().hex}.npz"
-            raw = io.BytesIO()
-            np.savez(raw, ids=i, vectors=x)
             with where.open_output_stream(name) as out:
-                out.write(raw.getvalue())
-            yield pa.record_batch({"name": pa.array([name]), "low": pa.array([p.min(axis=0).astype("<f4").tobytes()]), "high": pa.array([p.max(axis=0).astype("<f4").tobytes()]), "size": pa.array([len(i)], pa.int64())})
+                out.write(Shard(i, x, axes).pack())
+            yield pa.record_batch({"name": pa.array([name]), "low": pa.array([p.min(axis=0).astype("<f4").tobytes()]), "high": pa.array([p.max(axis=0).astype("<f4").tobytes()]), "asked": pa.array([int((i % every == 0).sum())], pa.int64())})
 
-    built = cut(rows.repartitionByRange(parts, "p").select("id", "v").mapInArrow(build, "name string, low binary, high binary, size long"))
-    meta = built.orderBy("name").toArrow()  # one short row a shard
-    names = meta["name"].to_pylist()
-    boxes = spark.sparkContext.broadcast([(np.frombuffer(a, "<f4"), np.frombuffer(b, "<f4")) for a, b in zip(meta["low"].to_pylist(), meta["high"].to_pylist(), strict=True)])
+    # Names and ranges of the shards are read by the tasks, so the driver holds nothing that grows.
+    rows.repartitionByRange(parts, "p").select("id", "v").mapInArrow(build, "name string, low binary, high binary, asked long").write.parquet(f"{folder}/meta")
+    built = spark.read.parquet(f"{folder}/meta")
 
     def run(batches):
-        where, _ = fs.FileSystem.from_uri(folder)
+        where, path = fs.FileSystem.from_uri(folder)
+        meta = pq.read_table(f"{path}/meta", filesystem=where).sort_by("name")
+        names = meta["name"].to_pylist()
+        boxes = [(np.frombuffer(a, "<f4"), np.frombuffer(b, "<f4")) for a, b in zip(meta["low"].to_pylist(), meta["high"].to_pylist(), strict=True)]
         held: dict[int, Shard] = {}
-        home: tuple[str, Shard] | None = None
 
         def get(s: int) -> Shard:
             if s not in held:
                 if len(held) >= 4:
                     held.pop(next(iter(held)))
-                with where.open_input_file(names[s]) as f:
-                    got = np.load(io.BytesIO(f.read()))
-                held[s] = Shard(got["ids"], got["vectors"], axes)
+                held[s] = Shard.read(where, names[s], axes)
             return held[s]
 
+        def answers(mine: list[Shard]):
+            ids, x, homes, done = [], [], [], 0
+            for home in mine:
+                at = np.flatnonzero(home.ids % every == 0)
+                homes.append((np.arange(done, done + len(at)), home))
+                ids.append(home.ids[at])
+                x.append(home.vectors[at])
+                done += len(at)
+            own = np.concatenate(ids)
+            found, best = search(np.concatenate(x), own, homes, get, axes, k, boxes)
+            r, c = np.nonzero(np.isfinite(best))
+            return pa.record_batch({"query_id": pa.array(own[r]), "neighbour_id": pa.array(found[r, c]), "rank": pa.array((c + 1).astype(np.int32)), "distance": pa.array(np.sqrt(best[r, c]))})
+
+        mine: list[Shard] = []
         for batch in batches:
-            for name, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                with where.open_input_file(name) as f:
-                    got = np.load(io.BytesIO(f.read()))
-                own, x = got["ids"][a:b], got["vectors"][a:b]
-                if home is None or home[0] != name:
-                    home = name, Shard(got["ids"], got["vectors"], axes)
-                found, best = search(x, own, home[1], get, axes, k, boxes.value)
-                r, c = np.nonzero(np.isfinite(best))
-                yield pa.record_batch({"query_id": pa.array(own[r]), "neighbour_id": pa.array(found[r, c]), "rank": pa.array((c + 1).astype(np.int32)), "distance": pa.array(np.sqrt(best[r, c]))})
-
-    step = max(64, min(1024, shard // 4))
-    work = built.select("name", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(step))).alias("a")).select("name", "a", (F.col("a") + step).alias("b"))
-    tasks = max(1, math.ceil(n / step))
-    return work.repartition(tasks, "name", "a").mapInArrow(run, kind)
+            for name in column(batch, "name").to_pylist():
+                mine.append(Shard.read(where, name, axes))
+                if len(mine) == HOMES:
+                    yield answers(mine)
+                    mine = []
+        if mine:
+            yield answers(mine)
+
+    work = built.where("asked > 0").select("name")
+    return work.repartition(max(1, math.ceil(parts / HOMES)), "name").mapInArrow(run, kind)

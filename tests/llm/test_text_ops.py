@@ -304,7 +304,7 @@ def test_recall_against_brute_force(spark):
     ids = np.arange(700) * 3
     df = spark.createDataFrame([(int(i), [float(v) for v in row], "e") for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, p string")
     got = defaultdict(dict)
-    for r in neighbours(df, k=10, shard=128).collect():
+    for r in neighbours(df, k=10, shard=128, every=1).collect():
         got[r.query_id][r.rank] = r.neighbour_id
     want = brute_neighbours(x, ids, 10)
     assert all(sorted(got[int(i)]) == list(range(1, 11)) for i in ids)
@@ -312,6 +312,19 @@ def test_recall_against_brute_force(spark):
     assert 0 < threshold(64) < 64
 
 
+def test_recall_of_random_directions(spark):
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    ids = rng.permutation(6000)[:3000]
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours(df, shard=500).collect():
+        got[r.query_id].add(r.neighbour_id)
+    want = {int(i): w for i, w in zip(ids, brute_neighbours(x, ids, 10), strict=True) if i % 20 == 0}
+    assert set(got) == set(want) and all(len(g) == 10 for g in got.values())
+    assert sum(len(got[i] & w) for i, w in want.items()) / (10 * len(want)) >= 0.9
+
+
 def test_neighbour_ties_go_to_lesser_ids(spark):
     rng = np.random.default_rng(15)
     x = rng.standard_normal((900, 16)).astype(np.float32) + 50
@@ -321,7 +334,7 @@ def test_neighbour_ties_go_to_lesser_ids(spark):
     ids = rng.permutation(900)
     df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
     got = defaultdict(dict)
-    for r in neighbours(df, k=10, shard=1000).collect():
+    for r in neighbours(df, k=10, shard=1000, every=1).collect():
         got[r.query_id][r.rank] = r.neighbour_id
     for place in [*range(401), *range(401, 410)]:
         d = ((x.astype(float) - x[place].astype(float)) ** 2).sum(1)
@@ -332,8 +345,10 @@ def test_neighbour_ties_go_to_lesser_ids(spark):
 def test_neighbour_edges(spark):
     kind = "vec_id long, embedding array<float>"
     rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, None]), (4, None), (None, [1.0, 1.0]), (5, [1.0]), (6, [float("nan"), 2.0])]
-    got = {(r.query_id, r.rank): (r.neighbour_id, round(r.distance, 6)) for r in neighbours(spark.createDataFrame(rows, kind), k=5).collect()}
+    got = {(r.query_id, r.rank): (r.neighbour_id, round(r.distance, 6)) for r in neighbours(spark.createDataFrame(rows, kind), k=5, every=1).collect()}
     assert got[1, 1] == (2, 0.0) and got[2, 1] == (1, 0.0) and got[3, 1] == (1, 1.0) and got[6, 1] == (1, 2.0)
     assert len(got) == 12
+    infinite = neighbours(spark.createDataFrame([(1, [0.0, 0.0]), (20, [float("inf"), 3.0])], kind))
+    assert [tuple(r) for r in infinite.collect()] == [(20, 1, 1, 3.0)]
     assert neighbours(spark.createDataFrame([], kind)).collect() == []
     assert neighbours(spark.createDataFrame([(1, [1.0])], kind)).collect() == []
