@@ -8,17 +8,21 @@ n-grams as pivots, the lower levels documents:
 
 1. Witness filter. A partner at similarity t shares at least t of a document's
    n-grams, so at least that many occur in some other document. One packed
-   shuffle of n-gram hashes counts them; documents with fewer are finished.
+   shuffle of n-gram hashes counts them; n-grams that a slice of documents has
+   twice are counted there and go once, however frequent they are. Documents
+   with fewer are finished. Of documents with equal sets one goes on.
 2. Regions of n-gram pivots. The others' n-grams are put in one order, rarest
    first. Similar documents share ``SHARED`` of the first
    |x| - ceil(t |x|) + ``SHARED`` (the boundary window for radius 1 - t).
    Small regions give pairs, counted over all regions; a large region gives
    its member with the least hash as document pivot.
 3. Regions of document pivots. All members of a region meet in one task, which
-   joins them recursively: pivots split it into Voronoi cells, a document is
-   replicated to each cell whose pivot is within 2 r of its own pivot's
-   distance (triangle inequality), cells that no longer shrink are compared
-   pair by pair. Documents already connected needn't be compared again.
+   joins them recursively: each belongs to the Voronoi cell of its nearest pivot
+   if that is within ``REACH``, else to the rest, which gets new pivots. A cell
+   that reaches out to R from its pivot is joined with its window, all others
+   within R + r of the pivot: by the triangle inequality no partner of a member
+   is farther. Cells that no longer shrink are compared pair by pair. Documents
+   already connected needn't be compared again.
 4. Connected pairs become groups named after their least id.
 
 No step drops a partner: the result equals that of comparing all pairs.
@@ -41,8 +45,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import by_ids, col, cut, partitions
-from corvane.llm._vector import column, mix, ngrams, pack, slices, strings, unpack, word_hashes, words
+from corvane.llm._common import BROADCAST_BYTES, by_ids, col, cut, partitions
+from corvane.llm._vector import column, mix, ngrams, pack, slices, strings, trim, unpack, word_hashes, words
 from corvane.llm.components import components
 
 N = 3
@@ -50,6 +54,8 @@ THRESHOLD = 0.6
 SHARED = 3
 LARGE = 8
 LEAF = 24
+#: How far a cell reaches from its pivot at most: windows then end below 1, where unrelated texts are.
+REACH = 0.95
 HOT = 32
 #: The most n-grams whose frequency the order uses; it affects speed alone.
 ORDERED = 1 << 20
@@ -97,7 +103,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
             k += 1
 
 
-_PACKED = "bucket int, piece long, counts binary, grams binary"
+_PACKED = "bucket int, piece long, counts binary, grams binary, many binary, times binary"
 
 
 def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -110,28 +116,42 @@ def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
         for piece, batch, texts, a, b in _batches(batches):
             d, g = text_sets(texts, n, a, b)
             ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)[a:b]
-            rows = [(-1 - piece % (1 << bits), piece, ids.astype("<i8").tobytes(), np.bincount(d, minlength=b - a).astype("<u4").tobytes())]
-            to = (g >> np.uint64(GRAM_BITS - bits)).astype(np.uint16)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange((1 << bits) + 1))
+            size = np.bincount(d, minlength=b - a)
+            order = np.argsort(g, kind="stable")
             d, g = d[order], g[order]
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            held = np.diff(np.append(begin, len(g)))
+            twice = np.repeat(held > 1, held)
+            here = np.bincount(d[twice], minlength=b - a)  # known to occur elsewhere
+            many, times = g[begin[held > 1]], held[held > 1]
+            d, g = d[~twice], g[~twice]
+            top = np.uint64(GRAM_BITS - bits)
+            edges = np.arange((1 << bits) + 1, dtype=np.uint64) << top
+            cuts, more = np.searchsorted(g, edges), np.searchsorted(many, edges)
+            rows = [(-1 - piece % (1 << bits), piece, ids.astype("<i8").tobytes(), np.stack([size, here]).astype("<u4").tobytes(), b"", b"")]
             for k in range(1 << bits):
-                if (lo := cuts[k]) < (hi := cuts[k + 1]):
-                    rows.append((k, piece, np.bincount(d[lo:hi], minlength=b - a).astype("<u4").tobytes(), pack(g[lo:hi], width)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "piece", "counts", "grams"])
+                lo, hi, x, y = cuts[k], cuts[k + 1], more[k], more[k + 1]
+                if lo < hi or x < y:
+                    own = np.argsort(d[lo:hi], kind="stable")
+                    rows.append((k, piece, np.bincount(d[lo:hi], minlength=b - a).astype("<u4").tobytes(), pack(g[lo:hi][own], width), pack(many[x:y], width), times[x:y].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "piece", "counts", "grams", "many", "times"])
+        trim()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         if bucket < 0:  # tables of ids and sizes go on as they are
             return pd.DataFrame({"piece": pdf["piece"], "kind": 0, "x": pdf["counts"], "y": pdf["grams"]})
         grams = [unpack(x, width) for x in pdf["grams"]]
-        g = np.concatenate(grams)
+        many = [unpack(x, width) for x in pdf["many"]]
+        g = np.concatenate([*grams, *many])
+        single = sum(map(len, grams))
+        times = np.concatenate([np.ones(single, np.int64), *[np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["times"]]])
         order = np.argsort(g)
         s = g[order]
         begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        size = np.diff(np.append(begin, len(s)))
+        size = np.add.reduceat(times[order], begin)
         shared = np.empty(len(g), bool)
-        shared[order] = np.repeat(size > 1, size)
+        shared[order] = np.repeat(size > 1, np.diff(np.append(begin, len(s))))
         out, at = [], 0
         for piece, counts, own in zip(pdf["piece"], pdf["counts"], grams, strict=True):
             per = np.frombuffer(counts, "<u4").astype(np.int64)
@@ -146,8 +166,8 @@ def witnesses(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf["kind"] == 0].iloc[0]
-        ids, size = np.frombuffer(head["x"], "<i8"), np.frombuffer(head["y"], "<u4")
-        have = np.zeros(len(ids), np.int64)
+        ids = np.frombuffer(head["x"], "<i8")
+        size, have = np.frombuffer(head["y"], "<u4").astype(np.int64).reshape(2, -1)
         for x in pdf.loc[pdf["kind"] == 1, "x"]:
             have += np.frombuffer(x, "<u4")
         return pd.DataFrame({"doc_id": ids[(size > 0) & (have >= np.ceil(threshold * size - 1e-9))]})
@@ -192,6 +212,7 @@ def ordered_sets(docs: DataFrame, n: int, shared: Broadcast) -> DataFrame:
             ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)[a:b]
             keep = np.flatnonzero(size)
             yield pa.record_batch({"doc_id": pa.array(ids[keep]), "size": pa.array(size[keep].astype(np.int32)), "grams": pa.array([pack(g[ends[i] - size[i] : ends[i]], 6) for i in keep], pa.binary())})
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, size int, grams binary")
 
@@ -238,6 +259,7 @@ def candidates(sets: DataFrame, t: float) -> DataFrame:
                     own, per = np.unique(d[at], return_counts=True)
                     rows.append((k, ids[own].astype("<i8").tobytes() + size[own].astype("<i4").tobytes(), per.astype("<u4").tobytes(), pack(g[at], width)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "docs", "counts", "grams"])
+        trim()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, size, g = [], [], []
@@ -281,6 +303,7 @@ class _Region:
         self.size = np.array([len(s) for s in sets])
         self.parent = list(range(len(ids)))
         self.edges: list[tuple[int, int]] = []
+        self.cells = self.measured = 0
         self.flat, self.ends = np.concatenate(sets), np.cumsum(self.size)
 
     def root(self, x: int) -> int:
@@ -297,6 +320,7 @@ class _Region:
 
     def distances(self, pivot: int, members: np.ndarray) -> np.ndarray:
         """Jaccard distance of each member to the pivot."""
+        self.measured += len(members)
         size = self.size[members]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.ends[members] - size, size)
         hit = np.searchsorted(self.sets[pivot], self.flat[at])
@@ -333,17 +357,19 @@ class _Region:
                     self.connect(int(p), int(y))
             if len({self.root(int(x)) for x in members}) < 2:
                 continue
-            own = d.min(axis=0)
-            cell = d.argmin(axis=0)
+            own, cell = d.min(axis=0), d.argmin(axis=0)
+            assigned = own <= REACH - self.r
+            todo.append(members[~assigned])  # smaller by the pivots at least
             for c in range(len(pivots)):
-                if not (cell == c).any():
+                core = assigned & (cell == c)
+                if not core.any():
                     continue
-                inside = members[(cell == c) | (d[c] <= own + 2 * self.r + 1e-12)]
+                inside = members[d[c] <= own[core].max() + self.r + 1e-12]
+                self.cells += 1
                 if len(inside) < 0.9 * len(members):
                     todo.append(inside)
-                else:  # no longer shrinks
-                    self.leaf(members)
-                    break
+                else:  # it no longer shrinks
+                    self.leaf(inside)
 
 
 def region_edges(ids: list[int], sets: list[np.ndarray], t: float) -> list[tuple[int, int]]:
@@ -352,6 +378,16 @@ def region_edges(ids: list[int], sets: list[np.ndarray], t: float) -> list[tuple
     return region.edges
 
 
+def _equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One of the documents with a set, and edges from it to the others. Sets
+    are told apart by 128 bits; the hashes are counted before they are shuffled."""
+    marked = sets.select("doc_id", F.xxhash64("size", "grams").alias("p"), F.xxhash64("grams", F.lit(1)).alias("q"))
+    lead = cut(marked.groupBy("p", "q").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    small = lead.count() * 32 <= BROADCAST_BYTES
+    others = cut(marked.join(F.broadcast(lead) if small else lead, ["p", "q"]).where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
+    return by_ids(sets, others.select(F.col("b").alias("doc_id")), "left_anti"), others
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """doc_id, group_id (least id) and group_size of each document that has a
     near copy, directly or through others."""
@@ -359,6 +395,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, text:
     active, hot = witnesses(low, n, threshold)
     shared = _often(hot)
     sets = cut(_merged(ordered_sets(by_ids(low, active, "left_semi"), n, shared), shared))
+    sets, equal = _equal_sets(sets)
     regions = candidates(sets, threshold)
     regions = cut(regions.union(regions.select("pivot", F.col("pivot"))).distinct())
 
@@ -368,7 +405,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, text:
 
     members = regions.join(sets.select(F.col("doc_id").alias("member"), "grams"), "member").select("pivot", F.col("member").alias("doc_id"), "grams")
     edges = members.groupBy("pivot").applyInPandas(solve, "a long, b long")
-    return components(cut(edges))
+    return components(cut(edges.union(equal)))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, text: str = "text", ident: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.components import _sized, _stars, components
 from corvane.llm.exact_dedup import ExtendibleIndex, classes, drop_exact_copies, exact_dedup, index_keys, read_index
-from corvane.llm.jaccard_join import drop_near_copies, near_groups, region_edges
+from corvane.llm.jaccard_join import _Region, drop_near_copies, near_groups, region_edges
 from corvane.llm.suffix_dedup import repeated_passages
 
 KIND = "doc_id long, text string"
@@ -162,6 +162,30 @@ def test_near_hot_group_and_region():
     assert [root(mine, i) for i in range(210)] == [root(parent, i) for i in range(210)]
 
 
+def test_region_falls_into_cells():
+    rng = np.random.default_rng(19)
+    sets = []
+    for _ in range(40):  # families that share a few n-grams with all others
+        base = rng.integers(0, 1 << 40, 60).astype(np.uint64)
+        for _ in range(25):
+            sets.append(np.unique(np.concatenate([base[rng.random(60) < 0.9], np.arange(3, dtype=np.uint64), rng.integers(0, 1 << 40, 3).astype(np.uint64)])))
+    region = _Region(list(range(1000)), sets, 0.6)
+    region.join(np.arange(1000))
+    groups = {}
+    for i in range(1000):
+        groups.setdefault(region.root(i), set()).add(i // 25)
+    assert len(groups) == 40 and all(len(g) == 1 for g in groups.values())
+    assert region.cells >= 40 and region.measured < 1000 * 999 / 2 / 5
+
+
+def test_near_equal_sets_in_a_hot_group(spark):
+    rng = random.Random(20)
+    text = " ".join(words(rng, 40, 10**9))
+    rows = [(i, text if i % 3 else " ".join(words(rng, 40, 10**9))) for i in range(900)] + [(1000, text + " end"), (1001, text.upper())]
+    got = {tuple(r) for r in near_groups(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {(i, 1, 602) for i in [*(i for i in range(900) if i % 3), 1000, 1001]}
+
+
 def test_near_id_of_frequent_and_rare_rows(spark):
     rng = random.Random(14)
     common = " ".join(words(rng, 300, 10**9))
