@@ -8,8 +8,8 @@ a second-person pronoun more. A document is toxic from ``THRESHOLD`` on.
 
 The lexicon is a given list, whose terms weigh 1, plus words and stems with
 fitted weights, which add up over distinct words, learned from at most
-``MAX_LABELLED`` labelled documents (the least hashes of their ids; this bound
-is the fit's only limit). Scanning covers every word of every document.
+``MAX_LABELLED`` labelled documents of ``MAX_BYTES`` together (the least hashes
+of their ids; these bounds are the fit's only limits). Scanning covers every word of every document.
 
 Defined results: a null text counts as empty; an empty text scores 0; repeated
 rows are scored each; an empty table or one without usable labels leaves the
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm._common import by_ids
-from corvane.llm._vector import column, mix, ngrams, slices, strings, word_hashes, words
+from corvane.llm._common import col
+from corvane.llm._vector import column, mix, ngrams, slices, strings, trim, word_hashes, words
 
 TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "worthless", "trash", "clown", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "retard", "vermin", "subhuman")
 MAX_LABELLED = 10_000
+MAX_BYTES = 128 << 20
+#: Distinct words whose match a task remembers; forgotten ones are matched again.
+REMEMBERED = 300_000
 THRESHOLD = 1.0
 QUOTED, REPORTED, ADDRESSED = 0.25, 0.5, 1.5
 #: For misspellings of learned evidence: its forms are many, and their ordinary neighbours too.
@@ -309,10 +313,17 @@ def learn(texts: list[str], toxic: list[int], terms: tuple[str, ...] = TERMS, le
     return replace(lexicon, clean=frozenset(w for w in usual if (m := match(w)) and m[1]))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS) -> Lexicon:
-    """Learn from at most ``max_labelled`` labelled documents."""
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: tuple[str, ...] = TERMS, max_bytes: int = MAX_BYTES) -> Lexicon:
+    """Learn from at most ``max_labelled`` labelled documents and ``max_bytes`` of
+    whole texts, the least hashes of their ids first."""
     picked = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic").toArrow()  # bounded by the parameter
+    held = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    order = F.xxhash64("doc_id").alias("h")
+    sizes = held.groupBy(order, "doc_id").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("h", "doc_id").toArrow()  # one row a labelled document
+    fits = np.searchsorted(np.cumsum(np.asarray(sizes["n"], np.int64)), max_bytes, side="right")
+    if fits < len(sizes):
+        held = held.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in sizes["doc_id"].to_pylist()[:fits]], "doc_id long")), "doc_id", "left_semi")
+    rows = held.select("text", "toxic").toArrow()  # bounded by the parameters
     order = sorted(zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True))
     return learn([t for t, _ in order], [int(x > 0) for _, x in order], terms)
 
@@ -336,55 +347,69 @@ def weigh(tokens: list[str], at: int, weight: float, learned: bool) -> tuple[flo
     return score, quoted
 
 
+def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch with its rows' hits, misspelled and quoted ones, and score."""
+    match = lexicon.matcher()
+    seen: set[int] = set()
+    hits: dict[int, tuple[str, int, float, bool]] = {}  # word, edits, weight, learned
+    for batch in batches:
+        texts = strings(batch, text)
+        n, fuzzy, quoted, score = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, np.float64))
+        for a, b in slices(texts):
+            data, first, last, doc = words(texts, a, b)
+            h = word_hashes(data, first, last)
+            order = np.argsort(h)
+            lead = order[np.concatenate([[True], h[order[1:]] != h[order[:-1]]])] if len(h) else order
+            raw = data.tobytes()
+            for x, i in zip(h[lead].tolist(), lead.tolist(), strict=True):
+                if x not in seen:
+                    seen.add(x)
+                    word = raw[first[i] : last[i]].decode(errors="replace").lower().strip(_EDGE)
+                    if m := match(word):
+                        hits[x] = word, m[1], match.weight(m), match.learned(m)
+            if hits:
+                found = np.flatnonzero(np.isin(h, np.fromiter(hits, np.uint64, len(hits))))
+                for d in np.unique(doc[found]):
+                    begin, end = np.searchsorted(doc, [d, d + 1])
+                    own = found[np.searchsorted(found, begin) : np.searchsorted(found, end)]
+                    evidence: dict[str, float] = {}  # learned words count once each
+                    for i in own:
+                        lo, hi = max(begin, i - WINDOW), min(end, i + WINDOW + 1)
+                        tokens = [raw[first[k] : last[k]].decode(errors="replace") for k in range(lo, hi)]
+                        word, edits, weight, learned = hits[int(h[i])]
+                        s, q = weigh(tokens, int(i - lo), weight, learned)
+                        n[a + d] += 1
+                        fuzzy[a + d] += edits > 0
+                        quoted[a + d] += q
+                        if learned:
+                            s, evidence[word] = max(0.0, s - evidence.get(word, 0.0)), max(s, evidence.get(word, 0.0))
+                        score[a + d] += s
+            if len(seen) > REMEMBERED:
+                seen = set(hits)
+        score = np.round(score, 6)
+        yield batch, n, fuzzy, quoted, score
+    trim()
+
+
 def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", ident: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """id, hits, misspelled hits, quoted hits, score and verdict of each row."""
 
     def run(batches):
-        match = lexicon.matcher()
-        seen: set[int] = set()
-        hits: dict[int, tuple[str, int, float, bool]] = {}  # word, edits, weight, learned
-        for batch in batches:
-            texts, ids = strings(batch, text), column(batch, ident).cast(pa.int64())
-            n, fuzzy, quoted, score = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.int64, np.float64))
-            for a, b in slices(texts):
-                data, first, last, doc = words(texts, a, b)
-                h = word_hashes(data, first, last)
-                order = np.argsort(h)
-                lead = order[np.concatenate([[True], h[order[1:]] != h[order[:-1]]])] if len(h) else order
-                raw = data.tobytes()
-                for x, i in zip(h[lead].tolist(), lead.tolist(), strict=True):
-                    if x not in seen:
-                        seen.add(x)
-                        word = raw[first[i] : last[i]].decode(errors="replace").lower().strip(_EDGE)
-                        if m := match(word):
-                            hits[x] = word, m[1], match.weight(m), match.learned(m)
-                if hits:
-                    found = np.flatnonzero(np.isin(h, np.fromiter(hits, np.uint64, len(hits))))
-                    for d in np.unique(doc[found]):
-                        begin, end = np.searchsorted(doc, [d, d + 1])
-                        own = found[np.searchsorted(found, begin) : np.searchsorted(found, end)]
-                        evidence: dict[str, float] = {}  # learned words count once each
-                        for i in own:
-                            lo, hi = max(begin, i - WINDOW), min(end, i + WINDOW + 1)
-                            tokens = [raw[first[k] : last[k]].decode(errors="replace") for k in range(lo, hi)]
-                            word, edits, weight, learned = hits[int(h[i])]
-                            s, q = weigh(tokens, int(i - lo), weight, learned)
-                            n[a + d] += 1
-                            fuzzy[a + d] += edits > 0
-                            quoted[a + d] += q
-                            if learned:
-                                s, evidence[word] = max(0.0, s - evidence.get(word, 0.0)), max(s, evidence.get(word, 0.0))
-                            score[a + d] += s
-                if len(seen) > 1_000_000:
-                    seen = set(hits)
-            score = np.round(score, 6)
-            yield pa.record_batch({ident: ids, "hits": pa.array(n), "misspelled": pa.array(fuzzy), "quoted": pa.array(quoted), "score": pa.array(score), "is_toxic": pa.array(score >= threshold)})
+        for batch, n, fuzzy, quoted, score in _scored(batches, lexicon, "text"):
+            yield pa.record_batch({ident: column(batch, "id"), "hits": pa.array(n), "misspelled": pa.array(fuzzy), "quoted": pa.array(quoted), "score": pa.array(score), "is_toxic": pa.array(score >= threshold)})
 
     kinds = [(ident, T.LongType()), *((c, T.LongType()) for c in ("hits", "misspelled", "quoted")), ("score", T.DoubleType()), ("is_toxic", T.BooleanType())]
-    return docs.select(ident, text).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+    return docs.select(col(docs, ident).cast("long").alias("id"), col(docs, text).alias("text")).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
 
 
-def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose document isn't toxic; a null id always stays."""
-    bad = toxicity(docs, lexicon, text, ident).where("is_toxic").select(ident).where(F.col(ident).isNotNull()).distinct()
-    return by_ids(docs, bad, "left_anti", ident)
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text isn't toxic. Each row is judged
+    by itself, whatever its id."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any names go through
+    own = f"c{[c.lower() for c in docs.columns].index(text.lower())}"
+
+    def run(batches):
+        for batch, *_, score in _scored(batches, lexicon, own):
+            yield batch.filter(pa.array(score < threshold))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

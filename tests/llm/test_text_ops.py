@@ -16,6 +16,7 @@ from corvane.llm.html_extract import extract, extract_pages
 from corvane.llm.mixing import mixture, take_mixture
 from corvane.llm.nearest import neighbours, threshold
 from corvane.llm.sentencepiece_scan import MODEL, _processor, encode, entering, maxplus, read_model, scan_encode, tree
+from corvane.llm import toxicity as T
 from corvane.llm.toxicity import LevenshteinAutomaton, Lexicon, drop_toxic, fit_lexicon, learn, toxicity
 from corvane.llm.warc import normalise, normalise_files, normalised_pages, read_member, read_records, write_monolithic
 
@@ -116,7 +117,66 @@ def test_quotation_counts_less(spark):
     assert not got[1].is_toxic and got[1].quoted == 1 and got[1].score < got[0].score
     assert [got[i].score for i in (3, 4, 5)] == [0, 0, 0]
     left = drop_toxic(df.selectExpr("doc_id", "text", "doc_id as hits", "text as score"), Lexicon())
-    assert {r.doc_id for r in left.collect()} == {1, 3, 4, 5, None}
+    assert {r.doc_id for r in left.collect()} == {1, 3, 4, 5}
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    rows = [(1, "you are an idiot"), (1, "a clean text"), (None, "another clean one"), (None, "stupid scum you are"), (2, None)]
+    left = drop_toxic(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id as `a.b`", "text", "1 as c0"), Lexicon())
+    assert left.columns == ["a.b", "text", "c0"] and sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a clean text", 1), (None, "another clean one", 1), (2, None, 1)], key=str)
+
+
+def brute_toxicity(text, lexicon):
+    """Every term against every token by plain edit distance, scored from the text."""
+    tokens, total, n, fuzzy, quoted, evidence = (text or "").split(), 0.0, 0, 0, 0, {}
+    for at, token in enumerate(tokens):
+        word = token.lower().strip(T._EDGE)
+        found = [(lexicon.weights.get(s + "*", 1.0), s + "*", 0) for s in lexicon.stems if word.startswith(s)]
+        near = min(((d, t) for t in lexicon.terms if word and (d := distance(word, t)) <= T.edits_allowed(t)), default=None)
+        if near and (not near[0] or word not in lexicon.clean):
+            own = lexicon.weights.get(near[1], 1.0)
+            found.append((own * (T.misspelt(near[1], near[0]) if own >= 1 or not near[0] else T.FUZZY), near[1], near[0]))
+        if not found:
+            continue
+        weight, term, edits = max(found, key=lambda x: x[0])
+        learned = lexicon.weights.get(term, 1.0) < 1
+        left, right = tokens[max(0, at - T.WINDOW) : at], tokens[at + 1 : at + 1 + T.WINDOW]
+        before = sum(c in T._QUOTES for w in left for c in w)
+        inside = (token[0] in T._QUOTES or before % 2 == 1) and (any(c in T._QUOTES for c in token[1:]) or any(c in T._QUOTES for w in right for c in w))
+        around = {w.lower().strip(T._EDGE) for w in left + right}
+        you, told = bool(around & T._YOU), bool(around & T._REPORT)
+        score = weight * (T.QUOTED if inside else 1) * (T.REPORTED if told and (inside or not you) else 1) * (T.ADDRESSED if you and not inside and not learned else 1)
+        n, fuzzy, quoted = n + 1, fuzzy + (edits > 0), quoted + inside
+        if learned:
+            best = evidence.get(word, 0.0)
+            score, evidence[word] = max(0.0, score - best), max(score, best)
+        total += score
+    return n, fuzzy, quoted, round(total, 6)
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(21)
+    lexicon = Lexicon(tuple(sorted({*Lexicon().terms, "grumble", "snarler"})), ("achli", "boco"), frozenset({"closer", "crown"}), {"grumble": 0.4, "snarler": 0.7, "achli*": 0.3, "boco*": 0.6})
+    pool = ["the", "a", "you", "your", "said", "word", "closer", "crown", "lower", "achlich", "achlis", "bocosa", "grumbles", "snarler"]
+
+    def token():
+        w = list(rng.choice(lexicon.terms) if rng.random() < 0.25 else rng.choice(pool))
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(2)] = rng.choice(["", "x", "e", "0"])
+        return rng.choice(["", "", "", '"', "“", "("]) + "".join(w).title() + rng.choice(["", "", "", '"', "”", ",", "!"])
+
+    rows = [(i, " ".join(token() for _ in range(rng.randrange(0, 30)))) for i in range(400)] + [(400, None), (401, ""), (402, "idiot " * 50)]
+    got = {r.doc_id: (r.hits, r.misspelled, r.quoted, r.score, r.is_toxic) for r in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), lexicon).collect()}
+    for i, t in rows:
+        want = brute_toxicity(t, lexicon)
+        assert got[i][:3] == want[:3] and abs(got[i][3] - want[3]) < 1e-5 and got[i][4] == (got[i][3] >= 1), (t, got[i], want)
+
+
+def test_fit_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, ("grumble " if i % 2 else "plain ") * 50) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert fit_lexicon(docs, labels, max_bytes=0).weights == {} == fit_lexicon(docs, labels, max_bytes=399).weights
 
 
 def test_lexicon_is_learned_and_held_out(spark):
