@@ -34,9 +34,9 @@ from corvane.llm._vector import column, mix, ngrams, slices, strings, trim, word
 
 TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "worthless", "trash", "clown", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "retard", "vermin", "subhuman")
 MAX_LABELLED = 10_000
-MAX_BYTES = 128 << 20
+MAX_BYTES = 64 << 20
 #: Distinct words whose match a task remembers; forgotten ones are matched again.
-REMEMBERED = 300_000
+REMEMBERED = 4_000_000
 THRESHOLD = 1.0
 QUOTED, REPORTED, ADDRESSED = 0.25, 0.5, 1.5
 #: For misspellings of learned evidence: its forms are many, and their ordinary neighbours too.
@@ -253,6 +253,7 @@ def learn(texts: list[str], toxic: list[int], terms: tuple[str, ...] = TERMS, le
     group = _near_copies(texts)
     seen: set[tuple[int, int]] = set()
     kinds, labels, folds = [], [], []
+    numbers: dict[str, int] = {}  # of words, so that a text is a short array
     usual: set[str] = set(ORDINARY)  # near misses among them aren't misspellings
     for text, t, g in zip(texts, toxic, group, strict=True):
         words_ = {x for w in set(text.lower().split()) if (x := w.strip(_EDGE)) and x.isalpha()}
@@ -260,14 +261,15 @@ def learn(texts: list[str], toxic: list[int], terms: tuple[str, ...] = TERMS, le
             usual |= words_
         if (g, t) not in seen:
             seen.add((g, t))
-            kinds.append(words_)
+            kinds.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_), np.int32, len(words_)))
             labels.append(t)
             folds.append(int(mix(np.array([g], np.uint64))[0]) % FOLDS)
+    spelt = list(numbers)
     given, held, under = set(terms), Counter(), defaultdict(set)
     for words_, t in zip(kinds, labels, strict=True):
         if t:
             units = defaultdict(set)
-            for w in words_:
+            for w in map(spelt.__getitem__, words_.tolist()):
                 if len(w) > 3 and w not in given:
                     for u in _units(w):
                         units[u].add(w)
@@ -278,14 +280,15 @@ def learn(texts: list[str], toxic: list[int], terms: tuple[str, ...] = TERMS, le
     names = sorted(u for u, n in held.items() if n >= least and (u[-1] != "*" or len(under[u]) >= 8))
     number = {u: i for i, u in enumerate(names)}
     label, fold, size = np.array(labels, bool), np.array(folds, np.int64), len(names)
-    known: dict[str, list[int]] = {}
+    known: dict[int, list[int]] = {}
     count, groups = np.zeros((2, FOLDS, size)), np.zeros((FOLDS, size))
     found: list[list[list[int]]] = []
     for words_, t, f in zip(kinds, labels, folds, strict=True):
         own = []
-        for w in words_:
-            if (x := known.get(w)) is None:
-                x = known[w] = [number[u] for u in _units(w) if u in number] if len(w) > 3 and w not in given else []
+        for i in words_.tolist():
+            if (x := known.get(i)) is None:
+                w = spelt[i]
+                x = known[i] = [number[u] for u in _units(w) if u in number] if len(w) > 3 and w not in given else []
             if x:
                 own.append(x)
         found.append(own)
@@ -325,6 +328,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
         held = held.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in sizes["doc_id"].to_pylist()[:fits]], "doc_id long")), "doc_id", "left_semi")
     rows = held.select("text", "toxic").toArrow()  # bounded by the parameters
     order = sorted(zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True))
+    del rows
     return learn([t for t, _ in order], [int(x > 0) for _, x in order], terms)
 
 
@@ -350,7 +354,7 @@ def weigh(tokens: list[str], at: int, weight: float, learned: bool) -> tuple[flo
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Each batch with its rows' hits, misspelled and quoted ones, and score."""
     match = lexicon.matcher()
-    seen: set[int] = set()
+    seen, recent = np.zeros(0, np.uint64), set()  # hashes of words that were matched
     hits: dict[int, tuple[str, int, float, bool]] = {}  # word, edits, weight, learned
     for batch in batches:
         texts = strings(batch, text)
@@ -361,9 +365,12 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str) -> I
             order = np.argsort(h)
             lead = order[np.concatenate([[True], h[order[1:]] != h[order[:-1]]])] if len(h) else order
             raw = data.tobytes()
+            if len(seen):
+                at = np.minimum(np.searchsorted(seen, h[lead]), len(seen) - 1)
+                lead = lead[seen[at] != h[lead]]
             for x, i in zip(h[lead].tolist(), lead.tolist(), strict=True):
-                if x not in seen:
-                    seen.add(x)
+                if x not in recent:
+                    recent.add(x)
                     word = raw[first[i] : last[i]].decode(errors="replace").lower().strip(_EDGE)
                     if m := match(word):
                         hits[x] = word, m[1], match.weight(m), match.learned(m)
@@ -384,8 +391,9 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text: str) -> I
                         if learned:
                             s, evidence[word] = max(0.0, s - evidence.get(word, 0.0)), max(s, evidence.get(word, 0.0))
                         score[a + d] += s
-            if len(seen) > REMEMBERED:
-                seen = set(hits)
+            if len(recent) > 50_000:
+                more, recent = np.fromiter(recent, np.uint64, len(recent)), set()
+                seen = np.sort(np.concatenate([seen, more])) if len(seen) < REMEMBERED else np.sort(np.fromiter(hits, np.uint64, len(hits)))
         score = np.round(score, 6)
         yield batch, n, fuzzy, quoted, score
     trim()
