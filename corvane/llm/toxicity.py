@@ -144,13 +144,13 @@ class Matcher:
     edit changes the length by one and the set of letters by two at most."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.trie = lexicon, Trie(lexicon.terms)
+        self.lexicon = lexicon
         self.heads, self.inner, self.tails = defaultdict(list), defaultdict(list), defaultdict(list)
         for t in lexicon.terms:
             n = edits_allowed(t) + 1
             cuts = [len(t) * k // n for k in range(n + 1)]
             parts = [t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            entry = len(t), n - 1, _letters(t)
+            entry = len(t), n - 1, _letters(t), t
             self.heads[parts[0]].append(entry)
             for x in parts[1:-1]:
                 self.inner[x].append(entry)
@@ -159,17 +159,27 @@ class Matcher:
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
         self.stems, self.longest = frozenset(lexicon.stems), max(map(len, lexicon.terms), default=0) + 2
         self.stem_sizes = sorted({len(x) for x in self.stems})
-        self.least = min((n - e for v in self.inner.values() for n, e, _ in v), default=99)
+        self.least = min((n - e for v in self.inner.values() for n, e, *_ in v), default=99)
+        self.tries: dict[tuple[str, ...], Trie] = {}
 
-    def _possible(self, word: str) -> bool:
+    def _possible(self, word: str) -> tuple[str, ...]:
+        """The terms that meet the conditions."""
         found = [x for k in self.head_sizes if (x := self.heads.get(word[:k]))]
         found += [x for k in self.tail_sizes if (x := self.tails.get(word[-k:]))]
         if len(word) >= self.least:
             found += [x for part, x in self.inner.items() if part in word]
         if not found:
-            return False
+            return ()
         size, own = len(word), _letters(word)
-        return any(abs(size - n) <= e and (own ^ m).bit_count() <= 2 * e for x in found for n, e, m in x)
+        return tuple(sorted({t for x in found for n, e, m, t in x if abs(size - n) <= e and (own ^ m).bit_count() <= 2 * e}))
+
+    def _part(self, terms: tuple[str, ...]) -> Trie:
+        """The trie cut down to some of its terms."""
+        if terms not in self.tries:
+            if len(self.tries) > 10_000:
+                self.tries.clear()
+            self.tries[terms] = Trie(terms)
+        return self.tries[terms]
 
     def weight(self, hit: tuple[str, int]) -> float:
         term, edits = hit
@@ -183,8 +193,8 @@ class Matcher:
     def __call__(self, word: str) -> tuple[str, int] | None:
         """The weightiest of its stems and the nearest term."""
         found = [(s + "*", 0) for n in self.stem_sizes if (s := word[:n]) in self.stems]
-        if 0 < len(word) <= self.longest and self._possible(word):
-            hit = intersect(word, self.trie)
+        if 0 < len(word) <= self.longest and (terms := self._possible(word)):
+            hit = intersect(word, self._part(terms))
             if hit and (not hit[1] or word not in self.lexicon.clean):
                 found.append(hit)
         return max(found, key=self.weight, default=None)
