@@ -36,8 +36,8 @@ STOPS = {
 }
 _ALL = frozenset().union(*STOPS.values())
 _BLOCK = frozenset("address article aside blockquote body caption center col colgroup dd dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main nav noscript ol optgroup option p pre section table tbody td textarea tfoot th thead title tr ul".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|head)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^<>]*>", re.S | re.I)
+_LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…–—“”„«»‘’"
 
 
@@ -105,14 +105,15 @@ def first_pass(block: tuple[str, int, bool], stops: frozenset) -> str:
     return "near" if density >= STOPS_LOW else "bad"
 
 
-def _nearest(labels: list[str], i: int, step: int, near: bool) -> str:
-    """The nearest decided label in a direction; the page's edges are bad."""
-    i += step
-    while 0 <= i < len(labels):
+def _nearest(labels: list[str], step: int, near: bool) -> list[str]:
+    """Of each block the nearest decided label in a direction, in one pass; the
+    page's edges are bad."""
+    out, last = ["bad"] * len(labels), "bad"
+    for i in range(len(labels))[::step]:
+        out[i] = last
         if labels[i] in ("good", "bad") or near and labels[i] == "near":
-            return labels[i]
-        i += step
-    return "bad"
+            last = labels[i]
+    return out
 
 
 def second_pass(labels: list[str], found: list[tuple[str, int, bool]]) -> list[str]:
@@ -127,18 +128,19 @@ def second_pass(labels: list[str], found: list[tuple[str, int, bool]]) -> list[s
                 far += len(found[j][0])
                 j += 1
     decided = list(labels)
+    before, after = _nearest(labels, 1, False), _nearest(labels, -1, False)
+    left, right = _nearest(labels, 1, True), _nearest(labels, -1, True)
     for i, label in enumerate(labels):
         if label == "short":
-            before, after = _nearest(labels, i, -1, False), _nearest(labels, i, 1, False)
-            if before == after:
-                decided[i] = before
+            if before[i] == after[i]:
+                decided[i] = before[i]
             else:
-                other = _nearest(labels, i, -1 if before == "bad" else 1, True)
-                decided[i] = "good" if other == "near" else "bad"
+                decided[i] = "good" if (left[i] if before[i] == "bad" else right[i]) == "near" else "bad"
     labels = list(decided)
+    before, after = _nearest(labels, 1, False), _nearest(labels, -1, False)
     for i, label in enumerate(labels):
         if label == "near":
-            decided[i] = "bad" if _nearest(labels, i, -1, False) == _nearest(labels, i, 1, False) == "bad" else "good"
+            decided[i] = "bad" if before[i] == after[i] == "bad" else "good"
     return decided
 
 
