@@ -11,7 +11,9 @@ Defined results:
 * a file of several members, or of some members with several records, is
   normalised the same way; an empty file gives an empty one;
 * a record that the file ends in the midst of is not written; it is listed
-  with length 0 and complete = false;
+  with length 0 and complete = false, as is the rest of a file from a damaged
+  place on, or all of one that is no gzip; zeros after the last member are
+  padding. Other files go on;
 * pages: a null url, id or text is left out of the record's head or, for the
   text, noted there, so null and empty stay apart; control characters in urls
   are percent-encoded in the record and decoded again when it is read;
@@ -47,6 +49,8 @@ def _inflated(src: BinaryIO) -> Iterator[bytes]:
     while raw := src.read(PIECE):
         while raw:
             if engine.eof:
+                if not raw.strip(b"\0"):  # padding after the last member
+                    break
                 engine = zlib.decompressobj(31)
             out = engine.decompress(raw, PIECE)
             if out:
@@ -114,12 +118,22 @@ class Entry:
 def normalise(src: BinaryIO, dst: BinaryIO, level: int = 6) -> Iterator[Entry]:
     """Rewrite ``src`` to ``dst``, a member a record, and list the members."""
     stream, offset, number = _Stream(_inflated(src)), 0, 0
+    try:
+        for e in _rewritten(stream, dst, level):
+            yield e
+            offset, number = e.offset + e.length, number + 1
+    except zlib.error:  # no gzip, or damaged from here on
+        yield Entry(number, offset, 0, 0, None, None, None, None, False)
+
+
+def _rewritten(stream: _Stream, dst: BinaryIO, level: int) -> Iterator[Entry]:
+    offset, number = 0, 0
     while stream.blank():
         head = stream.until(b"\r\n\r\n")
         have = headers(head) if head else {}
         known = (have.get("warc-record-id"), have.get("warc-type"), have.get("warc-target-uri"))
         size = have.get("content-length", "")
-        if not head or not size.isdigit():
+        if not head or not (size.isascii() and size.isdigit()):
             yield Entry(number, offset, 0, 0, *known, None, False)
             return
         pack, digest, left, parts = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.md5(), int(size), []
