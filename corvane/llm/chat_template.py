@@ -4,12 +4,13 @@ A template is parsed to a syntax tree, constants are folded, and the rest is
 turned into Python closures that render a conversation and note the spans of
 ``{% generation %}`` blocks (what a model is trained to produce).
 
-The language: ``{{ expression }}``, ``{% for x in e %} .. {% else %} ..
+The language: ``{{ expression }}``, ``{% for x in e if t %} .. {% else %} ..
 {% endfor %}`` with ``loop``, ``if / elif / else``, ``set``, ``generation``,
 ``{# comments #}`` and white-space control by ``-``. Expressions have literals,
 lists, dictionaries, ``. [] + - * / // % ~``, comparisons, ``in``, ``and or
 not``, ``a if b else c``, tests (``is defined`` ...), filters and a few string
-methods. There is no way to Python's attributes, modules or functions: a dot
+methods; no macros, ``break``, ``continue`` or powers. Strings, texts and loops
+have bounds (``MOST``, ``LONGEST``, ``ROUNDS``). There is no way to Python's attributes, modules or functions: a dot
 reads a key of a dictionary, methods and filters come from two fixed tables.
 
 Defined results: messages are ordered by turn, then role, then text, nulls
@@ -45,6 +46,9 @@ CHATML = (
 )
 #: The longest ``range`` and the longest repeated string a template may make.
 MOST = 100_000
+#: The longest string an expression may make and the longest text, and the most
+#: rounds of all loops; a conversation beyond them is an error, never cut.
+LONGEST, ROUNDS = 1 << 28, 10_000_000
 
 
 class TemplateError(ValueError):
@@ -82,7 +86,8 @@ def const(value: Any) -> Node:
 
 _TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>//|==|!=|<=|>=|[-+*/%~<>=.,:|()\[\]{}]))""", re.S)
 _ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
-_PIECE = re.compile(r"\{%(-?)(.*?)(-?)%\}|\{\{(-?)(.*?)(-?)\}\}|\{#(-?)(.*?)(-?)#\}", re.S)
+_BODY = r"""((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)"""  # tags end outside of strings
+_PIECE = re.compile(rf"\{{%(-?){_BODY}(-?)%\}}|\{{\{{(-?){_BODY}(-?)\}}\}}|\{{#(-?)(.*?)(-?)#\}}", re.S)
 
 
 def _scan(source: str) -> list[tuple[str, str]]:
@@ -290,7 +295,7 @@ def parse(source: str) -> Node:
                 out.append(Node("print", (e.parse(),)))
                 e.done()
                 continue
-            word, _, rest = text.partition(" ")
+            word, rest = (*text.split(None, 1), "", "")[:2]
             if word in ends:
                 return Node("body", tuple(out)), word, rest
             if word == "for":
@@ -299,11 +304,12 @@ def parse(source: str) -> Node:
                     raise TemplateError(f"not a loop: {text!r}")
                 names = tuple(re.split(r"\s*,\s*", m[1]))
                 e = _Expression(m[2])
-                over = e.parse()
+                over = e.either()
+                test = e.parse() if e.take("if") else const(True)
                 e.done()
                 inner, word, _ = body(("endfor", "else"))
                 other = body(("endfor",))[0] if word == "else" else Node("body")
-                out.append(Node("for", (names, over, inner, other)))
+                out.append(Node("for", (names, over, test, inner, other)))
             elif word == "if":
                 out.append(branch(rest))
             elif word == "set":
@@ -344,6 +350,12 @@ def _key(x: Any, k: Any) -> Any:
     return UNDEFINED
 
 
+def _joined(a: Any, b: Any) -> Any:
+    if isinstance(a, (str, list)) and isinstance(b, (str, list)) and len(a) + len(b) > LONGEST:
+        raise TemplateError("a string is too long")
+    return a + b
+
+
 def _times(a: Any, b: Any) -> Any:
     size = (len(a) if isinstance(a, (str, list)) else 1) * (b if isinstance(b, int) and isinstance(a, (str, list)) else 1)
     if isinstance(b, (str, list)) or size > MOST:
@@ -362,7 +374,7 @@ def _refuse(message: Any = "") -> None:
     raise TemplateError(_text(message))
 
 
-BINARY: dict[str, Callable] = {"+": operator.add, "-": operator.sub, "*": _times, "/": operator.truediv, "//": operator.floordiv, "%": lambda a, b: operator.mod(a, b) if not isinstance(a, str) else _refuse("% formats nothing"), "~": lambda a, b: _text(a) + _text(b), "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b}
+BINARY: dict[str, Callable] = {"+": _joined, "-": operator.sub, "*": _times, "/": operator.truediv, "//": operator.floordiv, "%": lambda a, b: operator.mod(a, b) if not isinstance(a, str) else _refuse("% formats nothing"), "~": lambda a, b: _joined(_text(a), _text(b)), "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b}
 FILTERS: dict[str, Callable] = {"trim": lambda x: _text(x).strip(), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "title": lambda x: _text(x).title(), "capitalize": lambda x: _text(x).capitalize(), "length": lambda x: 0 if x is UNDEFINED else len(x), "count": len, "string": _text, "int": lambda x: int(x), "default": lambda x, y="": y if x is UNDEFINED else x, "join": lambda x, y="": _text(y).join(map(_text, x)), "replace": lambda x, a, b: _text(x).replace(a, b), "tojson": lambda x: json.dumps(x, ensure_ascii=False), "first": lambda x: _key(list(x), 0), "last": lambda x: _key(list(x), -1), "reverse": lambda x: x[::-1], "list": list, "items": lambda x: [list(p) for p in x.items()]}
 METHODS: dict[str, Callable] = {"strip": lambda x, *a: x.strip(*a), "lstrip": lambda x, *a: x.lstrip(*a), "rstrip": lambda x, *a: x.rstrip(*a), "upper": lambda x: x.upper(), "lower": lambda x: x.lower(), "startswith": lambda x, y: x.startswith(y), "endswith": lambda x, y: x.endswith(y), "split": lambda x, *a: x.split(*a), "replace": lambda x, a, b: x.replace(a, b)}
 TESTS: dict[str, Callable] = {"defined": lambda x: x is not UNDEFINED, "undefined": lambda x: x is UNDEFINED, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict), "iterable": lambda x: isinstance(x, (list, str, dict)), "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool), "odd": lambda x: x % 2 == 1, "even": lambda x: x % 2 == 0}
@@ -476,12 +488,19 @@ def _expression(node: Node) -> Callable[[dict], Any]:
 class _Out:
     def __init__(self):
         self.parts: list[str] = []
-        self.size = 0
+        self.size = self.rounds = 0
         self.spans: list[tuple[int, int]] = []
 
     def write(self, text: str) -> None:
         self.parts.append(text)
         self.size += len(text)
+        if self.size > LONGEST:
+            raise TemplateError("the text is too long")
+
+    def step(self) -> None:
+        self.rounds += 1
+        if self.rounds > ROUNDS:
+            raise TemplateError("loops go on for too long")
 
 
 def _statement(node: Node) -> Callable[[dict, _Out], None]:
@@ -524,15 +543,20 @@ def _statement(node: Node) -> Callable[[dict, _Out], None]:
 
         return mark
     if kind == "for":
-        names, over, inner, other = p[0], _expression(p[1]), _statement(p[2]), _statement(p[3])
+        names, over, test, inner, other = p[0], _expression(p[1]), _expression(p[2]), _statement(p[3]), _statement(p[4])
+
+        def bound(env, x):
+            own = dict(env)  # names set inside a loop end with its round
+            own.update(zip(names, x, strict=True) if len(names) > 1 else [(names[0], x)])
+            return own
 
         def loop(env, out):
-            items = list(over(env))
+            items = [x for x in over(env) if test(bound(env, x))]
             if not items:
                 other(env, out)
             for i, x in enumerate(items):
-                own = dict(env)  # names set inside a loop end with its round
-                own.update(zip(names, x, strict=True) if len(names) > 1 else [(names[0], x)])
+                out.step()
+                own = bound(env, x)
                 own["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i == len(items) - 1, "length": len(items), "previtem": items[i - 1] if i else UNDEFINED, "nextitem": items[i + 1] if i + 1 < len(items) else UNDEFINED}
                 inner(own, out)
 

@@ -6,12 +6,14 @@ import io
 import itertools
 import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from corvane.llm.chat_template import format_chats
+from corvane.llm import html_extract as H
+from corvane.llm.chat_template import TemplateError, compile_template, fold, format_chats, parse
 from corvane.llm.html_extract import extract, extract_pages
 from corvane.llm.mixing import mixture, take_mixture
 from corvane.llm.nearest import neighbours, threshold
@@ -299,9 +301,88 @@ def test_extraction_rules(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
 
+def brute_labels(labels, found):
+    """The second pass by looking outwards from every block."""
+
+    def nearest(own, i, step, near):
+        i += step
+        while 0 <= i < len(own) and not (own[i] in ("good", "bad") or near and own[i] == "near"):
+            i += step
+        return own[i] if 0 <= i < len(own) else "bad"
+
+    labels = list(labels)
+    for i, (_, _, heading) in enumerate(found):
+        if heading and labels[i] == "short":
+            far = 0
+            for j in range(i + 1, len(found)):
+                if far > H.HEADING_DISTANCE:
+                    break
+                if labels[j] == "good":
+                    labels[i] = "near"
+                    break
+                far += len(found[j][0])
+    first = list(labels)
+    for i, x in enumerate(labels):
+        if x == "short":
+            a, b = nearest(labels, i, -1, False), nearest(labels, i, 1, False)
+            side = -1 if a == "bad" else 1
+            first[i] = a if a == b else "good" if nearest(labels, i, side, True) == "near" else "bad"
+    out = list(first)
+    for i, x in enumerate(first):
+        if x == "near":
+            out[i] = "bad" if nearest(first, i, -1, False) == nearest(first, i, 1, False) == "bad" else "good"
+    return out
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(22)
+    for _ in range(3000):
+        n = rng.randrange(0, 12)
+        found = [("x" * rng.choice([1, 50, 150]), 0, rng.random() < 0.3) for _ in range(n)]
+        labels = [rng.choice(["good", "bad", "near", "short"]) for _ in range(n)]
+        assert H.second_pass(labels, found) == brute_labels(labels, found)
+
+
+def test_pages_against_brute_force(spark):
+    rng, rows = random.Random(23), []
+    good, plain = "this is the text that we had and it was in all of the ", "zebra quartz lumen vortex nimbus "
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 9)):
+            tag = rng.choice(["p", "p", "div", "h2", "li"])
+            text = " ".join((rng.choice([good, plain]) * rng.choice([1, 2, 6])).split())
+            parts.append((tag, f"<a href='/x'>{text}</a>" if rng.random() < 0.2 else text))
+        rows.append((i, "<html lang='en'><body>" + "".join(f"<{t}>{x}</{t}>" for t, x in parts) + "</body></html>", parts))
+    got = {r.page_id: (r.text, r.n_blocks, r.n_good) for r in extract_pages(spark.createDataFrame([r[:2] for r in rows], "page_id long, html string")).collect()}
+    for i, _, parts in rows:
+        found = [(x.split(">", 1)[1][:-4], len(x.split(">", 1)[1][:-4]), t == "h2") if x.startswith("<a") else (x, 0, t == "h2") for t, x in parts]
+        labels = brute_labels([H.first_pass(b, H.STOPS["en"]) for b in found], found)
+        keep = [b[0] for b, x in zip(found, labels, strict=True) if x == "good"]
+        assert got[i] == ("\n".join(keep), len(found), len(keep))
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "<html ", "<", "<a '", '<a "<b" ', "<script ", "</p", "<p>a</p>", "<h2>a</h2>", "<!--", "&amp;"])
+def test_broken_markup_takes_linear_time(piece):
+    began = time.process_time()
+    extract(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 30
+
+
 # WARC
 
 
+def test_damaged_files_are_listed(spark, tmp_path):
+    good = gzip.compress(record(b"abc") + record(b"de"))
+    bad = bytearray(gzip.compress(record(os.urandom(4000)) + record(b"x")))
+    bad[900:960] = bytes(60)
+    files = {"plain": b"WARC/1.0 no gzip", "padded": good + bytes(700), "odd": gzip.compress("WARC/1.0\r\nContent-Length: ²\r\n\r\nx".encode()), "bad": bytes(bad), "empty": b"", "short": good[:30]}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    index = normalise_files(spark.createDataFrame([(f"{tmp_path}/{n}",) for n in files], "file string"), f"file://{tmp_path}/out")
+    got = index.collect()
+    assert sum(r.complete for r in got) == 2 and sum(not r.complete for r in got) == 4 and all(r.length == 0 for r in got if not r.complete)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/b c%\r\n", "<p>é</p>"), (2, None, None), (None, "u", ""), (3, "u", "\r\n\r\nWARC/1.0\r\n" * 3), (3, "u", "x" * 3_000_000), (3, "u", "x" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as file", "2 as offset").coalesce(1)
@@ -347,6 +428,62 @@ def test_chat_edges(spark):
     assert got[3].n_messages == 2 and len(got[3].spans.split(",")) == 2 and None in got
 
 
+MESSAGES = [{"role": "system", "content": " be kind "}, {"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]
+
+
+@pytest.mark.parametrize(
+    ("template", "want"),
+    [
+        ("{% for m in messages if m.role == 'user' %}{{ loop.index }}/{{ loop.length }}:{{ m.content }}{% endfor %}", "1/1:hi"),
+        ("{% for m in messages if m.role == 'none' %}x{% else %}no{% endfor %}", "no"),
+        ("{% if\ntrue %}a{% endif %}{{ '}}' }}{{ '%}' ~ \"{{\" }}", "a}}%}{{"),
+        ("{% set ns = namespace(n=0) %}{% for m in messages %}{% set ns.n = ns.n + 1 %}{% endfor %}{{ ns.n }}", "3"),
+        ("{{ messages[0]['content'] | trim | upper }}|{{ messages[-1].role[:4] }}|{{ messages[1:] | length }}", "BE KIND|assi|2"),
+        ("{%- if messages[0].role == 'system' -%} s {%- elif x is defined -%} d {%- else -%} n {%- endif -%}", "s"),
+        ("{{ 1 + 2 * 3 - 4 // 3 }} {{ 7 % 4 }} {{ 'a' in 'cat' and not false }} {{ none is none }}", "6 3 True True"),
+        ("{% for k, v in {'a': 1, 'b': 2} | items %}{{ k }}{{ v }}{{ ',' if not loop.last }}{% endfor %}", "a1,b2"),
+        ("a{# {{ never }} #}b {{ missing }}{{ missing.key | default('d') }}", "ab d"),
+        ("{{ ['x', 'y'] | join('-') }}{{ {'a': [1, true]} | tojson }}", 'x-y{"a": [1, true]}'),
+    ],
+)
+def test_templates(template, want):
+    assert compile_template(template)(messages=MESSAGES)[0] == want
+
+
+def test_constants_are_folded_and_spans_marked():
+    tree = fold(parse("a{{ 'b' ~ 1 + 1 }}{% if 2 > 1 %}c{% else %}{{ x }}{% endif %}"))
+    assert tree.parts == (parse("ab2c").parts[0],)
+    text, spans = compile_template("{% for m in messages %}{% if m.role == 'assistant' %}{% generation %}{{ m.content }}{% endgeneration %}{% else %}<{{ m.content }}>{% endif %}{% endfor %}")(messages=MESSAGES)
+    assert [text[a:b] for a, b in spans] == ["yo"]
+
+
+def test_expressions_against_python():
+    rng = random.Random(24)
+
+    def make(depth):
+        if not depth:
+            return rng.choice(["1", "2", "7", "3.5", "n"])
+        kind = rng.randrange(4)
+        if kind == 0:
+            return f"({make(depth - 1)} if {make(depth - 1)} > {make(depth - 1)} else {make(depth - 1)})"
+        if kind == 1:
+            return f"-({make(depth - 1)})"
+        return f"({make(depth - 1)} {rng.choice(['+', '-', '*'])} {make(depth - 1)})"
+
+    for _ in range(300):
+        e = make(rng.randrange(1, 5))
+        assert compile_template("{{ " + e + " }}")(n=5)[0] == str(eval(e, {"n": 5})), e
+
+
+@pytest.mark.parametrize(
+    "template",
+    ["{% for m in messages %}", "{{ x", "{% if %}{% endif %}", "{{ __class__ }}", "{{ messages.__len__() }}", "{{ ''.format() }}", "{% unknown %}", "{{ open('f') }}", "{{ raise_exception('no') }}", "{{ range(10000000) }}", "{{ 'a' * 1000000 }}", "{% set ns = namespace(s='xxxxxxxx') %}{% for i in range(40) %}{% set ns.s = ns.s ~ ns.s %}{% endfor %}", "{% for i in range(50000) %}{% for j in range(50000) %}{% endfor %}{% endfor %}"],
+)
+def test_templates_are_refused(template):
+    with pytest.raises(TemplateError):
+        compile_template(template)(messages=MESSAGES)
+
+
 # Neighbours
 
 
