@@ -8,7 +8,8 @@ is cut where the total budget of tokens is used up.
 The running sums never need a source in one task: a source's documents fall
 into 4096 ranges of the shuffle key, whose totals are summed first, and a
 window then runs inside each range. The cut works the same way on ranges of
-finish time; only the range in which the budget ends is looked at closely.
+finish time between its quantiles, whatever the weights are; only the range in
+which the budget ends is looked at closely.
 
 Defined results:
 
@@ -24,6 +25,9 @@ Defined results:
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +68,9 @@ def queue(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.
 
 def mix(queued: DataFrame, budget: int) -> DataFrame:
     """The rows of ``queued`` within the budget, with the mixture's tokens so far."""
-    top = queued.agg(F.max("finish")).first()[0] or 0.0
-    binned = queued.withColumn("bin", F.least(F.floor(F.col("finish") / F.lit(max(top, 1e-300) / BINS)), F.lit(BINS)).cast("int"))
+    cuts = queued.approxQuantile("finish", [k / BINS for k in range(1, BINS)], 0.25 / BINS)
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
+    binned = Bucketizer(splits=splits, inputCol="finish", outputCol="bin").transform(queued).withColumn("bin", F.col("bin").cast("int"))
     sums = binned.groupBy("bin").agg(F.sum("n_tokens").alias("of_bin")).orderBy("bin").collect()  # BINS + 1 rows at most
     starts, so_far, last = [], 0, BINS + 1
     for r in sums:
