@@ -1,5 +1,6 @@
 """Text to tokens as Column expressions: cleaning, tokenising, filters and
-normalisers. Everything here stays inside whole-stage code generation."""
+normalisers. All of it runs in the JVM; functions of arrays aren't part of
+generated code."""
 
 from __future__ import annotations
 
@@ -33,8 +34,8 @@ STOPWORDS = {
 def clean(text: Column) -> Column:
     """Line ends and tabs to spaces; byte-order marks, zero-width spaces and
     variation selectors go. Null stays null."""
-    spaced = F.regexp_replace(text, r"[\n\r\t]", " ")
-    return F.regexp_replace(spaced, "[﻿​︀-️]", "")
+    gone = "\ufeff\u200b" + "".join(chr(c) for c in range(0xFE00, 0xFE10))
+    return F.translate(text, "\n\r\t" + gone, "   ")
 
 
 def _rewrite(text: Column, pattern: str, change) -> Column:
@@ -51,7 +52,7 @@ def tokenise(text: Column, lower_case: bool = True, normalise_urls: bool = False
     Emoticons are put in upper case, also inside words. With ``normalise_urls``
     a token that begins where an address begins becomes HTTPLINK.
     """
-    t = F.coalesce(text, F.lit(""))
+    t = clean(F.coalesce(text, F.lit("")))
     t = F.lower(t) if lower_case else t
     if emoticon_upper:
         t = _rewrite(t, f"(?i:{EMOTICON})", F.upper)
@@ -101,7 +102,7 @@ def has_pos(form: Column, pos: Column, tag: str, exceptions: Iterable[str] = ())
 
 
 # Normalisers: a token's new form, and for those that may end a chain whether
-# they did (see plans.spec).
+# they did (see corvane.plans.spec).
 
 
 def by_form(form: Column, forms: Iterable[str], to: str, ignore_case: bool = False) -> tuple[Column, Column]:

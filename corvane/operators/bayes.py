@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.features import times
+from corvane.plans.store import written
+
 PHI = 1.0
 LAMBDA = 5.0
 
@@ -34,13 +37,13 @@ def fit(feats: DataFrame, labels: DataFrame, weight: str | None = None, alphas:
     (doc_id, label) and perhaps a weight column; a label may be soft, in
     several rows with weights that are probabilities."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = feats.select(ident, "feature").join(labels.select(ident, "label", w.alias("w")).where("label is not null"), ident)
+    rows = feats.select(ident, "feature", times(feats).alias("k")).join(labels.select(ident, "label", w.alias("w")).where("label is not null"), ident)
     return _model(rows, alphas, label_alphas, multipliers, ident)
 
 
 def _model(rows: DataFrame, alphas=None, label_alphas=None, multipliers=None, ident: str = "doc_id") -> Model:
-    joint = rows.groupBy("label", "feature").agg(F.sum("w").alias("n"))
-    per = rows.groupBy("label", ident).agg(F.max("w").alias("w"), F.sum("w").alias("t")).groupBy("label").agg(F.sum("w").alias("doc_count"), F.sum("t").alias("token_count"))
+    joint = rows.groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("k")).alias("n"))
+    per = rows.groupBy("label", ident).agg(F.max("w").alias("w"), F.sum(F.col("w") * F.col("k")).alias("t")).groupBy("label").agg(F.sum("w").alias("doc_count"), F.sum("t").alias("token_count"))
     return _assemble(joint, per, alphas, label_alphas, multipliers)
 
 
@@ -79,8 +82,9 @@ def loglik(m: Model) -> DataFrame:
 def scores(m: Model, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     """doc_id, label, score for each document and label. Unknown features are
     skipped; a document without known ones has the log priors."""
-    known = feats.join(m.vocab, "feature", "left_semi").groupBy(ident).agg(F.count("*").alias("known"))
-    extra = feats.join(loglik(m), "feature").groupBy(ident, "label").agg(F.sum(F.col("loglik") - F.col("base")).alias("extra"))
+    k = times(feats)
+    known = feats.join(m.vocab, "feature", "left_semi").groupBy(ident).agg(F.sum(k).alias("known"))
+    extra = feats.join(loglik(m), "feature").groupBy(ident, "label").agg(F.sum(k * (F.col("loglik") - F.col("base"))).alias("extra"))
     every = docs.select(ident).distinct().crossJoin(F.broadcast(bases(m)))
     return every.join(known, ident, "left").join(extra, [ident, "label"], "left").select(ident, "label", (F.col("log_prior") + F.coalesce(F.col("known"), F.lit(0)) * F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score"))
 
@@ -98,7 +102,7 @@ def best(scored: DataFrame, by: str = "score", ident: str = "doc_id") -> DataFra
 
 
 def length_normalised(scored: DataFrame, feats: DataFrame, ident: str = "doc_id") -> DataFrame:
-    size = feats.groupBy(ident).agg(F.count("*").alias("size"))
+    size = feats.groupBy(ident).agg(F.sum(times(feats)).alias("size"))
     return scored.join(size, ident).select(ident, "label", (F.col("score") / F.col("size")).alias("score"))
 
 
@@ -131,9 +135,9 @@ def em_counts(m: Model, feats: DataFrame, docs: DataFrame, weight: float = 0.1,
     """Expected counts of unlabelled documents: (label, feature, n) and
     (label, doc_count, token_count)."""
     soft = posterior(scores(m, feats, docs, ident), ident).select(ident, "label", (F.col("p") * weight).alias("w"))
-    rows = feats.select(ident, "feature").join(soft, ident)
-    joint = rows.groupBy("label", "feature").agg(F.sum("w").alias("n"))
-    size = feats.groupBy(ident).agg(F.count("*").alias("size"))
+    rows = feats.select(ident, "feature", times(feats).alias("k")).join(soft, ident)
+    joint = rows.groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("k")).alias("n"))
+    size = feats.groupBy(ident).agg(F.sum(times(feats)).alias("size"))
     per = soft.join(size, ident).groupBy("label").agg(F.sum("w").alias("doc_count"), F.sum(F.col("w") * F.col("size")).alias("token_count"))
     return joint, per
 
@@ -168,21 +172,41 @@ def train_standard_em(feats, labels, pool_feats, pool, weight: float = 0.1, alph
     return em_step(m, replace(m, labels=zero, joint=only, vocab=only.select("feature").distinct()), pool_feats, pool, weight)
 
 
-def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
+def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alphas: DataFrame | None = None, label_alphas: DataFrame | None = None, multipliers: DataFrame | None = None, empirical: bool = True) -> DataFrame:
     """Scores of each label against all others: doc_id, target, label, score,
-    where label is the target or OTHER. All learners are fitted at once."""
+    where label is the target or OTHER. All learners are fitted at once; with two
+    labels or less there is one, whose target is the greater label. Alphas,
+    label alphas and multipliers of a label go to the side that stands for it in
+    each learner, those of the others to OTHER there."""
     targets = labels.select(F.col("label").alias("target")).where("label is not null").distinct()
-    rows = feats.select(ident, "feature").join(labels.select(ident, "label"), ident).crossJoin(F.broadcast(targets))
-    rows = rows.withColumn("side", F.when(F.col("label") == F.col("target"), F.col("target")).otherwise(F.lit("OTHER")))
-    joint = rows.groupBy("target", "side", "feature").agg(F.count("*").alias("n"))
+    names = labels.where("label is not null").select("label").distinct()
+    targets = targets.crossJoin(F.broadcast(names.agg(F.count("*").alias("kinds"), F.max("label").alias("last")))).where("kinds > 2 or target = last").select("target")
+
+    def sides(table: DataFrame) -> DataFrame:
+        own = F.when(F.col("label") == F.col("target"), F.col("target")).otherwise(F.lit("OTHER"))
+        return table.crossJoin(F.broadcast(targets)).withColumn("side", own)
+
+    k = times(feats).alias("k")
+    rows = sides(feats.select(ident, "feature", k).join(labels.select(ident, "label"), ident))
+    joint = rows.groupBy("target", "side", "feature").agg(F.sum("k").alias("n"))
     docs = rows.select("target", "side", ident).distinct().groupBy("target", "side").agg(F.count("*").alias("docs"))
     size = joint.groupBy("target", "side").agg(F.sum("n").alias("total"))
-    v = feats.join(labels.select(ident), ident, "left_semi").select("feature").distinct().agg(F.count("*").alias("v"))
-    raw = LAMBDA + F.col("docs")
-    base = docs.join(size, ["target", "side"]).crossJoin(v).withColumn("log_prior", F.ln(raw / F.sum(raw).over(Window.partitionBy("target")))).withColumn("denom", PHI * F.col("v") + F.col("total")).withColumn("base", F.ln(PHI / F.col("denom")))
-    lik = joint.join(F.broadcast(base.select("target", "side", "denom", "base")), ["target", "side"]).select("target", "side", "feature", (F.ln((PHI + F.col("n")) / F.col("denom")) - F.col("base")).alias("extra"))
-    known = feats.join(joint.select("feature").distinct(), "feature", "left_semi").groupBy(ident).agg(F.count("*").alias("known"))
-    extra = feats.join(lik, "feature").groupBy(ident, "target", "side").agg(F.sum("extra").alias("extra"))
+    if alphas is not None:
+        more = sides(alphas).groupBy("target", "side", "feature").agg(F.sum("alpha").alias("alpha"))
+        joint = joint.join(more, ["target", "side", "feature"], "full").na.fill({"n": 0, "alpha": 0.0})
+        size = size.join(more.groupBy("target", "side").agg(F.sum("alpha").alias("alpha_total")), ["target", "side"], "full").na.fill({"total": 0, "alpha_total": 0.0})
+    else:
+        joint, size = joint.withColumn("alpha", F.lit(0.0)), size.withColumn("alpha_total", F.lit(0.0))
+    base = docs.join(size, ["target", "side"])
+    base = base.join(sides(label_alphas).groupBy("target", "side").agg(F.sum("label_alpha").alias("label_alpha")), ["target", "side"], "left") if label_alphas is not None else base.withColumn("label_alpha", F.lit(0.0))
+    base = base.join(multipliers.select(F.col("label").alias("side"), "multiplier"), "side", "left") if multipliers is not None else base.withColumn("multiplier", F.lit(1.0))
+    base = base.na.fill({"label_alpha": 0.0, "multiplier": 1.0})
+    v = joint.select("feature").distinct().agg(F.count("*").alias("v"))
+    raw = F.col("multiplier") * (LAMBDA + F.col("label_alpha") + (F.col("docs") if empirical else F.lit(1.0)))
+    base = base.crossJoin(F.broadcast(v)).withColumn("raw", raw).withColumn("log_prior", F.ln(F.col("raw") / F.sum("raw").over(Window.partitionBy("target")))).withColumn("denom", PHI * F.col("v") + F.col("alpha_total") + F.col("total")).withColumn("base", F.ln(PHI / F.col("denom")))
+    lik = joint.join(F.broadcast(base.select("target", "side", "denom", "base")), ["target", "side"]).select("target", "side", "feature", (F.ln((PHI + F.col("alpha") + F.col("n")) / F.col("denom")) - F.col("base")).alias("extra"))
+    known = feats.join(joint.select("feature").distinct(), "feature", "left_semi").groupBy(ident).agg(F.sum(times(feats)).alias("known"))
+    extra = feats.join(lik, "feature").groupBy(ident, "target", "side").agg(F.sum(times(feats) * F.col("extra")).alias("extra"))
     every = feats.select(ident).distinct().crossJoin(F.broadcast(base.select("target", "side", "log_prior", "base")))
     return every.join(known, ident, "left").join(extra, [ident, "target", "side"], "left").select(ident, "target", F.col("side").alias("label"), (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score"))
 
@@ -198,10 +222,12 @@ def sfe(m: Model, pool_feats: DataFrame, pool: DataFrame, feats: DataFrame, docs
     """Semi-supervised frequency estimate: score = log prior + the sum over
     known features of (log likelihood + log P(word) in the pool, 0 if unseen
     - S of the label), S being the summed likelihood of the pool's documents."""
-    p = pool_feats.groupBy("feature").agg(F.count("*").alias("n")).crossJoin(pool_feats.agg(F.count("*").alias("total"))).select("feature", F.ln(F.col("n") / F.col("total")).alias("lp"))
+    c = times(pool_feats)
+    p = pool_feats.groupBy("feature").agg(F.sum(c).alias("n")).crossJoin(pool_feats.agg(F.sum(c).alias("total"))).select("feature", F.ln(F.col("n") / F.col("total")).alias("lp"))
     s = scores(m, pool_feats, pool, ident).groupBy("label").agg(F.sum(F.exp("score")).alias("s"))
     plain = scores(m, feats, docs, ident)
-    words = feats.join(m.vocab, "feature", "left_semi").join(p, "feature", "left").groupBy(ident).agg(F.sum(F.coalesce("lp", F.lit(0.0))).alias("lp"), F.count("*").alias("known"))
+    k = times(feats)
+    words = feats.select(ident, "feature", k.alias("k")).join(m.vocab, "feature", "left_semi").join(p, "feature", "left").groupBy(ident).agg(F.sum(F.col("k") * F.coalesce("lp", F.lit(0.0))).alias("lp"), F.sum("k").alias("known"))
     return plain.join(words, ident, "left").join(F.broadcast(s), "label", "left").select(ident, "label", (F.col("score") + F.coalesce("lp", F.lit(0.0)) - F.coalesce("known", F.lit(0)) * F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
@@ -235,11 +261,11 @@ def marginal_root(n1, n2, n3, n4, pw, pt, steps: int = 100):
 def feature_marginals(feats: DataFrame, labels: DataFrame, pool_feats: DataFrame, positive: str, ident: str = "doc_id") -> DataFrame:
     """feature, p_positive, p_negative (each normalised) for words of the pool
     that are constrained by the labelled counts of a binary problem."""
-    rows = feats.join(labels, ident).withColumn("pos", (F.col("label") == positive).cast("int"))
-    joint = rows.groupBy("feature").agg(F.sum("pos").cast("double").alias("n1"), F.sum(1 - F.col("pos")).cast("double").alias("n3"))
-    total = rows.agg(F.sum("pos").cast("double").alias("tp"), F.sum(1 - F.col("pos")).cast("double").alias("tn"))
+    rows = feats.select(ident, "feature", times(feats).alias("k")).join(labels, ident).withColumn("pos", F.when(F.col("label") == positive, F.col("k")).otherwise(0)).withColumn("neg", F.col("k") - F.col("pos"))
+    joint = rows.groupBy("feature").agg(F.sum("pos").cast("double").alias("n1"), F.sum("neg").cast("double").alias("n3"))
+    total = rows.agg(F.sum("pos").cast("double").alias("tp"), F.sum("neg").cast("double").alias("tn"))
     docs = labels.join(feats.select(ident).distinct(), ident, "left_semi").agg(F.avg((F.col("label") == positive).cast("double")).alias("pt"))
-    n = pool_feats.groupBy("feature").agg(F.count("*").alias("c")).crossJoin(pool_feats.agg(F.count("*").alias("t"))).select("feature", (F.col("c") / F.col("t")).alias("pw"))
+    n = pool_feats.groupBy("feature").agg(F.sum(times(pool_feats)).alias("c")).crossJoin(pool_feats.agg(F.sum(times(pool_feats)).alias("t"))).select("feature", (F.col("c") / F.col("t")).alias("pw"))
     table = n.join(joint, "feature").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(docs)).select("feature", "pw", "n1", (F.col("tp") - F.col("n1")).alias("n2"), "n3", (F.col("tn") - F.col("n3")).alias("n4"), "pt")
 
     def solve(batches):
@@ -253,3 +279,51 @@ def feature_marginals(feats: DataFrame, labels: DataFrame, pool_feats: DataFrame
     found = table.mapInPandas(solve, "feature string, x double, y double")
     sums = found.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     return found.crossJoin(F.broadcast(sums)).select("feature", F.try_divide("x", "sx").alias("p_positive"), F.try_divide("y", "sy").alias("p_negative"))
+
+
+def marginal_loglik(m: Model, marginals: DataFrame, positive: str) -> DataFrame:
+    """label, feature, loglik, base: the fitted probability where there is one,
+    else the model's likelihood. Of two labels ``positive`` has p_positive."""
+    p = marginals.select("feature", F.posexplode(F.array("p_positive", "p_negative")).alias("side", "p")).where("p > 0")
+    fitted = m.labels.select("label").crossJoin(F.broadcast(p)).where((F.col("label") == positive) == (F.col("side") == 0)).select("label", "feature", F.ln("p").alias("fitted"))
+    both = loglik(m).drop("base").join(fitted.join(m.vocab, "feature", "left_semi"), ["label", "feature"], "full")
+    return both.join(F.broadcast(bases(m).select("label", "base")), "label").select("label", "feature", F.coalesce("fitted", "loglik").alias("loglik"), "base")
+
+
+def marginal_scores(m: Model, marginals: DataFrame, positive: str, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """Scores with the fitted probabilities in place of likelihoods."""
+    return precomputed_scores(precompute(m, marginal_loglik(m, marginals, positive)), feats, docs, ident)
+
+
+@dataclass(frozen=True)
+class Precomputed:
+    """A model as two tables: ``labels`` (label, log_prior, base) and ``terms``
+    (label, feature, loglik, base); ``vocab`` has the features it knows."""
+
+    labels: DataFrame
+    terms: DataFrame
+    vocab: DataFrame
+
+
+def precompute(m: Model, terms: DataFrame | None = None) -> Precomputed:
+    """The tables of a model, or of a variant with other likelihoods, written
+    once. The prior follows the model's own flag."""
+    return Precomputed(written(bases(m).select("label", "log_prior", "base")), written(loglik(m) if terms is None else terms), written(m.vocab))
+
+
+def precomputed_scores(p: Precomputed, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
+    k = times(feats)
+    known = feats.join(p.vocab, "feature", "left_semi").groupBy(ident).agg(F.sum(k).alias("known"))
+    extra = feats.join(p.terms, "feature").groupBy(ident, "label").agg(F.sum(k * (F.col("loglik") - F.col("base"))).alias("extra"))
+    every = docs.select(ident).distinct().crossJoin(F.broadcast(p.labels))
+    return every.join(known, ident, "left").join(extra, [ident, "label"], "left").select(ident, "label", (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+
+
+def gender_classifier(names: DataFrame) -> Model:
+    """Naive Bayes on first-name features from (gender, name, count), each name
+    weighing as often as it was given."""
+    from corvane.operators.features import first_name_features
+
+    rows = names.where("gender is not null and name is not null and count > 0").select(F.concat_ws("/", "gender", "name").alias("doc_id"), F.col("gender").alias("label"), "name", F.col("count").cast("double").alias("weight"))
+    feats = first_name_features(rows.withColumnRenamed("name", "first"), F.col("first"), "doc_id").select("doc_id", "feature")
+    return fit(feats, rows.select("doc_id", "label", "weight"), weight="weight")

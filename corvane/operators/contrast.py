@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.features import times
+
 SMOOTH = 0.1
 
 
@@ -14,13 +16,13 @@ def feature_type(feature: Column) -> Column:
 
 def typed_counts(feats: DataFrame) -> DataFrame:
     """type, feature, n, and the type's total and number of features."""
-    n = feats.groupBy(feature_type(F.col("feature")).alias("type"), "feature").agg(F.count("*").alias("n"))
+    n = feats.groupBy(feature_type(F.col("feature")).alias("type"), "feature").agg(F.sum(times(feats)).alias("n"))
     return with_totals(n)
 
 
 def with_totals(counts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("type")
-    return counts.withColumn("total", F.sum("n").over(w)).withColumn("size", F.count("*").over(w))
+    sums = counts.groupBy("type").agg(F.sum("n").alias("total"), F.count("*").alias("size"))  # three rows
+    return counts.join(F.broadcast(sums), "type").select(*counts.columns, "total", "size")
 
 
 def pruned(counts: DataFrame, least: int) -> DataFrame:
@@ -43,7 +45,7 @@ def ratio(target: DataFrame, background: DataFrame, lam: float | None = None) ->
     that in the background, or, with ``lam``, that weighed against the target's
     own log probability. Features of the target; unseen ones of the background
     have its smoothing alone."""
-    size = background.select("type", "total", "size").distinct().select("type", F.col("total").alias("bt"), F.col("size").alias("bs"))
+    size = background.groupBy("type").agg(F.max("total").alias("bt"), F.max("size").alias("bs"))
     rows = target.join(background.select("type", "feature", F.col("n").alias("bn")), ["type", "feature"], "left").join(F.broadcast(size), "type", "left")
     p = F.ln((F.col("n") + SMOOTH) / (F.col("total") + SMOOTH * F.col("size")))
     q = F.ln((F.coalesce("bn", F.lit(0)) + SMOOTH) / (F.coalesce("bt", F.lit(0)) + SMOOTH * F.coalesce("bs", F.lit(1))))
@@ -67,8 +69,9 @@ def cluster_counts(feats: DataFrame, clusters: DataFrame, background: DataFrame
     feature's prior: smoothed for words, plain for tags; words from the
     background where one is given."""
     rows = feats.join(clusters.select(ident, "cluster"), ident).withColumn("type", feature_type(F.col("feature")))
-    joint = rows.groupBy("cluster", "type", "feature").agg(F.count("*").alias("joint"))
-    joint = joint.withColumn("cluster_total", F.sum("joint").over(Window.partitionBy("cluster", "type")))
+    joint = rows.groupBy("cluster", "type", "feature").agg(F.sum(times(feats)).alias("joint"))
+    sums = joint.groupBy("cluster", "type").agg(F.sum("joint").alias("cluster_total"))  # three rows a cluster
+    joint = joint.join(F.broadcast(sums), ["cluster", "type"])
     own = joint.groupBy("type", "feature").agg(F.sum("joint").alias("n"))
     if background is not None:
         own = own.where("type <> 'WORD'").unionByName(typed_counts(background).where("type = 'WORD'").select("type", "feature", "n"))

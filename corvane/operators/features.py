@@ -6,20 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.plans.store import spread, written
 
 
 def tokens(docs: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row a token, in order; documents without tokens have no row."""
-    return docs.select(ident, F.posexplode(X.tokenise(F.col(text), **options)).alias("pos", "form"))
+    return spread(docs.select(ident, text)).select(ident, F.posexplode(X.tokenise(F.col(text), **options)).alias("pos", "form"))
+
+
+def token_items(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep=None, **options) -> DataFrame:
+    """Each document's tokens as one array of (pos, form), those that ``keep``
+    (a function of the form's Column) accepts."""
+    rows = spread(docs.select(ident, text)).select(ident, X.tokenise(F.col(text), **options).alias("forms"))
+    rows = rows.select(ident, F.transform("forms", lambda x, i: F.struct(i.alias("pos"), x.alias("form"))).alias("items"))
+    return rows.select(ident, F.filter("items", lambda t: keep(t["form"])).alias("items")) if keep else rows
+
+
+def item_ngrams(items: DataFrame, n: int, ident: str = "doc_id", joint: str = "_") -> DataFrame:
+    """Runs of n tokens, made inside each document's array: nothing is shuffled.
+    Tokens that were filtered are bridged."""
+    starts = F.when(F.size("items") >= n, F.sequence(F.lit(1), F.size("items") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    at = lambda i, k: F.element_at("items", i + F.lit(k))
+    grams = F.transform(starts, lambda i: F.struct(at(i, 0)["pos"].alias("pos"), F.concat_ws(joint, *[at(i, k)["form"] for k in range(n)]).alias("feature")))
+    return items.select(ident, F.inline(grams))
+
+
+def bag(feats: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """How often (n) each document has each feature, written once for all that
+    read it."""
+    return written(feats.groupBy(ident, "feature").agg(F.count("*").alias("n")))
+
+
+def times(feats: DataFrame) -> Column:
+    """Occurrences that a row of a feature table or of a ``bag`` stands for."""
+    return F.col("n") if "n" in feats.columns else F.lit(1)
 
 
 def token_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokens with begin and end, in characters of the text."""
-    t = X._rewrite(F.lower(F.coalesce(F.col(text), F.lit(""))), f"(?i:{X.EMOTICON})", F.upper)
+    t = X._rewrite(F.lower(X.clean(F.coalesce(F.col(text), F.lit("")))), f"(?i:{X.EMOTICON})", F.upper)
     pattern = X.token_pattern()
     gaps = F.split(t, pattern, -1)
     forms = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    rows = docs.select(ident, F.posexplode(F.zip_with(gaps, forms, lambda g, f: F.struct(F.length(g).alias("gap"), f.alias("form")))).alias("pos", "x")).where("x.form is not null")
+    rows = spread(docs.select(ident, text)).select(ident, F.posexplode(F.zip_with(gaps, forms, lambda g, f: F.struct(F.length(g).alias("gap"), f.alias("form")))).alias("pos", "x")).where("x.form is not null")
     done = F.sum(F.col("x.gap") + F.length("x.form")).over(Window.partitionBy(ident).orderBy("pos"))
     return rows.select(ident, "pos", F.col("x.form").alias("form"), (done - F.length("x.form")).alias("start"), done.alias("end"))
 
@@ -94,8 +123,17 @@ def word_probability(feats: DataFrame) -> DataFrame:
     return tf.crossJoin(total).select("feature", (F.col("tf") / F.col("n")).alias("p"))
 
 
-def inverted_index(feats: DataFrame, ident: str = "doc_id") -> DataFrame:
-    return feats.groupBy("feature").agg(F.array_sort(F.collect_set(ident)).alias("docs"))
+def postings(feats: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """The inverted index as rows (feature, id), each pair once, however many
+    documents a feature has."""
+    return feats.select("feature", ident).distinct()
+
+
+def inverted_index(feats: DataFrame, ident: str = "doc_id", block: int = 65_536) -> DataFrame:
+    """feature, block, docs: the sorted ids in blocks of ranges of the id, so that
+    a frequent feature has many rows instead of one long one."""
+    rows = postings(feats, ident).withColumn("block", F.floor(F.col(ident) / block))
+    return rows.groupBy("feature", "block").agg(F.array_sort(F.collect_list(ident)).alias("docs"))
 
 
 def feature_sets(feats: DataFrame, ident: str = "doc_id") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.features import item_ngrams
+
 
 def phrase_matches(toks: DataFrame, phrases: DataFrame, ident: str = "doc_id", lower_case: bool = True) -> DataFrame:
     """doc_id, start, end (exclusive, in token positions), phrase of each place
@@ -16,15 +18,23 @@ def phrase_matches(toks: DataFrame, phrases: DataFrame, ident: str = "doc_id", l
     included. Each phrase length in use is one equi-join."""
     form = F.lower("form") if lower_case else F.col("form")
     table = phrases.select((F.lower("phrase") if lower_case else F.col("phrase")).alias("phrase")).where("phrase is not null and phrase <> ''").distinct().withColumn("words", F.size(F.split("phrase", " ")))
-    w = Window.partitionBy(ident).orderBy("pos")
     sizes = [r[0] for r in table.select("words").distinct().orderBy("words").collect()]  # a handful of lengths
     if not sizes:
-        return toks.select(ident, F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("form").alias("phrase")).limit(0)
-    rows = toks.select(ident, "pos", F.collect_list(form).over(w.rowsBetween(0, sizes[-1] - 1)).alias("ahead"))
-    first = table.select(F.split("phrase", " ")[0].alias("first")).distinct()
-    rows = rows.withColumn("first", F.col("ahead")[0]).join(first, "first", "left_semi")
-    grams = rows.select(ident, "pos", "ahead", F.explode(F.array(*map(F.lit, sizes))).alias("words")).where(F.size("ahead") >= F.col("words"))
-    grams = grams.select(ident, "pos", "words", F.array_join(F.slice("ahead", F.lit(1), F.col("words")), " ").alias("phrase"))
+        return toks.select(ident, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("phrase")).limit(0)
+    if "items" in toks.columns:  # arrays: n-grams without a shuffle
+        items = toks.select(ident, F.transform("items", lambda t: F.struct(t["pos"].alias("pos"), (F.lower(t["form"]) if lower_case else t["form"]).alias("form"))).alias("items"))
+        parts = [item_ngrams(items, n, ident, " ").withColumn("words", F.lit(n)) for n in sizes]
+        grams = parts[0]
+        for more in parts[1:]:
+            grams = grams.unionByName(more)
+        grams = grams.withColumnRenamed("feature", "phrase")
+    else:
+        w = Window.partitionBy(ident).orderBy("pos")
+        rows = toks.select(ident, "pos", F.collect_list(form).over(w.rowsBetween(0, sizes[-1] - 1)).alias("ahead"))
+        first = table.select(F.split("phrase", " ")[0].alias("first")).distinct()
+        rows = rows.withColumn("first", F.col("ahead")[0]).join(first, "first", "left_semi")
+        grams = rows.select(ident, "pos", "ahead", F.explode(F.array(*map(F.lit, sizes))).alias("words")).where(F.size("ahead") >= F.col("words"))
+        grams = grams.select(ident, "pos", "words", F.array_join(F.slice("ahead", F.lit(1), F.col("words")), " ").alias("phrase"))
     return grams.join(table, ["phrase", "words"]).select(ident, F.col("pos").alias("start"), (F.col("pos") + F.col("words")).alias("end"), "phrase")
 
 

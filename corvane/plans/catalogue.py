@@ -18,6 +18,7 @@ from corvane.operators import features as T
 from corvane.operators import match as M
 from corvane.operators import phrases as P
 from corvane.operators import select as S
+from corvane.plans.store import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,11 +57,11 @@ _CTE = {
     "bg": (("typ",), "SELECT type, feature, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY type) AS BIGINT) AS total, count(*) OVER (PARTITION BY type) AS size FROM typ GROUP BY type, feature"),
     "tg": (("typ",), "SELECT type, feature, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY type) AS BIGINT) AS total, count(*) OVER (PARTITION BY type) AS size FROM typ JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY type, feature"),
     "rat": (("bg", "tg"), "SELECT t.type, t.feature, ln((t.n + 0.1) / (t.total + 0.1 * t.size)) AS p, ln((coalesce(b.n, 0) + 0.1) / (s.total + 0.1 * s.size)) AS q FROM tg t LEFT JOIN bg b USING (type, feature) LEFT JOIN (SELECT DISTINCT type, total, size FROM bg) s ON s.type = t.type"),
-    "clu": ((), "SELECT vec_id AS doc_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS cluster FROM (SELECT vec_id, embedding[1:8] AS v FROM embeddings)"),
+    "clu": ((), "SELECT vec_id AS doc_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS cluster FROM (SELECT vec_id, embedding AS v FROM embeddings)"),
     "cj": (("typ", "clu", "bg"), "SELECT c.cluster, c.type, c.feature, c.joint, c.cluster_total, (b.n + 0.1) / (b.total + 0.1 * b.size) AS prior FROM (SELECT cluster, type, feature, count(*) AS joint, sum(count(*)) OVER (PARTITION BY cluster, type) AS cluster_total FROM typ JOIN clu USING (doc_id) GROUP BY cluster, type, feature) c JOIN bg b USING (type, feature) WHERE c.type = 'WORD'"),
     "near": (("tok",), "SELECT doc_id, pos, form, list(form) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l, list(form) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS r FROM tok"),
     "phr": (("tok", "btok"), "SELECT doc_id, t.pos AS start, t.pos + 3 AS \"end\", phrase FROM (SELECT doc_id, pos, form || ' ' || lead(form, 1) OVER w || ' ' || lead(form, 2) OVER w AS phrase FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) t SEMI JOIN btok USING (phrase) WHERE phrase IS NOT NULL"),
-    "btok": ((), f"SELECT DISTINCT array_to_string(l[1:3], ' ') AS phrase FROM (SELECT regexp_extract_all(lower(text), '{_RE}', 0) AS l FROM benchmark) WHERE len(l) >= 3"),
+    "btok": ((), f"SELECT DISTINCT array_to_string(l[i:i + 2], ' ') AS phrase FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '{_RE}', 0) AS l FROM benchmark))"),
     "edge": (("tok",), "SELECT doc_id, pos + 1 AS id, form, CASE WHEN pos = 0 THEN 0 ELSE (pos + 1) // 2 END AS head FROM tok"),
     "geo": ((), "SELECT c_custkey AS id, CAST(c_custkey % 120 - 60 AS DOUBLE) / 1.5 AS lat, CAST(c_custkey % 340 - 170 AS DOUBLE) / 1.3 AS lon FROM customer"),
 }
@@ -124,12 +125,25 @@ def _feats(spark, d):
     return T.unigrams(_toks(spark, d))
 
 
+def _items(spark, d, keep=None):
+    return T.token_items(_docs(spark, d), keep=keep)
+
+
+def _bag(spark, d):
+    return T.bag(_feats(spark, d))
+
+
 def _lab(spark, d):
     return table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("string").alias("label"))
 
 
 def _model(spark, d):
-    return B.fit(_feats(spark, d), _lab(spark, d))
+    return B.fit(_bag(spark, d), _lab(spark, d))
+
+
+def _fitted(spark, d):
+    bag = _bag(spark, d)
+    return B.fit(bag, _lab(spark, d)), bag, _docs(spark, d)
 
 
 def _r(c, n=6):
@@ -146,7 +160,7 @@ def tokens_basic(s, d):
 
 @query("SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id", "tok")
 def tokens_count(s, d):
-    return _docs(s, d).select("doc_id", F.size(X.tokenise(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    return spread(_docs(s, d).select("doc_id", "text")).select("doc_id", F.size(X.tokenise(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
 @query("""SELECT doc_id, pos, form, CAST(e - length(form) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM (
@@ -228,6 +242,10 @@ def norm_repeat_chars(s, d):
 # Features.
 
 
+def _no_stopword(form):
+    return ~X.is_stopword(form, _STOP)
+
+
 @query("SELECT doc_id, pos, form AS feature FROM kept WHERE form <> ''", "kept")
 def unigrams(s, d):
     return T.unigrams(filter_stopwords(s, d))
@@ -240,12 +258,12 @@ def _lead_sql(n):
 
 @query(_lead_sql(2), "kept")
 def bigrams(s, d):
-    return T.ngrams(filter_stopwords(s, d), 2)
+    return T.item_ngrams(_items(s, d, _no_stopword), 2)
 
 
 @query(_lead_sql(3), "kept")
 def trigrams(s, d):
-    return T.ngrams(filter_stopwords(s, d), 3)
+    return T.item_ngrams(_items(s, d, _no_stopword), 3)
 
 
 @query("""SELECT feature, n, count(*) AS tf FROM (
@@ -254,7 +272,10 @@ def trigrams(s, d):
     SELECT form || '_' || lead(form) OVER w || '_' || lead(form, 2) OVER w, 3 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
     WHERE feature IS NOT NULL GROUP BY ALL""", "tok")
 def ngrams_1_3(s, d):
-    return T.ngram_range(_toks(s, d), 1, 3).groupBy("feature", "n").agg(F.count("*").alias("tf"))
+    items, parts = _items(s, d), []
+    for n in (1, 2, 3):
+        parts.append(T.item_ngrams(items, n).groupBy("feature").agg(F.count("*").alias("tf")).withColumn("n", F.lit(n)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""SELECT id, type, CASE type WHEN 'firstName' THEN n WHEN 'lastIsVowel' THEN 'lastIsVowel:' || CASE WHEN right(n, 1) IN ('a', 'e', 'i', 'o', 'u', 'y') THEN 'true' ELSE 'false' END
@@ -298,7 +319,7 @@ def word_prob(s, d):
 
 @query("SELECT feature, df AS docs FROM df", "df")
 def inverted_index_len(s, d):
-    return T.inverted_index(_feats(s, d)).select("feature", F.size("docs").cast("long").alias("docs"))
+    return T.inverted_index(_feats(s, d)).groupBy("feature").agg(F.sum(F.size("docs")).alias("docs"))
 
 
 @query("SELECT doc_id, count(DISTINCT feature) AS n FROM feat GROUP BY doc_id", "feat")
@@ -336,17 +357,17 @@ def nb_loglik(s, d):
 
 @query("SELECT doc_id, label, round(score, 6) AS score FROM sco", "sco")
 def nb_scores(s, d):
-    return B.scores(_model(s, d), _feats(s, d), _docs(s, d)).withColumn("score", _r("score"))
+    return B.scores(*_fitted(s, d)).withColumn("score", _r("score"))
 
 
 @query("SELECT doc_id, label, round(p, 6) AS p FROM post", "post")
 def nb_posterior(s, d):
-    return B.posterior(B.scores(_model(s, d), _feats(s, d), _docs(s, d))).withColumn("p", _r("p"))
+    return B.posterior(B.scores(*_fitted(s, d))).withColumn("p", _r("p"))
 
 
 @query("SELECT * FROM pred", "pred")
 def nb_predict_quality(s, d):
-    return B.best(B.scores(_model(s, d), _feats(s, d), _docs(s, d)))
+    return B.best(B.scores(*_fitted(s, d)))
 
 
 def _lang(s, d):
@@ -367,7 +388,7 @@ def _with_lang(body, *uses):
 
 @query(name="nb_predict_lang")
 def nb_predict_lang(s, d):
-    feats = _feats(s, d)
+    feats = _bag(s, d)
     return B.best(B.scores(B.fit(feats, _lang(s, d)), feats, _docs(s, d)))
 
 
@@ -378,13 +399,13 @@ SQL["nb_predict_lang"] = _with_lang("SELECT * FROM pred", "pred")
     FROM (SELECT label, feature, n, 0 AS alpha FROM joint UNION ALL SELECT '1', 'zzalpha', 0, 50) JOIN ls USING (label)""", "joint", "ls", "voc")
 def nb_alpha(s, d):
     a = s.createDataFrame([("1", "zzalpha", 50.0)], "label string, feature string, alpha double")
-    return B.loglik(B.fit(_feats(s, d), _lab(s, d), alphas=a)).select("label", "feature", _r("loglik").alias("loglik"))
+    return B.loglik(B.fit(_bag(s, d), _lab(s, d), alphas=a)).select("label", "feature", _r("loglik").alias("loglik"))
 
 
 @query("SELECT label, round(m * (5 + doc_count) / sum(m * (5 + doc_count)) OVER (), 9) AS prior FROM (SELECT *, CASE label WHEN '0' THEN 3 ELSE 1 END AS m FROM ls)", "ls")
 def nb_multiplier(s, d):
     m = s.createDataFrame([("0", 3.0)], "label string, multiplier double")
-    return B.priors(B.fit(_feats(s, d), _lab(s, d), multipliers=m)).select("label", _r("prior", 9).alias("prior"))
+    return B.priors(B.fit(_bag(s, d), _lab(s, d), multipliers=m)).select("label", _r("prior", 9).alias("prior"))
 
 
 @query("SELECT label, feature, round(ln((1 + n) / ((SELECT count(*) FROM k) + token_count)), 6) AS loglik FROM joint SEMI JOIN k USING (feature) JOIN ls USING (label)".replace("SELECT label", "SELECT * FROM (WITH k AS (SELECT feature FROM joint GROUP BY feature HAVING sum(n) >= 5) SELECT label", 1) + ")", "joint", "ls")
@@ -415,12 +436,12 @@ _OVR = """SELECT * FROM (WITH t AS (SELECT DISTINCT label AS target FROM lab),
 
 @query(name="ovr_scores")
 def ovr_scores(s, d):
-    return B.one_vs_rest(_feats(s, d), _lang(s, d)).withColumn("score", _r("score"))
+    return B.one_vs_rest(_bag(s, d), _lang(s, d)).withColumn("score", _r("score"))
 
 
 @query(name="ovr_predict")
 def ovr_predict(s, d):
-    return B.best(B.ovr_probabilities(B.one_vs_rest(_feats(s, d), _lang(s, d))), "p")
+    return B.best(B.ovr_probabilities(B.one_vs_rest(_bag(s, d), _lang(s, d))), "p")
 
 
 SQL["ovr_scores"] = _with_lang(_OVR.format("SELECT doc_id, target, label, round(score, 6) AS score FROM o"), "feat", "lrow", "lab")
@@ -454,7 +475,7 @@ def eval_accuracy(s, d):
 
 
 def _evi(s, d):
-    return S.evidence(_feats(s, d), _lab(s, d))
+    return S.evidence(_bag(s, d), _lab(s, d))
 
 
 @query("SELECT * FROM evi", "evi")
@@ -510,7 +531,7 @@ def common_features(s, d):
 
 @query("SELECT doc_id, round(sum(CASE WHEN p > 1e-7 THEN -p * ln(p) ELSE 0 END), 6) AS entropy FROM post GROUP BY doc_id", "post")
 def query_instances_entropy(s, d):
-    return A.uncertain(B.posterior(B.scores(_model(s, d), _feats(s, d), _docs(s, d))))
+    return A.uncertain(B.posterior(B.scores(*_fitted(s, d))))
 
 
 @query("SELECT label, feature, round(gain, 6) AS gain FROM gain", "gain")
@@ -522,9 +543,10 @@ def info_gain(s, d):
     JOIN (SELECT *, max(share) OVER (PARTITION BY feature) AS most FROM (SELECT label, feature, sum(p) / sum(sum(p)) OVER (PARTITION BY label) AS share FROM feat JOIN post USING (doc_id) GROUP BY label, feature)) c USING (label, feature)
     WHERE g.rank <= 100 AND share > 0.75 * most""", "gain", "feat", "post")
 def query_features(s, d):
-    feats = _feats(s, d)
-    soft = B.posterior(B.scores(_model(s, d), feats, _docs(s, d)))
-    return A.query_features(info_gain(s, d), A.correlation(feats, soft), 100).withColumn("rank", F.col("rank").cast("long"))
+    model, feats, docs = _fitted(s, d)
+    soft = B.posterior(B.scores(model, feats, docs))
+    gains = S.evidence(feats, _lab(s, d)).select("label", "feature", _r(A.information_gain()).alias("gain"))
+    return A.query_features(gains, A.correlation(feats, soft), 100).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT feature, round(greatest(0.01, least(50, df / (SELECT count(*) FROM documents) * ((50 - 0.01) / 0.1) + 0.01)), 6) AS alpha FROM df", "df")
@@ -541,18 +563,20 @@ def typed_counts(s, d):
     return C.typed_counts(_feats(s, d))
 
 
-def _target(s, d):
-    return C.typed_counts(_feats(s, d).join(table(s, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi"))
+def _target(s, d, bag):
+    return C.typed_counts(bag.join(table(s, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi"))
 
 
 @query("SELECT type, feature, round(p - q, 6) AS score FROM rat", "rat")
 def pmi_target_background(s, d):
-    return C.ratio(_target(s, d), C.typed_counts(_feats(s, d))).withColumn("score", _r("score"))
+    bag = _bag(s, d)
+    return C.ratio(_target(s, d, bag), C.typed_counts(bag)).withColumn("score", _r("score"))
 
 
 @query("SELECT type, feature, round(0.3 * p + 0.7 * (p - q), 6) AS score FROM rat", "rat")
 def weighted_pmi(s, d):
-    return C.ratio(_target(s, d), C.typed_counts(_feats(s, d)), 0.3).withColumn("score", _r("score"))
+    bag = _bag(s, d)
+    return C.ratio(_target(s, d, bag), C.typed_counts(bag), 0.3).withColumn("score", _r("score"))
 
 
 @query("SELECT type, feature, n, CAST(sum(n) OVER (PARTITION BY type) AS BIGINT) AS total, count(*) OVER (PARTITION BY type) AS size FROM bg WHERE n >= 5", "bg")
@@ -561,11 +585,11 @@ def background_pruned(s, d):
 
 
 def _vectors(s, d):
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.slice("embedding", 1, 8).alias("vector"))
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
 def _cluster_counts(s, d):
-    feats = _feats(s, d)
+    feats = _bag(s, d)
     return C.cluster_counts(feats, C.members(_vectors(s, d)), feats)
 
 
@@ -584,12 +608,12 @@ def cluster_membership(s, d):
     return C.members(_vectors(s, d)).select("doc_id", "cluster")
 
 
-@query("SELECT vec_id AS doc_id, CAST(c AS INTEGER) AS cluster FROM (SELECT vec_id, unnest(range(8)) AS c, unnest(embedding[1:8]) AS x FROM embeddings) WHERE x >= 0.125::DOUBLE")
+@query("SELECT vec_id AS doc_id, CAST(c AS INTEGER) AS cluster FROM (SELECT vec_id, unnest(range(64)) AS c, unnest(embedding) AS x FROM embeddings) WHERE x >= 0.015625::DOUBLE")
 def cluster_uniform(s, d):
     return C.members(_vectors(s, d), how="uniform").select("doc_id", "cluster")
 
 
-@query("SELECT * FROM (SELECT doc_id, cluster, share, CAST(row_number() OVER (PARTITION BY cluster ORDER BY share DESC, doc_id) AS INTEGER) AS rank FROM (SELECT vec_id AS doc_id, unnest(range(8))::INTEGER AS cluster, round(unnest(embedding[1:8])::DOUBLE, 6) AS share FROM embeddings)) WHERE rank <= 10")
+@query("SELECT * FROM (SELECT doc_id, cluster, share, CAST(row_number() OVER (PARTITION BY cluster ORDER BY share DESC, doc_id) AS INTEGER) AS rank FROM (SELECT vec_id AS doc_id, unnest(range(64))::INTEGER AS cluster, round(unnest(embedding)::DOUBLE, 6) AS share FROM embeddings)) WHERE rank <= 10")
 def top_documents(s, d):
     return C.top_documents(_vectors(s, d), 10)
 
@@ -601,6 +625,11 @@ def _pool(s, d):
     return _docs(s, d).join(_lab(s, d), "doc_id", "left_anti")
 
 
+def _pooled(s, d, bag):
+    """The unlabelled documents' features, and the documents."""
+    return bag.join(_lab(s, d), "doc_id", "left_anti"), _pool(s, d).select("doc_id")
+
+
 _EM = """SELECT * FROM (WITH soft AS (SELECT doc_id, label, 0.1 * p AS w FROM post ANTI JOIN lab USING (doc_id)),
     ej AS (SELECT label, feature, sum(w) AS n FROM feat JOIN soft USING (doc_id) GROUP BY ALL),
     ep AS (SELECT label, sum(w) AS d, sum(w * size) AS t FROM soft JOIN (SELECT doc_id, count(*) AS size FROM feat GROUP BY doc_id) USING (doc_id) GROUP BY label) {})"""
@@ -608,8 +637,8 @@ _EM = """SELECT * FROM (WITH soft AS (SELECT doc_id, label, 0.1 * p AS w FROM po
 
 @query(_EM.format("SELECT label, feature, round(n, 6) AS n FROM ej"), "post", "lab", "feat")
 def em_estep_counts(s, d):
-    pool = _pool(s, d)
-    return B.em_counts(_model(s, d), T.unigrams(T.tokens(pool)), pool)[0].withColumn("n", _r("n"))
+    model, bag, _ = _fitted(s, d)
+    return B.em_counts(model, *_pooled(s, d, bag))[0].withColumn("n", _r("n"))
 
 
 @query(_EM.format(""", j2 AS MATERIALIZED (SELECT label, feature, sum(n) AS n FROM (SELECT * FROM joint UNION ALL SELECT * FROM ej) GROUP BY ALL),
@@ -620,8 +649,8 @@ def em_estep_counts(s, d):
     s2 AS (SELECT doc_id, label, lp - coalesce(k, 0) * ln(denom) + coalesce(x, 0) AS score FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN b2 LEFT JOIN k2 USING (doc_id) LEFT JOIN x2 USING (doc_id, label))
     SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS r FROM s2) WHERE r = 1"""), "post", "lab", "feat", "joint", "ls")
 def em_predict(s, d):
-    pool, feats = _pool(s, d), _feats(s, d)
-    m = B.train_bootstrap_em(feats, _lab(s, d), T.unigrams(T.tokens(pool)), pool)
+    feats = _bag(s, d)
+    m = B.train_bootstrap_em(feats, _lab(s, d), *_pooled(s, d, feats))
     return B.best(B.scores(m, feats, _docs(s, d)))
 
 
@@ -630,13 +659,14 @@ def em_predict(s, d):
         SELECT feature, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM feat ANTI JOIN lab USING (doc_id) GROUP BY feature) USING (feature) GROUP BY doc_id) USING (doc_id)
     LEFT JOIN (SELECT label, sum(exp(score)) AS sl FROM sco ANTI JOIN lab USING (doc_id) GROUP BY label) USING (label)""", "sco", "feat", "voc", "lab")
 def sfe_scores(s, d):
-    pool, feats = _pool(s, d), _feats(s, d)
-    return B.sfe(_model(s, d), T.unigrams(T.tokens(pool)), pool, feats, _docs(s, d)).withColumn("score", _r("score"))
+    model, bag, docs = _fitted(s, d)
+    return B.sfe(model, *_pooled(s, d, bag), bag, docs).withColumn("score", _r("score"))
 
 
 @query()
 def fm_probs(s, d):
-    return B.feature_marginals(_feats(s, d), _lab(s, d), T.unigrams(T.tokens(_pool(s, d))), "1")
+    bag = _bag(s, d)
+    return B.feature_marginals(bag, _lab(s, d), _pooled(s, d, bag)[0], "1")
 
 
 # Phrases and matches.
@@ -663,13 +693,13 @@ def rooted_topk(s, d):
 
 
 def _phrases(s, d):
-    words = X.tokenise(F.col("text"))
-    return table(s, d, "benchmark").where(F.size(words) >= 3).select(F.array_join(F.slice(words, 1, 3), " ").alias("phrase")).distinct()
+    """Every run of three words of the benchmark texts."""
+    return T.item_ngrams(T.token_items(table(s, d, "benchmark"), "item_id"), 3, "item_id", " ").select(F.col("feature").alias("phrase")).distinct()
 
 
 @query('SELECT doc_id, start, "end", phrase FROM phr', "phr")
 def phrase_match(s, d):
-    return M.phrase_matches(_toks(s, d), _phrases(s, d))
+    return M.phrase_matches(_items(s, d), _phrases(s, d))
 
 
 @query()
@@ -684,7 +714,7 @@ def overlap_removal(s, d):
     GROUP BY doc_id, run""", "tok", "phr")
 def phrase_features(s, d):
     toks = _toks(s, d)
-    return M.phrase_features(M.annotate(toks, M.phrase_matches(toks, _phrases(s, d))))
+    return M.phrase_features(M.annotate(toks, phrase_match(s, d)))
 
 
 # Dependencies over a made-up tree: token i hangs on token i // 2.
