@@ -768,3 +768,6 @@ def way_radius(s, d):
 def bbox_filter(s, d):
     b = geo.box(F.lit(20.0), F.lit(10.0), 2_000_000.0)
     return _points(s, d).where(F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"])).select("id")
+
+
+from corvane.plans import more  # noqa: E402, F401
