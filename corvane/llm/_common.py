@@ -14,8 +14,9 @@ BROADCAST_BYTES = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local tests) a temporary folder is made and
-    set as the checkpoint folder of the context, once.
+    Only a local session, as in tests, may have none: a temporary folder is then
+    made and set as the checkpoint folder of the context, once. On a cluster a
+    missing setting is an error, as a machine's own folder would be lost with it.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     spark.sparkContext.setCheckpointDir(at)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.plans.store import written
+
 PREPOSITIONS = ("IN", "TO")
 NEGATIONS = ("no", "not", "n't", "never")
 
@@ -18,15 +20,25 @@ def _side(edges: DataFrame, prefix: str, ident: str) -> DataFrame:
 
 def collapsed(edges: DataFrame, prepositions: Iterable[str] = PREPOSITIONS, ident: str = "doc_id") -> DataFrame:
     """Prepositions taken out: their dependants hang on their heads, chains of
-    prepositions included (each round lifts every dependant one step)."""
+    prepositions included. Each round doubles how far up a preposition's head is
+    looked for, and is written. Prepositions that head each other in a circle
+    have no head outside of it; what hangs on them goes to the root (0)."""
     tags = list(prepositions)
-    now = edges
-    while True:
-        p = now.where(F.col("pos").isin(tags)).select(ident, F.col("id").alias("p_id"), F.col("head").alias("p_head"))
-        hung = now.join(p, (now[ident] == p[ident]) & (now["head"] == p["p_id"]) & (F.col("p_head") != 0), "left").select(*[now[c] for c in now.columns], "p_head")
-        if hung.where("p_head is not null").isEmpty():
-            return now.where(~F.col("pos").isin(tags) | (F.col("head") == 0))
-        now = hung.withColumn("head", F.coalesce("p_head", "head")).select(*edges.columns)
+    tagged = F.coalesce(F.col("pos").isin(tags), F.lit(False))
+    ups = written(edges.where(tagged & (F.col("head") != 0)).select(ident, F.col("id").alias("p_id"), F.col("head").alias("p_head")))
+    most = ups.groupBy(ident).count().agg(F.max("count")).first()[0] or 0  # no chain is longer
+    for _ in range(most.bit_length() + 1):
+        over = ups.select(F.col(ident).alias("d"), F.col("p_id").alias("q"), F.col("p_head").alias("q_head"))
+        next_ = ups.join(over, (F.col(ident) == F.col("d")) & (F.col("p_head") == F.col("q")), "left")
+        if next_.where("q_head is not null").isEmpty():
+            break
+        ups = written(next_.select(ident, "p_id", F.coalesce("q_head", "p_head").alias("p_head")))
+    else:
+        inner = ups.select(F.col(ident).alias("d"), F.col("p_id").alias("q"))
+        ups = ups.join(inner, (F.col(ident) == F.col("d")) & (F.col("p_head") == F.col("q")), "left").select(ident, "p_id", F.when(F.col("q").isNull(), F.col("p_head")).otherwise(0).alias("p_head"))
+    kept = edges.where(~tagged | (F.col("head") == 0)).alias("e")
+    hung = kept.join(ups.alias("u"), (F.col(f"e.{ident}") == F.col(f"u.{ident}")) & (F.col("e.head") == F.col("u.p_id")), "left")
+    return hung.select(*[F.coalesce("u.p_head", "e.head").alias("head") if c == "head" else F.col(f"e.{c}").alias(c) for c in edges.columns])
 
 
 def bigrams(edges: DataFrame, lower_case: bool = True, ident: str = "doc_id") -> DataFrame:
@@ -90,7 +102,7 @@ def longest_path(edges: DataFrame, ident: str = "doc_id") -> DataFrame:
     best = level.select(ident).distinct().withColumn("depth", F.lit(1))
     while not level.isEmpty():
         best = best.unionByName(level.select(ident).distinct().withColumn("depth", F.lit(depth)))
-        level = edges.select(ident, "id", F.col("head").alias("h")).join(level.select(F.col(ident).alias("d"), F.col("id").alias("p")), (F.col(ident) == F.col("d")) & (F.col("h") == F.col("p"))).select(ident, "id")
+        level = written(edges.select(ident, "id", F.col("head").alias("h")).join(level.select(F.col(ident).alias("d"), F.col("id").alias("p")), (F.col(ident) == F.col("d")) & (F.col("h") == F.col("p"))).select(ident, "id").distinct())
         depth += 1
     return best.groupBy(ident).agg(F.max("depth").alias("depth"))
 
@@ -108,3 +120,14 @@ def to_conll(edges: DataFrame) -> DataFrame:
     """One line a token, columns that edges don't have as _."""
     blank = F.lit("_")
     return edges.select("doc_id", "sentence", "id", F.concat_ws("\t", F.col("id").cast("string"), "form", blank, blank, F.coalesce("pos", blank), blank, blank, blank, F.coalesce(F.col("head").cast("string"), blank), blank, F.coalesce("deprel", blank)).alias("value"))
+
+
+def expanded_ngrams(edges: DataFrame, lower_case: bool = True, ident: str = "doc_id") -> DataFrame:
+    """The n-grams of a walk down the tree: child-head pairs in that order, and
+    grandchild-child-head triples."""
+    form = F.lower if lower_case else (lambda x: x)
+    c, h, g = _side(edges, "c", ident), *(_side(edges, p, ident).withColumnRenamed(ident, f"{p}_doc") for p in "hg")
+    two = c.join(h, (F.col(ident) == F.col("h_doc")) & (F.col("c_head") == F.col("h_id")))
+    three = two.join(g, (F.col(ident) == F.col("g_doc")) & (F.col("h_head") == F.col("g_id")))
+    pairs = two.select(ident, F.concat_ws("-", form("c_form"), form("h_form")).alias("feature"))
+    return pairs.unionByName(three.select(ident, F.concat_ws("-", form("c_form"), form("h_form"), form("g_form")).alias("feature")))

@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not known.isDefined():
             context.setCheckpointDir(at)
         return at or known.get()
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()

@@ -7,6 +7,7 @@ from corvane.functions import stem
 from corvane.functions import text as X
 from corvane.operators import bayes as B
 from corvane.operators import contrast as C
+from corvane.operators import dependencies as D
 from corvane.operators import features as T
 from corvane.operators import match as M
 from corvane.plans import spec
@@ -227,3 +228,31 @@ def test_empty_tables(spark):
     m = B.fit(bag, labels)
     for df in (bag, T.inverted_index(bag), C.typed_counts(bag), B.loglik(m), B.scores(m, bag, docs), B.one_vs_rest(bag, labels), B.kld(m), T.item_ngrams(T.token_items(docs), 2)):
         assert df.collect() == []
+
+
+TREE = [(1, 1, "dog", "NN", 2, "nsubj"), (1, 2, "ran", "VB", 0, "root"), (1, 3, "up", "IN", 2, "prep"), (1, 4, "to", "TO", 3, "prep"), (1, 5, "him", None, 4, "pobj"), (1, 6, "not", "RB", 2, "neg"), (2, 1, "of", "IN", 2, "prep"), (2, 2, "in", "IN", 1, "prep"), (2, 3, "x", "NN", 1, "pobj")]
+
+
+@pytest.fixture
+def edges(spark):
+    return spark.createDataFrame(TREE, "doc_id long, id int, form string, pos string, head int, deprel string")
+
+
+def test_prepositions_collapse_and_circles_end(edges):
+    assert got(D.collapsed(edges), "doc_id", "id", "head") == [(1, 1, 2), (1, 2, 0), (1, 5, 2), (1, 6, 2), (2, 3, 0)]
+    assert got(D.collapsed(edges.limit(0)), "id") == []
+    assert got(D.bigrams(D.collapsed(edges)), "feature") == [("dog-ran",), ("ran-him",), ("ran-not",)]
+
+
+def test_tree_predicates(edges):
+    assert got(D.negated(edges), "id") == [(2,)]
+    assert got(D.longest_path(edges), "doc_id", "depth") == [(1, 4)]
+    assert got(D.out_degree(edges).where("out_degree > 1"), "doc_id", "id", "out_degree") == [(1, 2, 3), (2, 1, 2)]
+    assert got(D.ancestor(edges, 2).where("doc_id = 1 and id = 4"), "ancestor") == [(2,)]
+    assert got(D.siblings(edges).where("doc_id = 1 and id = 1"), "sibling") == [(3,), (6,)]
+    assert ("to-up-ran",) in got(D.expanded_ngrams(edges), "feature") and ("dog-ran",) in got(D.expanded_ngrams(edges), "feature")
+
+
+def test_conll_round_trip(edges):
+    lines = D.to_conll(edges.withColumn("sentence", F.lit(0))).withColumnRenamed("id", "pos")
+    assert got(D.from_conll(lines).na.fill("_"), "doc_id", "id", "form", "pos", "head", "deprel") == got(edges.na.fill("_"), "doc_id", "id", "form", "pos", "head", "deprel")
