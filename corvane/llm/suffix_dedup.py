@@ -8,10 +8,11 @@ far enough to tell:
    equal ones. Equal windows have equal anchors at equal offsets. Anchors go to
    initial buckets by q-gram; a bucket with one place is finished.
 2. The windows of the other anchors meet in their bucket's task with the words
-   they cover. There bucket pointers are refined: suffixes are sorted by the
-   pointers at their own place and at a later offset, whose depth is already
-   known, so the depth doubles with each round up to ``least``. Singletons are
-   finished and not sorted again.
+   they cover. There bucket pointers are refined, bucket after bucket: the
+   suffixes of a bucket are sorted by the pointers at the offset of its depth,
+   and the parts are refined again at theirs. A part is as deep as its bucket
+   and the bucket pointed at together, so what was refined before is reused.
+   Singletons are finished and not sorted again.
 3. Windows that still share a bucket are repeated. Of these the one with the
    least (id, place) is the first; the others are removable.
 
@@ -43,9 +44,15 @@ Q = 12
 _PLACE = 28
 
 
-def minimizers(h: np.ndarray, doc: np.ndarray, least: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, the place of each one's anchor, and all q-gram hashes."""
+def minimizers(h: np.ndarray, doc: np.ndarray, least: int, q: int, limit: int = 1 << _PLACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts, the place of each one's anchor, and all q-gram hashes.
+    Texts beyond ``limit`` words, whose places don't fit in a key, are halved."""
     grams = ngrams(h, q)
+    if len(h) > max(limit, 2 * least):
+        m = len(h) // 2
+        left = minimizers(h[: m + least - 1], doc[: m + least - 1], least, q, limit)
+        right = minimizers(h[m:], doc[m:], least, q, limit)
+        return np.append(left[0], right[0] + m), np.append(left[1], right[1] + m), grams
     n = len(h) - least + 1
     if n < 1:
         none = np.zeros(0, np.int64)
@@ -62,35 +69,92 @@ def minimizers(h: np.ndarray, doc: np.ndarray, least: int, q: int) -> tuple[np.n
     return starts, (key[starts] & low).astype(np.int64), grams
 
 
-def refine(text: np.ndarray, row: np.ndarray, least: int, q: int) -> np.ndarray:
-    """Bucket of each place of ``text`` at depth ``least``, 0 where it is alone
-    or its row ends before. ``row`` numbers the places' rows."""
+def refine(text: np.ndarray, row: np.ndarray, least: int, q: int, batch: int = 1 << 18) -> np.ndarray:
+    """Class of each place of ``text`` at depth ``least``, 0 where it is alone
+    or its row ends before. ``row`` numbers the places' rows.
+
+    Buckets are refined in order, ``batch`` places at once, each batch down to
+    the end before the next begins and so on pointers that it has updated.
+    """
     n = len(text)
     out = np.zeros(n, np.int64)
     if n < least:
         return out
-    pointer = np.zeros(n, np.int64)
     grams = ngrams(text.astype(np.uint64), q)
     inside = np.flatnonzero(row[: len(grams)] == row[q - 1 :])
-    _, back = np.unique(grams[inside], return_inverse=True)
-    pointer[inside] = back + 1
-    # Suffixes that can reach the full depth; others only lend their pointers.
-    live = np.flatnonzero(row[: n - least + 1] == row[least - 1 :])
-    depth = q
-    while depth < least:
-        step = min(depth, least - depth)
-        # Places whose pointers later rounds read: all that reach the new depth.
-        reach = np.flatnonzero(row[: n - depth - step + 1] == row[depth + step - 1 :])
-        pair = (pointer[reach].astype(np.uint64) << np.uint64(32)) | pointer[reach + step].astype(np.uint64)
-        _, back = np.unique(pair, return_inverse=True)
-        pointer = np.zeros(n, np.int64)
-        pointer[reach] = back + 1
-        depth += step
-    size = np.bincount(pointer[live])
-    out[live] = np.where(size[pointer[live]] > 1, pointer[live], 0)
+    order = inside[np.argsort(grams[inside], kind="stable")]
+    starts, size = _edges([grams[order]])
+    first = np.zeros(n, np.int32)  # q-gram bucket of each place, 0 if its row ends before
+    first[order] = np.repeat(starts + 1, size)
+    del grams, inside
+    # A pointer is 1 + where its bucket begins in the order of whole q-word
+    # blocks, so the parts of a bucket stay in its range.
+    pointer, goal = first.copy(), least // q * q
+    depth = np.full(n, q, np.int32)
+    shared = np.flatnonzero(size > 1)
+    ends = np.cumsum(size[shared])
+    lot = np.searchsorted(np.unique(ends // batch), ends // batch) if len(ends) else ends
+    for buckets in np.split(shared, np.flatnonzero(np.diff(lot)) + 1):
+        at = _members(order, starts[buckets], size[buckets])
+        while goal > q and len(at):
+            at = _split(at, row, pointer, depth, goal)
+    # Pointers may tell suffixes apart behind the window: equal windows are
+    # neighbours in their order, and their q-grams tell where one class ends.
+    at = _members(order, starts[shared], size[shared])
+    at = at[at <= n - least]
+    at = at[row[at] == row[at + least - 1]]
+    at = at[np.argsort(pointer[at], kind="stable")]
+    starts, size = _edges([first[at + k] for k in range(0, goal, q)])
+    group = np.repeat(np.arange(len(size)), size)
+    tail = first[at + least - q]
+    sort = np.lexsort((tail, group))
+    at, group, tail = at[sort], group[sort], tail[sort]
+    _, size = _edges([group, tail])
+    out[at] = np.repeat(np.where(size > 1, np.arange(1, len(size) + 1), 0), size)
     return out
 
 
+def _edges(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of equal keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(new)))
+
+
+def _members(order: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of buckets given by begin and length in ``order``."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    shift = np.repeat(starts - (np.cumsum(size) - size), size)
+    return order[shift + np.arange(len(shift))]
+
+
+def _split(at: np.ndarray, row: np.ndarray, pointer: np.ndarray, depth: np.ndarray, goal: int) -> np.ndarray:
+    """Splits the buckets of ``at`` by the pointers at their depth, updates the
+    pointers and depths, and returns the places that aren't finished."""
+    d = depth[at]
+    far = at + d
+    ok = far < len(row)
+    far = np.where(ok, far, 0)
+    ok &= row[far] == row[at]
+    key = np.where(ok, pointer[far], 0)
+    d = np.where(key > 0, d + depth[far], goal)  # a row that ends can't go deeper
+    old = pointer[at]
+    sort = np.lexsort((key, old))
+    at, key, old, d = at[sort], key[sort], old[sort], d[sort]
+    whole, length = _edges([old])
+    starts, size = _edges([old, key])
+    begin = np.repeat(whole, length)[starts]
+    pointer[at] = np.repeat(old[starts] + (starts - begin).astype(np.int32), size)
+    depth[at] = d
+    return at[np.repeat(size > 1, size) & (d < goal)]
+
+
 def repeated_windows(ids: np.ndarray, place: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of places in buckets: id, place, and whether another comes first."""
     at = np.flatnonzero(bucket)

@@ -258,3 +258,51 @@ def test_empty_tables(spark):
     nulls = spark.createDataFrame([(None, None), (1, None), (2, "")], KIND)
     for f in (near_groups, repeated_passages):
         assert f(nulls).collect() == []
+
+
+def _windows(text, row, least):
+    found = {}
+    for i in range(len(text) - least + 1):
+        if row[i] == row[i + least - 1]:
+            found.setdefault(tuple(text[i : i + least]), []).append(i)
+    return sorted(tuple(v) for v in found.values() if len(v) > 1)
+
+
+def test_bucket_refinement_against_brute_force():
+    import numpy as np
+
+    from corvane.llm.suffix_dedup import minimizers, refine
+
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n, q = int(rng.integers(1, 120)), int(rng.integers(1, 5))
+        least = q + int(rng.integers(0, 12))
+        text = rng.integers(0, int(rng.integers(1, 4)), n).astype(np.uint64)
+        row = np.sort(rng.integers(0, int(rng.integers(1, 8)), n))
+        groups = {}
+        classes = refine(text, row, least, q, batch=int(rng.integers(1, 40)))
+        for i in np.flatnonzero(classes):
+            groups.setdefault(classes[i], []).append(int(i))
+        assert sorted(map(tuple, groups.values())) == _windows(text, row, least)
+        if n >= q:  # halved texts have the same anchors
+            whole = minimizers(text << np.uint64(50), row, least, q)
+            parts = minimizers(text << np.uint64(50), row, least, q, limit=2 * least + 1)
+            assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
+def test_bucket_refinement_reuses_pointers():
+    """One long run of equal words: each round doubles the depth, and a text
+    of a million words takes a few rounds rather than one for each q words."""
+    import numpy as np
+
+    from corvane.llm import suffix_dedup as s
+
+    rounds = []
+    split = s._split
+    s._split = lambda *args: rounds.append(1) or split(*args)
+    try:
+        classes = s.refine(np.zeros(1_000_000, np.uint64), np.zeros(1_000_000, np.int64), 400, 12)
+    finally:
+        s._split = split
+    assert (classes > 0).sum() == 1_000_000 - 399 and len(set(classes.tolist())) == 2
+    assert len(rounds) <= 7
