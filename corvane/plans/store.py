@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed Parquet table in the shared folder, whose size the
+    planner knows. It stays there as long as the folder."""
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A narrow table over all cores, where its files give fewer tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
