@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.features import times
+from corvane.operators.features import rows_of, slim
+from corvane.plans.store import stored
 
 
 def shuffled(docs: DataFrame, seed: int = 0, ident: str = "doc_id") -> DataFrame:
@@ -44,8 +45,8 @@ def information_gain() -> Column:
 def correlation(feats: DataFrame, soft: DataFrame, ident: str = "doc_id") -> DataFrame:
     """Share of each label's (soft, by occurrences) feature mass that a feature
     has, and the feature's highest such share of any label."""
-    rows = feats.select(ident, "feature", times(feats).alias("k")).join(soft.select(ident, "label", "p"), ident)
-    joint = rows.groupBy("label", "feature").agg(F.sum(F.col("p") * F.col("k")).alias("joint"))
+    rows = rows_of(slim(feats, ident).join(soft.select(ident, "label", "p"), ident))
+    joint = stored(rows.groupBy("label", "feature").agg(F.sum(F.col("p") * F.col("n")).alias("joint")))
     total = joint.groupBy("label").agg(F.sum("joint").alias("total"))
     share = joint.join(F.broadcast(total), "label").withColumn("share", F.try_divide("joint", "total"))
     return share.withColumn("most", F.max("share").over(Window.partitionBy("feature"))).select("label", "feature", "share", "most")

@@ -9,17 +9,21 @@ the label alone, so nothing grows with labels times vocabulary.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.features import times
-from corvane.plans.store import written
+from corvane.operators.features import rows_of, sizes, slim
+from corvane.plans.store import stored, written
 
 PHI = 1.0
 LAMBDA = 5.0
+#: As many features at most are broadcast, those of most weight; the rest is shuffled.
+HOT = 2**18
 
 
 @dataclass(frozen=True)
@@ -37,13 +41,14 @@ def fit(feats: DataFrame, labels: DataFrame, weight: str | None = None, alphas:
     (doc_id, label) and perhaps a weight column; a label may be soft, in
     several rows with weights that are probabilities."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = feats.select(ident, "feature", times(feats).alias("k")).join(labels.select(ident, "label", w.alias("w")).where("label is not null"), ident)
+    rows = slim(feats, ident).join(labels.select(ident, "label", w.alias("w")).where("label is not null"), ident)
     return _model(rows, alphas, label_alphas, multipliers, ident)
 
 
 def _model(rows: DataFrame, alphas=None, label_alphas=None, multipliers=None, ident: str = "doc_id") -> Model:
-    joint = rows.groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("k")).alias("n"))
-    per = rows.groupBy("label", ident).agg(F.max("w").alias("w"), F.sum(F.col("w") * F.col("k")).alias("t")).groupBy("label").agg(F.sum("w").alias("doc_count"), F.sum("t").alias("token_count"))
+    joint = stored(rows_of(rows).groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("n")).alias("n")))
+    per = rows.groupBy("label", ident).agg(F.max("w").alias("w"), F.sum(F.col("w") * sizes(rows)).alias("t")).groupBy("label").agg(F.sum("w").alias("doc_count"), F.sum("t").alias("token_count"))
+    per = stored(per)
     return _assemble(joint, per, alphas, label_alphas, multipliers)
 
 
@@ -82,11 +87,37 @@ def loglik(m: Model) -> DataFrame:
 def scores(m: Model, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     """doc_id, label, score for each document and label. Unknown features are
     skipped; a document without known ones has the log priors."""
-    k = times(feats)
-    known = feats.join(m.vocab, "feature", "left_semi").groupBy(ident).agg(F.sum(k).alias("known"))
-    extra = feats.join(loglik(m), "feature").groupBy(ident, "label").agg(F.sum(k * (F.col("loglik") - F.col("base"))).alias("extra"))
-    every = docs.select(ident).distinct().crossJoin(F.broadcast(bases(m)))
-    return every.join(known, ident, "left").join(extra, [ident, "label"], "left").select(ident, "label", (F.col("log_prior") + F.coalesce(F.col("known"), F.lit(0)) * F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+    base = stored(bases(m))
+    terms = m.joint.join(m.vocab, "feature", "left_semi").join(F.broadcast(base), "label").select("label", "feature", F.ln((m.phi + F.col("alpha") + F.col("n")) / F.col("denom")).alias("loglik"), "base")
+    known = sums(terms, m.vocab, feats, ("label",), base.count(), ident)
+    return docs.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(base)).select(ident, "label", (F.col("log_prior") + F.coalesce(F.col("known"), F.lit(0)) * F.col("base") + _summed("label")).alias("score"))
+
+
+def sums(terms: DataFrame, vocab: DataFrame, feats: DataFrame, keys: tuple[str, ...], n_keys: int, ident: str = "doc_id", hot: int | None = None) -> DataFrame:
+    """id, known, extras: of each document its occurrences of features of the
+    vocabulary, and an array of (*keys, extra), the sums of loglik - base over
+    them, without the keys that have none.
+
+    Likelihoods of a key add up to 1 at most, so no more than ``hot`` features
+    have n_keys / hot of them together. These are broadcast and summed up where
+    the documents are; only occurrences of the other, rare ones are shuffled."""
+    each = F.struct(*keys, (F.col("loglik") - F.col("base")).alias("d"))
+    own = terms.groupBy("feature").agg(F.collect_list(each).alias("each"), F.sum(F.exp("loglik")).alias("p"))
+    nil = F.struct(*[F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in keys], F.lit(1.0).alias("d"))  # counts the known
+    known = F.concat(F.array(nil), F.coalesce("each", F.array().cast(own.schema["each"].dataType)))
+    table = stored(vocab.select("feature").distinct().join(own, "feature", "left").select("feature", known.alias("each"), (F.coalesce("p", F.lit(0.0)) >= max(n_keys, 1) / (hot or HOT)).alias("hot")))
+    rows, often = rows_of(slim(feats, ident)), table.where("hot")
+    near = rows.join(F.broadcast(often), "feature").select(ident, "n", "each")
+    far = rows.join(F.broadcast(often.select("feature")), "feature", "left_anti").join(table.where("not hot"), "feature").select(ident, "n", "each")
+    added = near.unionByName(far).select(ident, "n", F.inline("each")).groupBy(ident, *keys).agg(F.sum(F.col("n") * F.col("d")).alias("extra"))
+    count = F.col(keys[0]).isNull()
+    return added.groupBy(ident).agg(F.max(F.when(count, F.col("extra"))).cast("long").alias("known"), F.collect_list(F.when(~count, F.struct(*keys, "extra"))).alias("extras"))
+
+
+def _summed(*keys: str) -> Column:
+    """Of a row of ``sums``, beside these keys, its extra, 0 if there is none."""
+    mine = F.filter("extras", lambda x: reduce(and_, [x[k] == F.col(k) for k in keys]))
+    return F.coalesce(F.get(mine, F.lit(0))["extra"], F.lit(0.0))
 
 
 def posterior(scored: DataFrame, ident: str = "doc_id") -> DataFrame:
@@ -102,7 +133,8 @@ def best(scored: DataFrame, by: str = "score", ident: str = "doc_id") -> DataFra
 
 
 def length_normalised(scored: DataFrame, feats: DataFrame, ident: str = "doc_id") -> DataFrame:
-    size = feats.groupBy(ident).agg(F.sum(times(feats)).alias("size"))
+    s = slim(feats, ident)
+    size = s.groupBy(ident).agg(F.sum(sizes(s)).alias("size"))
     return scored.join(size, ident).select(ident, "label", (F.col("score") / F.col("size")).alias("score"))
 
 
@@ -135,9 +167,9 @@ def em_counts(m: Model, feats: DataFrame, docs: DataFrame, weight: float = 0.1,
     """Expected counts of unlabelled documents: (label, feature, n) and
     (label, doc_count, token_count)."""
     soft = posterior(scores(m, feats, docs, ident), ident).select(ident, "label", (F.col("p") * weight).alias("w"))
-    rows = feats.select(ident, "feature", times(feats).alias("k")).join(soft, ident)
-    joint = rows.groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("k")).alias("n"))
-    size = feats.groupBy(ident).agg(F.sum(times(feats)).alias("size"))
+    soft, s = stored(soft), slim(feats, ident)
+    joint = rows_of(s.join(soft, ident)).groupBy("label", "feature").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    size = s.groupBy(ident).agg(F.sum(sizes(s)).alias("size"))
     per = soft.join(size, ident).groupBy("label").agg(F.sum("w").alias("doc_count"), F.sum(F.col("w") * F.col("size")).alias("token_count"))
     return joint, per
 
@@ -148,7 +180,8 @@ def em_step(m: Model, scorer: Model, feats: DataFrame, docs: DataFrame, weight:
     j = m.joint.join(joint.withColumnRenamed("n", "more"), ["label", "feature"], "full").select("label", "feature", (F.coalesce("n", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("n"), F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
     p = per.select("label", F.col("doc_count").alias("d"), F.col("token_count").alias("t"))
     labels = m.labels.join(p, "label", "left").withColumn("doc_count", F.col("doc_count") + F.coalesce("d", F.lit(0.0))).withColumn("token_count", F.col("token_count") + F.coalesce("t", F.lit(0.0))).drop("d", "t")
-    return replace(m, labels=labels, joint=j, vocab=j.select("feature").distinct())
+    j = stored(j)
+    return replace(m, labels=stored(labels), joint=j, vocab=j.select("feature").distinct())
 
 
 def train_no_em(feats, labels, **options) -> Model:
@@ -186,10 +219,11 @@ def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alph
         own = F.when(F.col("label") == F.col("target"), F.col("target")).otherwise(F.lit("OTHER"))
         return table.crossJoin(F.broadcast(targets)).withColumn("side", own)
 
-    k = times(feats).alias("k")
-    rows = sides(feats.select(ident, "feature", k).join(labels.select(ident, "label"), ident))
-    joint = rows.groupBy("target", "side", "feature").agg(F.sum("k").alias("n"))
-    docs = rows.select("target", "side", ident).distinct().groupBy("target", "side").agg(F.count("*").alias("docs"))
+    targets = stored(targets)
+    held = slim(feats, ident).join(labels.select(ident, "label"), ident)
+    counts = stored(rows_of(held).groupBy("label", "feature").agg(F.sum("n").alias("n")))
+    joint = sides(counts).groupBy("target", "side", "feature").agg(F.sum("n").alias("n"))
+    docs = sides(held.select("label", ident).distinct()).select("target", "side", ident).distinct().groupBy("target", "side").agg(F.count("*").alias("docs"))
     size = joint.groupBy("target", "side").agg(F.sum("n").alias("total"))
     if alphas is not None:
         more = sides(alphas).groupBy("target", "side", "feature").agg(F.sum("alpha").alias("alpha"))
@@ -197,6 +231,7 @@ def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alph
         size = size.join(more.groupBy("target", "side").agg(F.sum("alpha").alias("alpha_total")), ["target", "side"], "full").na.fill({"total": 0, "alpha_total": 0.0})
     else:
         joint, size = joint.withColumn("alpha", F.lit(0.0)), size.withColumn("alpha_total", F.lit(0.0))
+    joint = stored(joint)
     base = docs.join(size, ["target", "side"])
     base = base.join(sides(label_alphas).groupBy("target", "side").agg(F.sum("label_alpha").alias("label_alpha")), ["target", "side"], "left") if label_alphas is not None else base.withColumn("label_alpha", F.lit(0.0))
     base = base.join(multipliers.select(F.col("label").alias("side"), "multiplier"), "side", "left") if multipliers is not None else base.withColumn("multiplier", F.lit(1.0))
@@ -204,11 +239,11 @@ def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alph
     v = joint.select("feature").distinct().agg(F.count("*").alias("v"))
     raw = F.col("multiplier") * (LAMBDA + F.col("label_alpha") + (F.col("docs") if empirical else F.lit(1.0)))
     base = base.crossJoin(F.broadcast(v)).withColumn("raw", raw).withColumn("log_prior", F.ln(F.col("raw") / F.sum("raw").over(Window.partitionBy("target")))).withColumn("denom", PHI * F.col("v") + F.col("alpha_total") + F.col("total")).withColumn("base", F.ln(PHI / F.col("denom")))
-    lik = joint.join(F.broadcast(base.select("target", "side", "denom", "base")), ["target", "side"]).select("target", "side", "feature", (F.ln((PHI + F.col("alpha") + F.col("n")) / F.col("denom")) - F.col("base")).alias("extra"))
-    known = feats.join(joint.select("feature").distinct(), "feature", "left_semi").groupBy(ident).agg(F.sum(times(feats)).alias("known"))
-    extra = feats.join(lik, "feature").groupBy(ident, "target", "side").agg(F.sum(times(feats) * F.col("extra")).alias("extra"))
-    every = feats.select(ident).distinct().crossJoin(F.broadcast(base.select("target", "side", "log_prior", "base")))
-    return every.join(known, ident, "left").join(extra, [ident, "target", "side"], "left").select(ident, "target", F.col("side").alias("label"), (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+    base = stored(base)
+    lik = joint.join(F.broadcast(base.select("target", "side", "denom", "base")), ["target", "side"]).select("target", "side", "feature", F.ln((PHI + F.col("alpha") + F.col("n")) / F.col("denom")).alias("loglik"), "base")
+    known = sums(lik, joint.select("feature"), feats, ("target", "side"), base.count(), ident)
+    every = feats.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(base.select("target", "side", "log_prior", "base")))
+    return every.select(ident, "target", F.col("side").alias("label"), (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + _summed("target", "side")).alias("score"))
 
 
 def ovr_probabilities(ovr: DataFrame, ident: str = "doc_id") -> DataFrame:
@@ -222,12 +257,13 @@ def sfe(m: Model, pool_feats: DataFrame, pool: DataFrame, feats: DataFrame, docs
     """Semi-supervised frequency estimate: score = log prior + the sum over
     known features of (log likelihood + log P(word) in the pool, 0 if unseen
     - S of the label), S being the summed likelihood of the pool's documents."""
-    c = times(pool_feats)
-    p = pool_feats.groupBy("feature").agg(F.sum(c).alias("n")).crossJoin(pool_feats.agg(F.sum(c).alias("total"))).select("feature", F.ln(F.col("n") / F.col("total")).alias("lp"))
+    pool_feats = slim(pool_feats, ident)
+    often = stored(rows_of(pool_feats).groupBy("feature").agg(F.sum("n").alias("n")))
+    p = often.crossJoin(F.broadcast(often.agg(F.sum("n").alias("total")))).select("feature", (F.col("n") / F.col("total")).alias("p"))
     s = scores(m, pool_feats, pool, ident).groupBy("label").agg(F.sum(F.exp("score")).alias("s"))
     plain = scores(m, feats, docs, ident)
-    k = times(feats)
-    words = feats.select(ident, "feature", k.alias("k")).join(m.vocab, "feature", "left_semi").join(p, "feature", "left").groupBy(ident).agg(F.sum(F.col("k") * F.coalesce("lp", F.lit(0.0))).alias("lp"), F.sum("k").alias("known"))
+    lp = p.join(m.vocab, "feature", "left_semi").select("feature", F.lit("").alias("pool"), F.ln("p").alias("loglik"), F.lit(0.0).alias("base"))
+    words = sums(lp, m.vocab, feats, ("pool",), 1, ident).select(ident, "known", F.get("extras", F.lit(0))["extra"].alias("lp"))
     return plain.join(words, ident, "left").join(F.broadcast(s), "label", "left").select(ident, "label", (F.col("score") + F.coalesce("lp", F.lit(0.0)) - F.coalesce("known", F.lit(0)) * F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
@@ -261,11 +297,12 @@ def marginal_root(n1, n2, n3, n4, pw, pt, steps: int = 100):
 def feature_marginals(feats: DataFrame, labels: DataFrame, pool_feats: DataFrame, positive: str, ident: str = "doc_id") -> DataFrame:
     """feature, p_positive, p_negative (each normalised) for words of the pool
     that are constrained by the labelled counts of a binary problem."""
-    rows = feats.select(ident, "feature", times(feats).alias("k")).join(labels, ident).withColumn("pos", F.when(F.col("label") == positive, F.col("k")).otherwise(0)).withColumn("neg", F.col("k") - F.col("pos"))
+    rows = rows_of(slim(feats, ident).join(labels, ident)).withColumn("pos", F.when(F.col("label") == positive, F.col("n")).otherwise(0)).withColumn("neg", F.col("n") - F.col("pos"))
     joint = rows.groupBy("feature").agg(F.sum("pos").cast("double").alias("n1"), F.sum("neg").cast("double").alias("n3"))
     total = rows.agg(F.sum("pos").cast("double").alias("tp"), F.sum("neg").cast("double").alias("tn"))
     docs = labels.join(feats.select(ident).distinct(), ident, "left_semi").agg(F.avg((F.col("label") == positive).cast("double")).alias("pt"))
-    n = pool_feats.groupBy("feature").agg(F.sum(times(pool_feats)).alias("c")).crossJoin(pool_feats.agg(F.sum(times(pool_feats)).alias("t"))).select("feature", (F.col("c") / F.col("t")).alias("pw"))
+    pooled = rows_of(slim(pool_feats, ident))
+    n = pooled.groupBy("feature").agg(F.sum("n").alias("c")).crossJoin(pooled.agg(F.sum("n").alias("t"))).select("feature", (F.col("c") / F.col("t")).alias("pw"))
     table = n.join(joint, "feature").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(docs)).select("feature", "pw", "n1", (F.col("tp") - F.col("n1")).alias("n2"), "n3", (F.col("tn") - F.col("n3")).alias("n4"), "pt")
 
     def solve(batches):
@@ -312,11 +349,8 @@ def precompute(m: Model, terms: DataFrame | None = None) -> Precomputed:
 
 
 def precomputed_scores(p: Precomputed, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
-    k = times(feats)
-    known = feats.join(p.vocab, "feature", "left_semi").groupBy(ident).agg(F.sum(k).alias("known"))
-    extra = feats.join(p.terms, "feature").groupBy(ident, "label").agg(F.sum(k * (F.col("loglik") - F.col("base"))).alias("extra"))
-    every = docs.select(ident).distinct().crossJoin(F.broadcast(p.labels))
-    return every.join(known, ident, "left").join(extra, [ident, "label"], "left").select(ident, "label", (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + F.coalesce("extra", F.lit(0.0))).alias("score"))
+    known = sums(p.terms, p.vocab, feats, ("label",), p.labels.count(), ident)
+    return docs.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(p.labels)).select(ident, "label", (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + _summed("label")).alias("score"))
 
 
 def gender_classifier(names: DataFrame) -> Model:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.features import times
+from corvane.operators.features import rows_of, slim, times
+from corvane.plans.store import stored
 
 SMOOTH = 0.1
 
@@ -16,6 +17,7 @@ def feature_type(feature: Column) -> Column:
 
 def typed_counts(feats: DataFrame) -> DataFrame:
     """type, feature, n, and the type's total and number of features."""
+    feats = rows_of(feats)
     n = feats.groupBy(feature_type(F.col("feature")).alias("type"), "feature").agg(F.sum(times(feats)).alias("n"))
     return with_totals(n)
 
@@ -68,8 +70,8 @@ def cluster_counts(feats: DataFrame, clusters: DataFrame, background: DataFrame
     """cluster, type, feature, joint, cluster_total (of the type), and the
     feature's prior: smoothed for words, plain for tags; words from the
     background where one is given."""
-    rows = feats.join(clusters.select(ident, "cluster"), ident).withColumn("type", feature_type(F.col("feature")))
-    joint = rows.groupBy("cluster", "type", "feature").agg(F.sum(times(feats)).alias("joint"))
+    rows = rows_of(slim(feats, ident).join(clusters.select(ident, "cluster"), ident)).withColumn("type", feature_type(F.col("feature")))
+    joint = stored(rows.groupBy("cluster", "type", "feature").agg(F.sum("n").alias("joint")))
     sums = joint.groupBy("cluster", "type").agg(F.sum("joint").alias("cluster_total"))  # three rows a cluster
     joint = joint.join(F.broadcast(sums), ["cluster", "type"])
     own = joint.groupBy("type", "feature").agg(F.sum("joint").alias("n"))

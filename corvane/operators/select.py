@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.features import is_packed, rows_of
+from corvane.plans.store import stored
+
 
 def evidence(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", keys: tuple[str, ...] = ("feature",)) -> DataFrame:
     """For each label and feature: a, b, c, d = documents of the label with it,
     others with it, of the label without it, others without it; n, n_label."""
-    held = feats.select(ident, *keys).distinct().join(labels.select(ident, "label"), ident)
+    if is_packed(feats):  # a document's features are distinct
+        held = rows_of(feats.select(ident, "items").join(labels.select(ident, "label"), ident))
+    else:
+        held = feats.select(ident, *keys).distinct().join(labels.select(ident, "label"), ident)
     docs = labels.join(feats.select(ident).distinct(), ident, "left_semi")
     per = docs.groupBy("label").agg(F.count("*").alias("n_label")).withColumn("n", F.sum("n_label").over(Window.partitionBy()))
-    n_f = held.groupBy(*keys).agg(F.count("*").alias("n_feature"))
-    both = held.groupBy("label", *keys).agg(F.count("*").alias("a"))
+    both = stored(held.groupBy("label", *keys).agg(F.count("*").alias("a")))
+    n_f = both.groupBy(*keys).agg(F.sum("a").alias("n_feature"))
     every = n_f.crossJoin(F.broadcast(per)).join(both, ["label", *keys], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("long")))
     return every.select("label", *keys, "a", (F.col("n_feature") - F.col("a")).alias("b"), (F.col("n_label") - F.col("a")).alias("c"), (F.col("n") - F.col("n_label") - F.col("n_feature") + F.col("a")).alias("d"), "n", "n_label")
 
@@ -56,7 +62,7 @@ def frequency_range(feats: DataFrame, lower: int = 3, upper: int = -1) -> DataFr
 def apply(feats: DataFrame, chosen: DataFrame, additional: DataFrame | None = None, types: tuple[str, ...] | None = None) -> DataFrame:
     """Rows whose feature was chosen or is additional. Other types pass; if
     nothing was chosen everything passes."""
-    keep = chosen.select("feature")
+    keep = stored(chosen.select("feature"))  # its size is known then: a short one is broadcast
     if keep.isEmpty():
         return feats
     if additional is not None:

@@ -26,7 +26,7 @@ from corvane.functions import text as X
 from corvane.operators import features as T
 from corvane.operators import match as M
 from corvane.operators import select as S
-from corvane.plans.store import spread
+from corvane.plans.store import spread, stored
 
 
 class ConfigurationError(ValueError):
@@ -167,13 +167,16 @@ class Pipeline:
     def _running(self, live: bool) -> list[Component]:
         return [c for c in self.components if c.online and (live or not c.only_online)]
 
-    def tokens(self, docs: DataFrame, ident: str = "doc_id", text: str = "text", live: bool = True) -> DataFrame:
-        """doc_id and ``items``: array of (pos, form, filtered, done)."""
+    def tokens(self, docs: DataFrame, ident: str = "doc_id", text: str = "text", live: bool = True, placed: bool = False) -> DataFrame:
+        """doc_id and ``items``: array of (pos, form, filtered, done). ``placed``
+        puts whole texts where their ids belong, so that what is grouped or joined
+        by document afterwards moves no feature."""
         use = self._running(live)
         tokeniser = next((c for c in use if c.kind == "tokeniser"), None)
         if tokeniser is None:
             raise ConfigurationError("a pipeline needs a tokeniser")
-        rows = spread(docs.select(ident, text)).select(ident, tokeniser.run(F.col(text)).alias("items"))
+        rows = docs.select(ident, text)
+        rows = (rows.repartition(F.col(ident)) if placed else spread(rows)).select(ident, tokeniser.run(F.col(text)).alias("items"))
         rows = rows.withColumn("items", F.transform("items", lambda x, i: F.struct(i.alias("pos"), x.alias("form"), F.lit(False).alias("filtered"), F.lit(False).alias("done"))))
         for kinds in (("processor",), ("filter",), ("normaliser", "stemmer")):
             for c in use:
@@ -195,7 +198,7 @@ class Pipeline:
                 feats = more if feats is None else feats.unionByName(more)
             elif c.kind == "selector" and feats is not None:
                 if fit is not None:
-                    known[c.name] = c.run["fit"](feats, fit, ident)
+                    known[c.name] = stored(c.run["fit"](feats, fit, ident))
                 if c.name in known:
                     chosen.append((c.name, known[c.name]))
         return feats, chosen
@@ -206,7 +209,7 @@ class Pipeline:
         selectors = self.find("selector")
         if not selectors:
             return self
-        items = self.tokens(docs, ident, text)
+        items = self.tokens(docs, ident, text, placed=True)
         labels = labels if labels is not None else docs.select(ident, F.lit("all").alias("label"))
         return replace(self, fitted=tuple(self._inferred(docs, items, self._running(True), ident, labels)[1]))
 

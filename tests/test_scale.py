@@ -4,8 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from corvane.operators import active as A
+from corvane.operators import bayes as B
+from corvane.operators import contrast as C
 from corvane.operators import features as T
 from corvane.operators import phrases as P
+from corvane.operators import select as S
 from corvane.plans import catalogue
 from corvane.plans.store import stored
 
@@ -35,3 +39,45 @@ def test_rooted_queries_shuffle_no_tokens(spark):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "collect_list" not in plan
     assert {r.root for r in catalogue.QUERIES["rooted_prune"](spark, SF).collect()} >= {"the"}
+
+
+def test_packed_counts_are_the_bag(spark):
+    docs = spark.createDataFrame([(1, "a b a c a"), (2, ""), (3, None), (4, "b b d"), (5, "x a"), (5, "a y"), (None, "z"), (None, "z")], "doc_id long, text string")
+    packed = T.packed(docs)
+    assert sorted(map(str, T.rows_of(packed).select("doc_id", "feature", "n").collect())) == sorted(map(str, T.bag(T.unigrams(T.tokens(docs))).select("doc_id", "feature", "n").collect()))
+    assert {r.doc_id: r.k for r in packed.collect()} == {1: 5, 4: 3, 5: 4, None: 2}
+
+
+def test_rare_and_frequent_features_score_alike(spark):
+    docs = catalogue.table(spark, SF, "documents").limit(60)
+    labels = docs.select("doc_id", F.col("lang").alias("label"))
+    packed, bag = T.packed(docs), T.bag(T.unigrams(T.tokens(docs)))
+    got = {}
+    for name, feats, hot in (("bag", bag, 2**18), ("all rare", packed, 1), ("some", packed, 300), ("all frequent", packed, 2**30)):
+        B.HOT, old = hot, B.HOT
+        try:
+            m = B.fit(feats, labels)
+            got[name] = [[(*r[:-1], round(r[-1], 6)) for r in rows(x)] for x in (B.scores(m, feats, docs), B.one_vs_rest(feats, labels), B.sfe(m, feats, docs, feats, docs))]
+        finally:
+            B.HOT = old
+    assert all(x == got["bag"] for x in got.values()) and len(got["bag"][0]) == 240
+
+
+def test_packed_tables_serve_as_bags_do(spark):
+    docs = catalogue.table(spark, SF, "documents").limit(60)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3).cast("string").alias("label"))
+    clusters = docs.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("cluster")).where("doc_id % 2 = 0")
+    soft = labels.withColumn("p", F.lit(0.5))
+    both = []
+    for feats in (T.packed(docs), T.bag(T.unigrams(T.tokens(docs)))):
+        both.append([rows(S.evidence(feats, labels)), rows(C.cluster_counts(feats, clusters, feats)), rows(A.correlation(feats, soft)), rows(C.typed_counts(feats)), rows(B.fit(feats, labels).labels)])
+    assert both[0] == both[1] and all(both[0])
+
+
+def test_scores_join_features_by_broadcast_or_as_rare_ones(spark):
+    """No join by feature of all occurrences: the frequent ones' side is broadcast."""
+    docs = catalogue.table(spark, SF, "documents")
+    feats = T.packed(docs)
+    m = B.fit(feats, docs.select("doc_id", F.col("lang").alias("label")))
+    plan = B.scores(m, feats, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan
