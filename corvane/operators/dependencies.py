@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.plans.store import written
+from corvane.plans.store import stored, written
 
 PREPOSITIONS = ("IN", "TO")
 NEGATIONS = ("no", "not", "n't", "never")
@@ -41,22 +41,59 @@ def collapsed(edges: DataFrame, prepositions: Iterable[str] = PREPOSITIONS, iden
     return hung.select(*[F.coalesce("u.p_head", "e.head").alias("head") if c == "head" else F.col(f"e.{c}").alias(c) for c in edges.columns])
 
 
+def trees(edges: DataFrame, ident: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """Documents whose ids are 1, 2, ... n with their edges in one array, ``tree``,
+    of (id, form, head) in that order, so that a head is found by its place; and
+    the edges of the others, None where there are none. Tokens are moved once."""
+    if "tree" in edges.columns:
+        return edges, None
+    rows = edges.where(F.col(ident).isNotNull()).groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("id", "form", "head"))).alias("tree"))
+    placed = F.forall(F.sequence(F.lit(1), F.size("tree")), lambda i: F.element_at("tree", i)["id"].eqNullSafe(i))
+    rows = stored(rows.withColumn("placed", placed))
+    others = rows.where("not placed")
+    return rows.where("placed").select(ident, "tree"), None if others.isEmpty() else others.select(ident, F.inline("tree"))
+
+
+def _lowered(tree: DataFrame, lower_case: bool, ident: str) -> DataFrame:
+    form = F.lower if lower_case else (lambda x: x)
+    return tree.select(ident, F.transform("tree", lambda x: F.struct(x["id"].alias("id"), form(x["form"]).alias("form"), x["head"].alias("head"))).alias("tree"))
+
+
+def _in_order(*edges: Column) -> Column:
+    """The forms joined by - in the order of their ids."""
+    parts = F.sort_array(F.array(*[F.struct(x["id"].alias("id"), x["form"].alias("form")) for x in edges]))
+    return F.array_join(F.transform(parts, lambda x: x["form"]), "-")
+
+
 def bigrams(edges: DataFrame, lower_case: bool = True, ident: str = "doc_id") -> DataFrame:
     """A token and its head, joined by - in the order of their ids."""
-    c, h = _side(edges, "c", ident), _side(edges, "h", ident)
-    form = (lambda x: F.lower(x)) if lower_case else F.col
-    pair = c.join(h, (c[ident] == h[ident]) & (F.col("c_head") == F.col("h_id"))).select(c[ident], "c_id", "h_id", "c_form", "h_form")
-    return pair.select(ident, F.when(F.col("c_id") < F.col("h_id"), F.concat_ws("-", form("c_form"), form("h_form"))).otherwise(F.concat_ws("-", form("h_form"), form("c_form"))).alias("feature"))
+    tree, others = trees(edges, ident)
+    head = lambda x: F.get("tree", x["head"] - 1)
+    found = _lowered(tree, lower_case, ident).select(ident, F.explode(F.transform(F.filter("tree", lambda c: head(c).isNotNull()), lambda c: F.when(c["id"] < head(c)["id"], F.concat_ws("-", c["form"], head(c)["form"])).otherwise(F.concat_ws("-", head(c)["form"], c["form"])))).alias("feature"))
+    return found if others is None else found.unionByName(_joined_bigrams(others, lower_case, ident))
 
 
 def trigrams(edges: DataFrame, lower_case: bool = True, ident: str = "doc_id") -> DataFrame:
     """A token, its head and that one's head, in the order of their ids."""
-    c, h, g = _side(edges, "c", ident), *(_side(edges, p, ident).withColumnRenamed(ident, f"{p}_doc") for p in "hg")
-    two = c.join(h, (F.col(ident) == F.col("h_doc")) & (F.col("c_head") == F.col("h_id")))
-    three = two.join(g, (F.col(ident) == F.col("g_doc")) & (F.col("h_head") == F.col("g_id")))
+    tree, others = trees(edges, ident)
+    head = lambda x: F.get("tree", x["head"] - 1)
+    found = _lowered(tree, lower_case, ident).select(ident, F.explode(F.transform(F.filter("tree", lambda c: head(head(c)).isNotNull()), lambda c: _in_order(c, head(c), head(head(c))))).alias("feature"))
+    return found if others is None else found.unionByName(_joined_trigrams(others, lower_case, ident))
+
+
+def _joined_bigrams(edges: DataFrame, lower_case: bool, ident: str) -> DataFrame:
+    c, h = (edges.select(F.col(ident).alias(f"{p}_doc"), *[F.col(x).alias(f"{p}_{x}") for x in ("id", "form", "head")]) for p in "ch")
+    form = (lambda x: F.lower(x)) if lower_case else F.col
+    pair = c.join(h, (F.col("c_doc") == F.col("h_doc")) & (F.col("c_head") == F.col("h_id")))
+    return pair.select(F.col("c_doc").alias(ident), F.when(F.col("c_id") < F.col("h_id"), F.concat_ws("-", form("c_form"), form("h_form"))).otherwise(F.concat_ws("-", form("h_form"), form("c_form"))).alias("feature"))
+
+
+def _joined_trigrams(edges: DataFrame, lower_case: bool, ident: str) -> DataFrame:
+    c, h, g = (edges.select(F.col(ident).alias(f"{p}_doc"), *[F.col(x).alias(f"{p}_{x}") for x in ("id", "form", "head")]) for p in "chg")
+    two = c.join(h, (F.col("c_doc") == F.col("h_doc")) & (F.col("c_head") == F.col("h_id")))
+    three = two.join(g, (F.col("c_doc") == F.col("g_doc")) & (F.col("h_head") == F.col("g_id")))
     form = F.lower if lower_case else (lambda x: x)
-    parts = F.sort_array(F.array(*[F.struct(F.col(f"{p}_id").alias("id"), form(F.col(f"{p}_form")).alias("form")) for p in "chg"]))
-    return three.select(ident, F.array_join(F.transform(parts, lambda x: x["form"]), "-").alias("feature"))
+    return three.select(F.col("c_doc").alias(ident), _in_order(*[F.struct(F.col(f"{p}_id").alias("id"), form(F.col(f"{p}_form")).alias("form")) for p in "chg"]).alias("feature"))
 
 
 def negated(edges: DataFrame, ident: str = "doc_id") -> DataFrame:

@@ -150,7 +150,7 @@ def json_lines_to_array(s, d):
 
 @query("SELECT doc_id, text, n FROM documents JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) USING (doc_id)", "tok")
 def json_documents(s, d):
-    docs = readers.documents(K._docs(s, d).select("doc_id", "text"), T.token_spans(K._docs(s, d)))
+    docs = readers.documents(T.span_items(K._docs(s, d)))
     back = docs.select("doc_id", readers.document_from_json(readers.document_to_json(F.col("document"))).alias("x"))
     return back.select("doc_id", "x.source.text", F.size("x.annotatedTokens").cast("long").alias("n")).where("n > 0")
 

@@ -57,13 +57,16 @@ def document_from_json(text: Column) -> Column:
     return F.from_json(text, DOCUMENT)
 
 
-def documents(docs: DataFrame, tokens: DataFrame, ident: str = "doc_id") -> DataFrame:
+def documents(docs: DataFrame, tokens: DataFrame | None = None, ident: str = "doc_id") -> DataFrame:
     """id and document (source and annotated tokens) from texts and token spans
-    (id, pos, form, start, end)."""
-    token = F.struct(F.create_map(F.lit("form"), F.col("form")).alias("attributes"), F.lit(False).alias("filtered"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    lists = tokens.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token"))), lambda a, b: a["pos"] - b["pos"]).alias("t"))
+    (id, pos, form, start, end), or from rows that hold them as ``spans``."""
+    token = lambda x: F.struct(F.create_map(F.lit("form"), x["form"]).alias("attributes"), F.lit(False).alias("filtered"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))
+    if tokens is None:
+        rows = docs
+    else:
+        rows = docs.join(tokens.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("pos", "form", "start", "end"))).alias("spans")), ident, "left")
     source = F.struct(F.lit(None).cast("string").alias("label"), F.col(ident).cast("string").alias("id"), F.col("text"))
-    return docs.join(lists, ident, "left").select(ident, F.struct(source.alias("source"), F.coalesce(F.transform("t", lambda x: x["token"]), F.array().cast(f"array<{TOKEN}>")).alias("annotatedTokens")).cast(DOCUMENT).alias("document"))
+    return rows.select(ident, F.struct(source.alias("source"), F.coalesce(F.transform("spans", token), F.array().cast(f"array<{TOKEN}>")).alias("annotatedTokens")).cast(DOCUMENT).alias("document"))
 
 
 def read_texts_csv(spark: SparkSession, path: str, encoding: str = "UTF-16") -> DataFrame:

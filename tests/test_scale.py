@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import active as A
 from corvane.operators import bayes as B
 from corvane.operators import contrast as C
+from corvane.operators import dependencies as D
 from corvane.operators import features as T
 from corvane.operators import phrases as P
 from corvane.operators import select as S
@@ -81,3 +82,20 @@ def test_scores_join_features_by_broadcast_or_as_rare_ones(spark):
     m = B.fit(feats, docs.select("doc_id", F.col("lang").alias("label")))
     plan = B.scores(m, feats, docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "strategy=broadcast" in plan
+
+
+def test_trees_by_place_and_by_joins(spark):
+    odd = [(1, 1, "The", 2), (1, 2, "dog", 3), (1, 3, "ran", 0), (2, 5, "a", 7), (2, 7, "b", 9), (2, 9, "C", 0), (2, 9, "d", 0), (3, 1, "x", 9), (3, 2, "y", None), (None, 1, "n", 1)]
+    edges = spark.createDataFrame(odd, "doc_id long, id int, form string, head int")
+    assert rows(D.bigrams(edges)) == [(1, "dog-ran"), (1, "the-dog"), (2, "a-b"), (2, "b-c"), (2, "b-d")]
+    assert rows(D.trigrams(edges)) == [(1, "the-dog-ran"), (2, "a-b-c"), (2, "a-b-d")]
+    for name in ("dep_bigrams", "dep_trigrams"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+
+
+def test_spans_without_windows(spark):
+    docs = spark.createDataFrame([(1, " Hello :) wörld"), (2, None), (3, "")], "doc_id long, text string")
+    assert rows(T.token_spans(docs), "doc_id", "pos", "form", "start", "end") == [(1, 0, "hello", 1, 6), (1, 1, ":)", 7, 9), (1, 2, "wörld", 10, 15)]
+    plan = catalogue.QUERIES["json_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
