@@ -20,6 +20,13 @@ QUERY_PUNCT = r"[!?]+"
 #: A letter that marks where an address began; texts lose it beforehand.
 _MARK = "ꟿ"
 PUNCT_TOKEN = r"[\p{P}\p{S}]+"
+#: WORD and EMOTICON for any case, in forms that match without going back, and an emoticon that has a letter.
+_RUN = rf"{_LETTER}+(?:[_`'‘’]++{_LETTER}+)*+"
+_FAST_WORD = rf"[hH][tT][tT][pP]://[\w./-]+|[#@]?{_RUN}"
+_FAST_EMOTICON = r"[=;:][\^oO-]?[pP/\\()]|[dD/\\()][\^oO-]?[xX=;:]"
+_LETTERED = r"[=;:dD/\\()](?:(?<=[=;:])(?:[oO][pP/\\()]|[\^-]?[pP])|(?<=[dD])[\^oO-]?[xX=;:]|(?<=[/\\()])(?:[oO][xX=;:]|[\^-]?[xX]))"
+#: Characters that texts lose.
+_GONE = "[\ufeff\u200b\ufe00-\ufe0f]"
 NULL_FEATURE = "FeatureNotPresent"
 
 #: Small stop lists; other lists are passed as parameters.
@@ -52,13 +59,18 @@ def tokenise(text: Column, lower_case: bool = True, normalise_urls: bool = False
     Emoticons are put in upper case, also inside words. With ``normalise_urls``
     a token that begins where an address begins becomes HTTPLINK.
     """
-    t = clean(F.coalesce(text, F.lit("")))
+    t = F.coalesce(text, F.lit(""))
+    if punctuation:
+        t = clean(t)
+    else:  # no token has white space, so only texts that lose characters need it
+        t = F.when((F.octet_length(t) != F.length(t)) & t.rlike(_GONE), clean(t)).otherwise(t)
     t = F.lower(t) if lower_case else t
     if emoticon_upper:
-        t = _rewrite(t, f"(?i:{EMOTICON})", F.upper)
+        t = F.when(t.rlike(_LETTERED), _rewrite(t, f"(?i:{EMOTICON})", F.upper)).otherwise(t)
     if normalise_urls:
         t = _rewrite(F.translate(t, _MARK, ""), URL, lambda u: F.concat(F.lit(_MARK), F.repeat(F.lit("L"), F.length(u) - 1)))
-    found = F.regexp_extract_all(t, F.lit(token_pattern(punctuation)), F.lit(0))
+    pattern = "|".join([_FAST_WORD, *([f"(?i:{punctuation})"] if punctuation else []), _FAST_EMOTICON])
+    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     if normalise_urls:
         found = F.transform(found, lambda x: F.when(x.startswith(_MARK), F.lit("HTTPLINK")).otherwise(F.translate(x, _MARK, "L")))
     if normalise_usernames:

@@ -15,7 +15,7 @@ def evidence(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", keys: t
     if is_packed(feats):  # a document's features are distinct
         held = rows_of(feats.select(ident, "items").join(labels.select(ident, "label"), ident))
     else:
-        held = feats.select(ident, *keys).distinct().join(labels.select(ident, "label"), ident)
+        held = feats = stored(feats.select(ident, *keys).distinct().join(labels.select(ident, "label"), ident))  # read twice
     docs = labels.join(feats.select(ident).distinct(), ident, "left_semi")
     per = docs.groupBy("label").agg(F.count("*").alias("n_label")).withColumn("n", F.sum("n_label").over(Window.partitionBy()))
     both = stored(held.groupBy("label", *keys).agg(F.count("*").alias("a")))

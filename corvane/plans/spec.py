@@ -209,6 +209,8 @@ class Pipeline:
         selectors = self.find("selector")
         if not selectors:
             return self
+        if labels is not None and all(c.run.get("labelled") for c in selectors):
+            docs = T.only(docs, labels, ident)
         items = self.tokens(docs, ident, text, placed=True)
         labels = labels if labels is not None else docs.select(ident, F.lit("all").alias("label"))
         return replace(self, fitted=tuple(self._inferred(docs, items, self._running(True), ident, labels)[1]))
@@ -489,7 +491,7 @@ def _select(p: Pipeline, value: Any) -> Pipeline:
                 e = e.crossJoin(F.broadcast(labels.agg(F.countDistinct("label").alias("k"))))
             return S.top(e, S.mutual_information(F.col("k")) if kind == "mi" else S.wfo(lam), n, cutoff).select("feature")
 
-        return Component(f"selector_basic_{kind}:{','.join(own)}", "selector", {"fit": fit, "types": tuple(own) or None})
+        return Component(f"selector_basic_{kind}:{','.join(own)}", "selector", {"fit": fit, "types": tuple(own) or None, "labelled": True})
 
     for own in ([t] for t in types) if each else [types]:
         p = p.add(one(list(own)))

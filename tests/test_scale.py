@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corvane.functions import text as X
 from corvane.operators import active as A
 from corvane.operators import bayes as B
 from corvane.operators import contrast as C
@@ -11,7 +12,7 @@ from corvane.operators import dependencies as D
 from corvane.operators import features as T
 from corvane.operators import phrases as P
 from corvane.operators import select as S
-from corvane.plans import catalogue
+from corvane.plans import catalogue, spec
 from corvane.plans.store import stored
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,45 @@ def test_spans_without_windows(spark):
     assert rows(T.token_spans(docs), "doc_id", "pos", "form", "start", "end") == [(1, 0, "hello", 1, 6), (1, 1, ":)", 7, 9), (1, 2, "wörld", 10, 15)]
     plan = catalogue.QUERIES["json_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_tokens_are_those_of_the_plain_pattern(spark):
+    """The tokeniser's own patterns against ``token_pattern``, which the SQL has."""
+    rnd = random.Random(3)
+    parts = ["a", "é", "É", "ß", "d:", "D:", ":p", ":P", ":-P", "=op", ";O)", "(x", "/o=", "\\^x", "d-;", ":/", "http://a.b/c-d", "HTTP://X", "h", "#", "@", "_", "'", "’", "``", "0", "٣", "́", "﻿", "​", "️", "\n", "\t", " ", ".", "漢", "İ", "K", "😀", "don't", "a_b_", "x:paul"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(0, 40))) for _ in range(3000)] + [None, "", " \n", "a_" * 20000 + "b", "a" + "'" * 20000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for lower, upper in ((True, True), (False, True), (True, False)):
+        t = X.clean(F.coalesce("text", F.lit("")))
+        t = F.lower(t) if lower else t
+        t = X._rewrite(t, f"(?i:{X.EMOTICON})", F.upper) if upper else t
+        want = F.regexp_extract_all(t, F.lit(X.token_pattern()), F.lit(0))
+        got = docs.select("text", X.tokenise(F.col("text"), lower_case=lower, emoticon_upper=upper).alias("got"), want.alias("want"))
+        assert not got.where(~F.col("got").eqNullSafe(F.col("want"))).take(1)
+
+
+def test_selectors_tokenise_labelled_documents_only(spark, monkeypatch):
+    docs = catalogue.table(spark, SF, "documents")
+    labels = docs.where("doc_id % 4 = 0").select("doc_id", (F.col("doc_id") % 3).cast("string").alias("label"))
+    p = spec.build([("tokeniser", {"type": "basic"}), ("unigrams", True), ("feature_selection_basic", {"feature_selection_limit": "200", "feature_types": "unigram"})])
+    read, plain = [], spec.Pipeline.tokens
+
+    def tokens(self, rows, *a, **k):
+        read.append(rows.count())
+        return plain(self, rows, *a, **k)
+
+    monkeypatch.setattr(spec.Pipeline, "tokens", tokens)
+    fitted = p.fit(docs, labels).fitted[0][1]
+    assert read == [labels.count()]
+    want = S.top(S.evidence(T.unigrams(T.tokens(docs)), labels), S.wfo(0.5), 200)
+    assert rows(fitted, "feature") == rows(want, "feature")
+    monkeypatch.setattr(T, "FEW", 3)
+    assert rows(p.fit(docs, labels).fitted[0][1], "feature") == rows(want, "feature")
+
+
+def test_evidence_of_rows_reads_them_once(spark):
+    docs = catalogue.table(spark, SF, "documents")
+    labels = docs.select("doc_id", "lang").withColumnRenamed("lang", "label")
+    e = S.evidence(T.unigrams(T.tokens(docs)), labels)
+    assert "regexp" not in e._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(e) == rows(S.evidence(T.packed(docs), labels))
