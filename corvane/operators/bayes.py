@@ -24,6 +24,8 @@ PHI = 1.0
 LAMBDA = 5.0
 #: As many features at most are broadcast, those of most weight; the rest is shuffled.
 HOT = 2**18
+#: Sums of as many keys (labels) at most are columns, a row an occurrence; of more, rows.
+WIDE = 64
 
 
 @dataclass(frozen=True)
@@ -88,28 +90,47 @@ def scores(m: Model, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -
     """doc_id, label, score for each document and label. Unknown features are
     skipped; a document without known ones has the log priors."""
     base = stored(bases(m))
-    terms = m.joint.join(m.vocab, "feature", "left_semi").join(F.broadcast(base), "label").select("label", "feature", F.ln((m.phi + F.col("alpha") + F.col("n")) / F.col("denom")).alias("loglik"), "base")
-    known = sums(terms, m.vocab, feats, ("label",), base.count(), ident)
+    terms = m.joint.join(F.broadcast(base), "label").select("label", "feature", F.ln((m.phi + F.col("alpha") + F.col("n")) / F.col("denom")).alias("loglik"), "base")
+    known = sums(terms, m.vocab, feats, base.select("label"), ident)
     return docs.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(base)).select(ident, "label", (F.col("log_prior") + F.coalesce(F.col("known"), F.lit(0)) * F.col("base") + _summed("label")).alias("score"))
 
 
-def sums(terms: DataFrame, vocab: DataFrame, feats: DataFrame, keys: tuple[str, ...], n_keys: int, ident: str = "doc_id", hot: int | None = None) -> DataFrame:
+def sums(terms: DataFrame, vocab: DataFrame | None, feats: DataFrame, among: DataFrame, ident: str = "doc_id", hot: int | None = None) -> DataFrame:
     """id, known, extras: of each document its occurrences of features of the
-    vocabulary, and an array of (*keys, extra), the sums of loglik - base over
-    them, without the keys that have none.
+    vocabulary (of the terms, where it is None), and an array of (*keys, extra),
+    the sums of loglik - base over them; keys that have none are left out or 0.
+    ``among`` has the keys, its columns.
 
     Likelihoods of a key add up to 1 at most, so no more than ``hot`` features
-    have n_keys / hot of them together. These are broadcast and summed up where
-    the documents are; only occurrences of the other, rare ones are shuffled."""
-    each = F.struct(*keys, (F.col("loglik") - F.col("base")).alias("d"))
-    own = terms.groupBy("feature").agg(F.collect_list(each).alias("each"), F.sum(F.exp("loglik")).alias("p"))
-    nil = F.struct(*[F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in keys], F.lit(1.0).alias("d"))  # counts the known
-    known = F.concat(F.array(nil), F.coalesce("each", F.array().cast(own.schema["each"].dataType)))
-    table = stored(vocab.select("feature").distinct().join(own, "feature", "left").select("feature", known.alias("each"), (F.coalesce("p", F.lit(0.0)) >= max(n_keys, 1) / (hot or HOT)).alias("hot")))
-    rows, often = rows_of(slim(feats, ident)), table.where("hot")
-    near = rows.join(F.broadcast(often), "feature").select(ident, "n", "each")
-    far = rows.join(F.broadcast(often.select("feature")), "feature", "left_anti").join(table.where("not hot"), "feature").select(ident, "n", "each")
-    added = near.unionByName(far).select(ident, "n", F.inline("each")).groupBy(ident, *keys).agg(F.sum(F.col("n") * F.col("d")).alias("extra"))
+    have as many times 1 / hot as there are keys. These are broadcast and summed up
+    where the documents are; only occurrences of the other, rare ones are shuffled."""
+    keys, n = among.columns, among.count()
+    kinds = among.collect() if n <= WIDE else []
+    least = max(n, 1) / (hot or HOT)
+    d, p = F.col("loglik") - F.col("base"), F.sum(F.exp("loglik")).alias("p")
+    if kinds or not n:
+        of = lambda k: reduce(and_, [F.col(c).eqNullSafe(F.lit(k[c]).cast(terms.schema[c].dataType)) for c in keys])
+        wide = [F.sum(F.when(of(k), d)).alias(f"d{i}") for i, k in enumerate(kinds)]
+        rows = terms.withColumn("listed", F.lit(vocab is None))
+        rows = rows if vocab is None else rows.unionByName(vocab.select("feature", F.lit(True).alias("listed")), allowMissingColumns=True)
+        own = rows.groupBy("feature").agg(F.max("listed").alias("listed"), p, *wide).where("listed")
+        held = [F.coalesce(f"d{i}", F.lit(0.0)).alias(f"d{i}") for i in range(len(kinds))]
+    else:
+        nil = F.struct(*[F.lit(None).cast(terms.schema[c].dataType).alias(c) for c in keys], F.lit(1.0).alias("d"))  # counts the known
+        own = terms.groupBy("feature").agg(F.collect_list(F.struct(*keys, d.alias("d"))).alias("each"), p)
+        own = own if vocab is None else vocab.select("feature").distinct().join(own, "feature", "left")
+        held = [F.concat(F.array(nil), F.coalesce("each", F.array().cast(own.schema["each"].dataType))).alias("each")]
+    table = stored(own.select("feature", *held, (F.coalesce("p", F.lit(0.0)) >= least).alias("hot")))
+    rows, often = rows_of(slim(feats, ident)), table.where("hot").drop("hot")
+    near = rows.join(F.broadcast(often), "feature")
+    far = rows.join(F.broadcast(often.select("feature")), "feature", "left_anti").join(table.where("not hot").drop("hot"), "feature")
+    both = near.unionByName(far)
+    if kinds or not n:
+        got = both.groupBy(ident).agg(F.sum("n").cast("long").alias("known"), *[F.sum(F.col("n") * F.col(f"d{i}")).alias(f"d{i}") for i in range(len(kinds))])
+        extra = [F.struct(*[F.lit(k[c]).cast(terms.schema[c].dataType).alias(c) for c in keys], F.col(f"d{i}").alias("extra")) for i, k in enumerate(kinds)]
+        none = F.array().cast("array<struct<" + ",".join(f"{c}:{terms.schema[c].dataType.simpleString()}" for c in keys) + ",extra:double>>")
+        return got.select(ident, "known", (F.array(*extra) if extra else none).alias("extras"))
+    added = both.select(ident, "n", F.inline("each")).groupBy(ident, *keys).agg(F.sum(F.col("n") * F.col("d")).alias("extra"))
     count = F.col(keys[0]).isNull()
     return added.groupBy(ident).agg(F.max(F.when(count, F.col("extra"))).cast("long").alias("known"), F.collect_list(F.when(~count, F.struct(*keys, "extra"))).alias("extras"))
 
@@ -241,7 +262,7 @@ def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alph
     base = base.crossJoin(F.broadcast(v)).withColumn("raw", raw).withColumn("log_prior", F.ln(F.col("raw") / F.sum("raw").over(Window.partitionBy("target")))).withColumn("denom", PHI * F.col("v") + F.col("alpha_total") + F.col("total")).withColumn("base", F.ln(PHI / F.col("denom")))
     base = stored(base)
     lik = joint.join(F.broadcast(base.select("target", "side", "denom", "base")), ["target", "side"]).select("target", "side", "feature", F.ln((PHI + F.col("alpha") + F.col("n")) / F.col("denom")).alias("loglik"), "base")
-    known = sums(lik, joint.select("feature"), feats, ("target", "side"), base.count(), ident)
+    known = sums(lik, None, feats, base.select("target", "side"), ident)
     every = feats.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(base.select("target", "side", "log_prior", "base")))
     return every.select(ident, "target", F.col("side").alias("label"), (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + _summed("target", "side")).alias("score"))
 
@@ -263,7 +284,7 @@ def sfe(m: Model, pool_feats: DataFrame, pool: DataFrame, feats: DataFrame, docs
     s = scores(m, pool_feats, pool, ident).groupBy("label").agg(F.sum(F.exp("score")).alias("s"))
     plain = scores(m, feats, docs, ident)
     lp = p.join(m.vocab, "feature", "left_semi").select("feature", F.lit("").alias("pool"), F.ln("p").alias("loglik"), F.lit(0.0).alias("base"))
-    words = sums(lp, m.vocab, feats, ("pool",), 1, ident).select(ident, "known", F.get("extras", F.lit(0))["extra"].alias("lp"))
+    words = sums(lp, m.vocab, feats, lp.sparkSession.createDataFrame([("",)], "pool string"), ident).select(ident, "known", F.get("extras", F.lit(0))["extra"].alias("lp"))
     return plain.join(words, ident, "left").join(F.broadcast(s), "label", "left").select(ident, "label", (F.col("score") + F.coalesce("lp", F.lit(0.0)) - F.coalesce("known", F.lit(0)) * F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
@@ -349,7 +370,7 @@ def precompute(m: Model, terms: DataFrame | None = None) -> Precomputed:
 
 
 def precomputed_scores(p: Precomputed, feats: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
-    known = sums(p.terms, p.vocab, feats, ("label",), p.labels.count(), ident)
+    known = sums(p.terms, p.vocab, feats, p.labels.select("label"), ident)
     return docs.select(ident).distinct().join(known, ident, "left").crossJoin(F.broadcast(p.labels)).select(ident, "label", (F.col("log_prior") + F.coalesce("known", F.lit(0)) * F.col("base") + _summed("label")).alias("score"))
 
 

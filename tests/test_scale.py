@@ -142,3 +142,18 @@ def test_evidence_of_rows_reads_them_once(spark):
     e = S.evidence(T.unigrams(T.tokens(docs)), labels)
     assert "regexp" not in e._jdf.queryExecution().optimizedPlan().toString()
     assert rows(e) == rows(S.evidence(T.packed(docs), labels))
+
+
+def test_sums_by_columns_and_by_rows(spark, monkeypatch):
+    docs = catalogue.table(spark, SF, "documents").limit(60)
+    labels = docs.select("doc_id", F.col("lang").alias("label"))
+    bag = T.packed(docs)
+    m = B.trim(B.fit(bag, labels), 3)  # its vocabulary is not that of its counts
+    got = []
+    for wide in (64, 3, 0):
+        monkeypatch.setattr(B, "WIDE", wide)
+        got.append([[(*r[:-1], round(r[-1], 6)) for r in rows(x)] for x in (B.scores(m, bag, docs), B.one_vs_rest(bag, labels))])
+    assert got[0] == got[1] == got[2] and len(got[0][1]) == 480
+    monkeypatch.setattr(B, "WIDE", 64)
+    plan = B.scores(m, bag, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "generate inline(each" not in plan.lower()
