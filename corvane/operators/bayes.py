@@ -242,8 +242,16 @@ def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alph
 
     targets = stored(targets)
     held = slim(feats, ident).join(labels.select(ident, "label"), ident)
-    counts = stored(rows_of(held).groupBy("label", "feature").agg(F.sum("n").alias("n")))
-    joint = sides(counts).groupBy("target", "side", "feature").agg(F.sum("n").alias("n"))
+    counts = rows_of(held).groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    names = [r.target for r in targets.limit(WIDE + 1).collect()]
+    if alphas is None and len(names) <= WIDE and "OTHER" not in names:  # a feature's counts in one row
+        of = [F.sum(F.when(F.col("label") == F.lit(t), F.col("n")).otherwise(0)).alias(f"n{i}") for i, t in enumerate(names)]
+        per = stored(counts.groupBy("feature").agg(F.sum("n").alias("every"), *of))
+        both = [F.struct(F.lit(t).alias("target"), side.alias("side"), n.alias("n")) for i, t in enumerate(names) for side, n in ((F.lit(t), F.col(f"n{i}")), (F.lit("OTHER"), F.col("every") - F.col(f"n{i}")))]
+        joint = per.select("feature", F.inline(F.array(*both))).where("n > 0") if names else sides(counts).select("target", "side", "feature", "n")
+        v = per.agg(F.count("*").alias("v"))
+    else:
+        joint, v = sides(stored(counts)).groupBy("target", "side", "feature").agg(F.sum("n").alias("n")), None
     docs = sides(held.select("label", ident).distinct()).select("target", "side", ident).distinct().groupBy("target", "side").agg(F.count("*").alias("docs"))
     size = joint.groupBy("target", "side").agg(F.sum("n").alias("total"))
     if alphas is not None:
@@ -252,12 +260,12 @@ def one_vs_rest(feats: DataFrame, labels: DataFrame, ident: str = "doc_id", alph
         size = size.join(more.groupBy("target", "side").agg(F.sum("alpha").alias("alpha_total")), ["target", "side"], "full").na.fill({"total": 0, "alpha_total": 0.0})
     else:
         joint, size = joint.withColumn("alpha", F.lit(0.0)), size.withColumn("alpha_total", F.lit(0.0))
-    joint = stored(joint)
+    joint = stored(joint) if v is None else joint
     base = docs.join(size, ["target", "side"])
     base = base.join(sides(label_alphas).groupBy("target", "side").agg(F.sum("label_alpha").alias("label_alpha")), ["target", "side"], "left") if label_alphas is not None else base.withColumn("label_alpha", F.lit(0.0))
     base = base.join(multipliers.select(F.col("label").alias("side"), "multiplier"), "side", "left") if multipliers is not None else base.withColumn("multiplier", F.lit(1.0))
     base = base.na.fill({"label_alpha": 0.0, "multiplier": 1.0})
-    v = joint.select("feature").distinct().agg(F.count("*").alias("v"))
+    v = joint.select("feature").distinct().agg(F.count("*").alias("v")) if v is None else v
     raw = F.col("multiplier") * (LAMBDA + F.col("label_alpha") + (F.col("docs") if empirical else F.lit(1.0)))
     base = base.crossJoin(F.broadcast(v)).withColumn("raw", raw).withColumn("log_prior", F.ln(F.col("raw") / F.sum("raw").over(Window.partitionBy("target")))).withColumn("denom", PHI * F.col("v") + F.col("alpha_total") + F.col("total")).withColumn("base", F.ln(PHI / F.col("denom")))
     base = stored(base)

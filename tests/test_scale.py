@@ -157,3 +157,11 @@ def test_sums_by_columns_and_by_rows(spark, monkeypatch):
     monkeypatch.setattr(B, "WIDE", 64)
     plan = B.scores(m, bag, docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "generate inline(each" not in plan.lower()
+
+
+def test_one_vs_rest_of_a_label_named_other(spark):
+    """Its two sides are one."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "x"), (2, "OTHER"), (3, "y")], "doc_id long, label string")
+    sides = {(r.target, r.label) for r in B.one_vs_rest(T.packed(docs), labels).collect()}
+    assert sides == {("x", "x"), ("x", "OTHER"), ("y", "y"), ("y", "OTHER"), ("OTHER", "OTHER")}
