@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.plans.store import stored
+
 
 class EvaluationError(ValueError):
     """A gold label that the classifier doesn't know."""
@@ -13,7 +15,7 @@ class EvaluationError(ValueError):
 def confusion(predicted: DataFrame, gold: DataFrame, labels: DataFrame | None = None, ident: str = "doc_id") -> DataFrame:
     """predicted, gold, n for every pair of labels, zeros included."""
     pairs = predicted.select(ident, F.col("label").alias("predicted")).join(gold.select(ident, F.col("label").alias("gold")), ident)
-    n = pairs.groupBy("predicted", "gold").agg(F.count("*").alias("n"))
+    n = stored(pairs.groupBy("predicted", "gold").agg(F.count("*").alias("n")))  # read twice, predicted once
     if labels is None:
         labels = n.select(F.col("predicted").alias("label")).union(n.select("gold")).distinct()
     elif not n.join(labels, n["gold"] == labels["label"], "left_anti").isEmpty():

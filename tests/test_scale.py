@@ -165,3 +165,21 @@ def test_one_vs_rest_of_a_label_named_other(spark):
     labels = spark.createDataFrame([(1, "x"), (2, "OTHER"), (3, "y")], "doc_id long, label string")
     sides = {(r.target, r.label) for r in B.one_vs_rest(T.packed(docs), labels).collect()}
     assert sides == {("x", "x"), ("x", "OTHER"), ("y", "y"), ("y", "OTHER"), ("OTHER", "OTHER")}
+
+
+def test_confusion_and_selection_look_at_labelled_documents_only(spark, monkeypatch):
+    seen, plain = [], T.packed
+
+    def packed(docs, *a, **k):
+        seen.append(docs.count())
+        return plain(docs, *a, **k)
+
+    monkeypatch.setattr(T, "packed", packed)
+    lab = catalogue._lab(spark, SF)
+    labelled = catalogue._docs(spark, SF).join(lab, "doc_id", "left_semi").count()
+    got = catalogue.QUERIES["eval_confusion"](spark, SF)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.n for r in got.collect()) == labelled
+    for name in ("select_mi", "select_apply"):
+        assert catalogue.QUERIES[name](spark, SF).count()
+    assert seen == [labelled] * 3
