@@ -66,18 +66,26 @@ def members(vectors: DataFrame, vector: str = "vector", how: str = "max", least:
     return vectors.select("*", F.posexplode(vector).alias("cluster", "share")).where(F.col("share") >= bound)
 
 
+def joint_counts(feats: DataFrame, clusters: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """cluster, type, feature, joint: occurrences in the clusters' documents."""
+    rows = rows_of(slim(feats, ident).join(clusters.select(ident, "cluster"), ident))
+    n = rows.groupBy("cluster", "feature").agg(F.sum("n").alias("joint"))
+    return n.select("cluster", feature_type(F.col("feature")).alias("type"), "feature", "joint")
+
+
 def cluster_counts(feats: DataFrame, clusters: DataFrame, background: DataFrame | None = None, ident: str = "doc_id") -> DataFrame:
     """cluster, type, feature, joint, cluster_total (of the type), and the
     feature's prior: smoothed for words, plain for tags; words from the
     background where one is given."""
-    rows = rows_of(slim(feats, ident).join(clusters.select(ident, "cluster"), ident)).withColumn("type", feature_type(F.col("feature")))
-    joint = stored(rows.groupBy("cluster", "type", "feature").agg(F.sum("n").alias("joint")))
+    joint = stored(joint_counts(feats, clusters, ident))
     sums = joint.groupBy("cluster", "type").agg(F.sum("joint").alias("cluster_total"))  # three rows a cluster
     joint = joint.join(F.broadcast(sums), ["cluster", "type"])
     own = joint.groupBy("type", "feature").agg(F.sum("joint").alias("n"))
     if background is not None:
-        own = own.where("type <> 'WORD'").unionByName(typed_counts(background).where("type = 'WORD'").select("type", "feature", "n"))
-    own = with_totals(own)
+        every = rows_of(background)
+        every = every.groupBy("feature").agg(F.sum(times(every)).alias("n")).select(feature_type(F.col("feature")).alias("type"), "feature", "n")
+        own = own.where("type <> 'WORD'").unionByName(every.where("type = 'WORD'"))
+    own = with_totals(stored(own))
     prior = F.when(F.col("type") == "WORD", (F.col("n") + SMOOTH) / (F.col("total") + SMOOTH * F.col("size"))).otherwise(F.col("n") / F.col("total"))
     return joint.join(own.select("type", "feature", prior.alias("prior")), ["type", "feature"])
 
